@@ -7,17 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import simhash
-from noticelake.llm.common import table
+from noticelake.llm import decontam, simhash
+from noticelake.llm.common import LOWER, UPPER, table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
 
+
+@query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simhash": op1_simhash,
-}
-
-ORACLE_SQL: dict[str, str] = {}
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL["op2_decontamination"] = f"""
+with b as (select cast(item_id as varchar) item, {_WORDS} w from benchmark),
+ bw as (select distinct item, len(s) n, array_to_string(s, ' ') phrase from (
+   select item, w[i:i + least(13, len(w)) - 1] s from (select item, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) i from b where len(w) > 0))),
+ d as (select row_number() over () uid, doc_id, {_WORDS} w from documents),
+ p as (select uid, n, i, array_to_string(w[i:i + n - 1], ' ') phrase from (
+   select uid, w, n, unnest(generate_series(1, len(w) - n + 1)) i from d, (select distinct n from bw) where len(w) >= n)),
+ m as (select uid, i, p.n, item from p join bw on p.phrase = bw.phrase and p.n = bw.n),
+ h as (select uid, count(distinct k) n_hit from (select uid, unnest(generate_series(i, i + n - 1)) k from m) group by uid),
+ t as (select uid, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct uid, item from m) group by uid)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+ sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join h using (uid) left join t using (uid)
+"""
