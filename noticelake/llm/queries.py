@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import decontam, simhash
+from noticelake.llm import decontam, linededup, sharding, simhash
 from noticelake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,26 @@ select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesc
  sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
 from d left join h using (uid) left join t using (uid)
 """
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_SPACES = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE_SQL["op7_line_dedup"] = f"""
+with l as (select doc_id, line, n, translate(trim(line, {_SPACES}), '{UPPER}', '{LOWER}') k
+  from (select doc_id, unnest(s) line, generate_subscripts(s, 1) n from (select doc_id, string_split(coalesce(text, ''), chr(10)) s from documents))),
+ c as (select k, max(doc_id) last from l where length(k) >= 40 group by k having count(distinct doc_id) >= 5)
+select doc_id, count(*) n_lines, count(*) filter (last is not null and doc_id <> last) n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by n) filter (last is null or doc_id = last), '')) kept_sha256
+from l left join c using (k) group by doc_id
+"""

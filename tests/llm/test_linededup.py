@@ -1,0 +1,62 @@
+import random
+
+from pyspark.sql import functions as F
+
+from noticelake.llm.linededup import LineRuns, drop_repeated_lines
+
+WS = " \t\n\x0b\x0c\r"
+
+
+def key(line):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(WS))
+
+
+def brute(rows):
+    held = {}
+    for n, (i, t) in enumerate(rows):
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= 40:
+                held.setdefault(k, []).append((n, i))
+    last = {k: max((i for _, i in v if i is not None), default=None) for k, v in held.items() if len(v) >= 5}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if key(x) not in last or i is None or last[key(x)] == i]
+        out.append((str(i), "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return sorted(out)
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(2)
+    common = [f"Line {k} É " + "word " * (3 + k) for k in range(12)]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            x = rng.choice([*common, "", "short", "own line of this document number %d and some more" % i])
+            lines.append(rng.choice(["", " ", "\t", "\r"]) + (x.upper().replace("É", "É") if rng.random() < 0.3 else x) + rng.choice(["", "\x0b", "  "]))
+        rows.append((i, "\n".join(lines)))
+    rows += [(100, None), (101, ""), (102, "\n\n"), (3, rows[3][1]), (None, common[11]), (103, "\n".join(common * 3)), (104, "é" * 39), (105, "é" * 40)] + [(200 + i, "é" * 40 + "\n" + "é" * 39) for i in range(5)]
+    docs = spark.createDataFrame([(*r, "h", 5) for r in rows], "doc_id long, text string, h1 string, n_lines int")
+    for batches, fanout in ((4, 2), (1, 4)):
+        got = drop_repeated_lines(docs, batches=batches, fanout=fanout)
+        assert got.columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
+        assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()) == brute(rows)
+
+
+def test_runs_compact_and_know_what_they_hold(spark):
+    runs, seen = LineRuns(spark, fanout=2, buckets=3), set()
+    for k in range(5):
+        ids = range(k * 10, k * 10 + 15)
+        batch = spark.createDataFrame([(i, i * 7, i) for i in ids], "h1 long, h2 long, id long")
+        assert {r.h1 for r in runs.unseen(batch).collect()} == set(ids) - seen
+        runs.add(batch)
+        seen |= set(ids)
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    assert {(r.h1, r.n_docs) for r in runs.merged().collect()} == {(i, 1 + (i >= 10 and i % 10 < 5 and i < 50)) for i in seen}
+    plan = runs.unseen(batch.where(F.col("h1") > 3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan
+
+
+def test_empty(spark):
+    assert drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
