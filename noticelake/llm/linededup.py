@@ -38,10 +38,12 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.select("h1", "h2", "n_docs", "max_id").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", fresh_path(self.spark, name)).saveAsTable(name)
+        self.paths[name] = fresh_path(self.spark, name)
+        rows.select("h1", "h2", "n_docs", "max_id").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def merged(self) -> DataFrame | None:
@@ -49,12 +51,11 @@ class LineRuns:
         return self._merge([n for level in self.levels for n in level])
 
     def _merge(self, names: list[str]) -> DataFrame | None:
-        rows = None
-        for name in names:
-            run = self.spark.table(name)
-            rows = run if rows is None else rows.unionByName(run)
-        # dealt anew: Spark 4.1 may group a union of bucketed tables without the exchange that it needs
-        return rows and rows.repartition(self.buckets, "h1").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
+        # by path: Spark 4.1 groups a union of bucketed tables without the exchange that it needs
+        if not names:
+            return None
+        rows = self.spark.read.schema("h1 long, h2 long, n_docs long, max_id long").parquet(*(self.paths[n] for n in names))
+        return rows.repartition(self.buckets, "h1").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of a batch (h1, h2, ...) whose hash no run holds: one merge anti join for each run."""
