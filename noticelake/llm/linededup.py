@@ -85,8 +85,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text is one empty line.  Rows that repeat an id each count, and keep or lose
     alike; rows without an id count but lose nothing.  Other columns pass
     through; n_lines and n_dropped replace columns of that name.  Only the
-    hashes of lines are shuffled to find repeats, and each text once to drop
-    them (not at all where the drops are small enough to broadcast).
+    hashes of lines are shuffled to find repeats, and each text once, at every
+    size, to meet its drops.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if c == text_col else F.col(f"`{c}`") for c in names))
@@ -106,7 +106,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return (F.char_length(key) < least_chars) | ~F.array_contains(F.col("__drops"), _hash(key))
 
     kept = F.when(F.col("__drops").isNotNull(), F.filter(split, stays))
-    joined = docs.join(losing, ident == F.col("__id"), "left").withColumn("__kept", kept).withColumn("n_lines", F.size(split).cast("long"))
+    joined = docs.join(losing.hint("merge"), ident == F.col("__id"), "left").withColumn("__kept", kept).withColumn("n_lines", F.size(split).cast("long"))
     joined = joined.withColumn("n_dropped", F.when(F.col("__kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
     new_text = F.when(F.col("__kept").isNull(), text).otherwise(F.array_join("__kept", "\n"))
     return joined.select(*(new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in names), "n_lines", "n_dropped")
