@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import chatformat, decontam, linededup, packing, sharding, simhash
+from noticelake.llm import chatformat, decontam, linededup, packing, qualityclf, qualityrules, sharding, simhash
 from noticelake.llm.common import LOWER, UPPER, table
 
 #: Where the public tokenizers' files are, on every machine.
@@ -104,3 +104,16 @@ select doc_id, count(*) n_lines, count(*) filter (last is not null and doc_id <>
  sha256(coalesce(string_agg(line, chr(10) order by n) filter (last is null or doc_id = last), '')) kept_sha256
 from l left join c using (k) group by doc_id
 """
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = qualityrules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = "crc32(cast(doc_id as string)) % 4 = 2"
+    found, _ = qualityclf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_learn=f"not ({held_out})")
+    return found.select("doc_id", F.expr(held_out).alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))

@@ -20,6 +20,14 @@ _SYMBOL[list(SYMBOLS)] = 1
 WIDE = 1 << 21
 
 
+def _inside(hit: np.ndarray, n_words: int) -> int:
+    """Words of the 3-word windows that are hit."""
+    inside = np.zeros(n_words, bool)
+    for k in range(3):
+        inside[k : n_words - 2 + k] |= hit
+    return int(inside.sum())
+
+
 def repeated_words(numbers: np.ndarray) -> int:
     """Words that lie in a 3-word window found twice or more, the first find included."""
     if len(numbers) < 4:
@@ -29,11 +37,7 @@ def repeated_words(numbers: np.ndarray) -> int:
     twice = order[1:][order[1:] == order[:-1]]
     if not len(twice):
         return 0
-    hit = np.isin(windows, twice)
-    inside = np.zeros(len(numbers), bool)
-    for k in range(3):
-        inside[k : len(numbers) - 2 + k] |= hit
-    return int(inside.sum())
+    return _inside(np.isin(windows, twice), len(numbers))
 
 
 def statistics_of(text: bytes | None) -> tuple[int, ...]:
@@ -44,11 +48,11 @@ def statistics_of(text: bytes | None) -> tuple[int, ...]:
     names: dict[bytes, int] = {}
     numbers = np.fromiter((names.setdefault(w, len(names)) for w in words), np.int64, len(words))
     if len(names) > WIDE:  # numbers no longer fit a key: give windows numbers of their own
-        pairs = np.unique(numbers[:-1] * len(names) + numbers[1:], return_inverse=True)[1]
-        numbers = np.unique(np.stack([pairs[:-1], pairs[1:]]), axis=1, return_inverse=True)[1].ravel()
-        raise_count = _repeated_by_window(numbers, len(words))
+        seen: dict[tuple[bytes, ...], int] = {}
+        windows = [seen.setdefault(w, len(seen)) for w in zip(words, words[1:], words[2:], strict=False)]
+        repeated = _inside(np.bincount(windows)[windows] > 1, len(words))
     else:
-        raise_count = repeated_words(numbers)
+        repeated = repeated_words(numbers)
     lines = text.split(b"\n")
     spoken = [x for x in lines if x.strip()]
     points = len(text) - int(bytes_of[128:192].sum())
@@ -57,7 +61,7 @@ def statistics_of(text: bytes | None) -> tuple[int, ...]:
         points - int(bytes_of @ _SPACE),
         int(bytes_of @ _SYMBOL),
         len(spoken) - len(set(spoken)),
-        raise_count,
+        repeated,
         len(lines),
         len(names),
         int(bytes_of[65:91].sum()),
@@ -67,23 +71,46 @@ def statistics_of(text: bytes | None) -> tuple[int, ...]:
     )
 
 
-def _repeated_by_window(windows: np.ndarray, n_words: int) -> int:
-    hit = np.bincount(windows)[windows] > 1
-    inside = np.zeros(n_words, bool)
-    for k in range(3):
-        inside[k : n_words - 2 + k] |= hit
-    return int(inside.sum())
-
-
 def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """COUNTS of each row's whole text beside the columns to keep."""
-    fields = [f for f in docs.schema.fields if f.name in keep]
+    fields = [docs.schema[c] for c in keep]
+    columns = [F.col(f"`{c}`") for c in keep]
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    if at == len(keep):
+        columns.append(F.col(f"`{text_col}`").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [statistics_of(t) for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
+            found = [statistics_of(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             counts = np.array(found, np.int64).reshape(-1, len(COUNTS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(counts[:, i]) for i in range(len(COUNTS)))], [*keep, *COUNTS])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(counts[:, i]) for i in range(len(COUNTS)))], [*keep, *COUNTS])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} long" for c in COUNTS)])
-    return docs.select(*(F.col(f"`{f.name}`") for f in fields), F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)
+
+
+#: Length-free measures of a text, as SQL over COUNTS.
+MEASURES = {
+    "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+    "repeated_share": "n_repeat_words / greatest(n_words, 1)",
+    "dup_line_share": "n_dup_lines / n_lines",
+    "upper_share": "n_upper / greatest(word_chars, 1)",
+    "digits_per_word": "n_digits / greatest(n_words, 1)",
+    "marks_per_word": "n_marks / greatest(n_words, 1)",
+    "stops_per_word": "n_stops / greatest(n_words, 1)",
+    "distinct_share": "n_distinct / greatest(n_words, 1)",
+    "mean_word": "word_chars / greatest(n_words, 1)",
+}
+
+
+def with_measures(stats: DataFrame) -> DataFrame:
+    """Adds MEASURES (double) to the counts."""
+    return stats.select("*", *(F.expr(sql).cast("double").alias(name) for name, sql in MEASURES.items()))
+
+
+def labelled_sample(measured: DataFrame, labels: DataFrame, label_col: str, most_rows: int, id_col: str = "doc_id", features: tuple[str, ...] = tuple(MEASURES)) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of at most ``most_rows`` labelled rows, the first by hash of the id: what a model is fitted on."""
+    known = labels.where(f"`{label_col}` is not null").select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias("label")).groupBy(id_col).agg(F.max("label").alias("label"))
+    rows = measured.join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(most_rows).select("label", *features).collect()
+    found = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(features))
+    return found[:, 1:], found[:, 0].astype(int)
