@@ -8,8 +8,10 @@ documents; sequences of one length are numbered together, ready for batches.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,35 +28,84 @@ def binary_lengths(n: int, most: int = 2048) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+#: ASCII punctuation that a tokenizer sets apart from the letters before it; not the apostrophe, which may begin a contraction.
+TAILS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+
+def _byte_letters() -> str:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return "".join(chr(b) if b in plain else chr(next(others)) for b in range(256))
+
+
 class PieceCache(dict):
     """Ids, as little-endian 32-bit bytes, of pieces of text between ASCII white space.
 
-    For a tokenizer that drops white space and never merges across it, a text's
-    ids are those of its pieces.  The cache is bounded: beyond ``most`` pieces
-    it starts again.
+    For a lower-casing tokenizer with byte-level word pieces that drops white
+    space and never merges across it, a text's ids are those of its pieces, and
+    a Latin-1 word's are the model's own for the lowered letters, with
+    punctuation behind it apart.  All other pieces go through the whole
+    tokenizer.  The cache is bounded: beyond ``most`` pieces it starts again.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+
+    def _fast(self, piece: bytes) -> bytes | None:
+        core = piece.rstrip(TAILS)
+        word = core.decode()
+        if not word.isalpha() or not word.isascii() and max(word) > "\xff":
+            return None
+        if core is not piece and len(core) < len(piece):
+            tail = piece[len(core) :]
+            if (end := self.get(tail)) is None:
+                end = self[tail] = self._slow([tail])[0]
+            lowered = core.lower()
+            if (start := self.get(lowered)) is None:
+                if (start := self._fast(lowered)) is None:
+                    return None
+                self[lowered] = start
+            return start + end
+        lowered = word.lower()
+        if not lowered.isascii():
+            lowered = lowered.encode().decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(lowered)], "<u4").tobytes()
+
+    def _slow(self, pieces: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
 
     def learn(self, pieces: set[bytes]) -> None:
-        """Encodes the unknown ones among the pieces, many at a time."""
-        new = list(pieces.difference(self))
+        """Encodes the unknown ones among the pieces."""
+        new = pieces.difference(self)
         if len(self) + len(new) > self.most:
             self.clear()
-            new = list(pieces)
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                self[piece] = np.array(found.ids, "<u4").tobytes()
+            new = pieces
+        slow = []
+        for piece in new:
+            if (found := self._fast(piece)) is None:
+                slow.append(piece)
+            else:
+                self[piece] = found
+        for k in range(0, len(slow), 10_000):
+            self.update(zip(slow[k : k + 10_000], self._slow(slow[k : k + 10_000]), strict=True))
 
     def encode(self, pieces: list[bytes]) -> bytes:
         return b"".join(map(self.__getitem__, pieces))
 
 
+@cache
+def _cache(path: str) -> PieceCache:
+    """One cache for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return PieceCache(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, task, rank and, unless left out, ids.
 
@@ -64,18 +115,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        cache, end, task, seen = PieceCache(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), dict.fromkeys((1 << k for k in range(most.bit_length())), 0)
+        known, end, task, seen = _cache(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), dict.fromkeys((1 << k for k in range(most.bit_length())), 0)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 texts = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
-                cache.learn(set().union(*texts))
+                known.learn(set().union(*texts))
                 rows, crcs, starts, lengths, totals, ranks, ids = [], [], [], [], [], [], []
                 for row, text in enumerate(texts):
-                    found = cache.encode(text) + end
+                    found = known.encode(text) + end
                     start, total = 0, len(found) // 4
                     for n in binary_lengths(total, most):
                         piece = found[4 * start : 4 * (start + n)]

@@ -32,7 +32,7 @@ def test_binary_lengths(n):
 def test_pieces_of_text_encode_like_the_whole():
     whole = Tokenizer.from_file(PATH)
     rng = random.Random(1)
-    chars = "abE é'sß1 \n\t\x0b\x1f !#<|>ñ́‍Σkк中"
+    chars = "abEÀÿŸªºµʰ é'sß1 \n\t\x0b\x1f !#<|>ñ́‍Σkк中"
     texts = TEXTS + ["".join(rng.choice(chars) for _ in range(rng.randrange(60))) for _ in range(1500)]
     cache = PieceCache(PATH, most=300)
     for text in texts:
