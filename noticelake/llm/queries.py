@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import chatformat, decontam, linededup, packing, qualityclf, qualityrules, sharding, simhash
+from noticelake.llm import chatformat, decontam, linededup, packing, qualityclf, qualityrules, sharding, simhash, toxicity
 from noticelake.llm.common import LOWER, UPPER, table
 
 #: Where the public tokenizers' files are, on every machine.
@@ -58,6 +58,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = "crc32(cast(doc_id as string)) % 5 = 0"
+    found, _ = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_learn=f"not ({held_out})")
+    return found.select("doc_id", F.expr(held_out).alias("held_out"), "score", F.expr("cast(score >= 0.5 as int)").alias("predicted"))
+
+
 #: Fixed by the contract: a conversation whose texts are control strings.
 HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 

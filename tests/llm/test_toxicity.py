@@ -1,0 +1,75 @@
+import random
+import zlib
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from noticelake.llm.toxicity import Lexicon, fold, score_toxicity
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (None, " "), ("", " "), ("...", " "), ("You IDIOT!!", " you idiot "), ("1d10t", " idiot "), ("іdіоt", " idiot "), ("st@p1d$$$ x", " stapid x "),
+        ("$cum 5cum", " scum scum "), ("réeuxç Ñ", " reeuxc n "), ("2024 is 5", " is "), ("κlοwn", " klown "), ("a\nb-c", " a b c "), ("!!!! 0000", " "), ("groß", " gross "),
+    ],
+)
+def test_fold(text, want):
+    assert fold(text) == want
+
+
+def test_fold_is_quick_on_long_runs():
+    assert fold("!" * 300_000 + "1" * 300_000 + " a1b") == " aib "
+
+
+LEX = Lexicon({" bad ": 2.0, " bad": 1.0, " badly ": 3.0, " worse": 4.0}, frozenset({"bad hair", "not worse than"}))
+
+
+def plain_weight(text):
+    words = text.split()
+    out = 0.0
+    for i, w in enumerate(words):
+        excused = any(words[i + d : i + d + len(p.split())] == p.split() and i + d >= 0 for p in LEX.exceptions for d in range(1 - len(p.split()), 1))
+        fits = [x for p, x in LEX.weights.items() if (w == p.strip() if p.endswith(" ") else w.startswith(p.strip()))]
+        out += 0 if excused else max(fits, default=0.0)
+    return out
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["bad", "badly", "badge", "worse", "worsen", "hair", "not", "than", "x", "abad"])))
+def test_automaton_matches_a_plain_search(words):
+    assert LEX.weight(fold(" ".join(words))) == pytest.approx(plain_weight(" ".join(words)))
+
+
+def test_learned_scores(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bcdfghklmn") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
+    rows, labels = [], []
+    for i in range(600):
+        words = [word() for _ in range(rng.randrange(5, 120))]
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(["zonkface", "zonkbrain", "qwertwit", "QWERTW1T"]))
+        elif i % 5 == 1:
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = ["quite", "qwertwit", "bird"]
+        rows.append((i, " ".join(words)))
+        if i % 7:
+            labels.append((i, 1, int(toxic)))
+    rows += [(900, None), (901, ""), (None, "zonkface zonkbrain zonkface"), (3, rows[3][1]), (902, rows[0][1] + " la" * 20_000)]
+    docs = spark.createDataFrame([(*r, 3, "w") for r in rows], "doc_id long, text string, label int, weight string")
+    table = spark.createDataFrame([*labels, (4, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rule = "not (crc32(cast(doc_id as string)) % 5 = 0)"
+    found, lexicon = score_toxicity(docs, table, may_learn=rule)
+    got = found.collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows) and all(0 <= r.score <= 1 for r in got)
+    assert " zonk" in lexicon.weights and "qwertwit bird" in lexicon.exceptions
+    held = [r for r in got if r.doc_id is not None and r.doc_id < 600 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert len(held) > 80 and all((r.score >= 0.5) == (r.doc_id % 5 == 0) for r in held)
+    by = {r.doc_id: r.score for r in got}
+    assert by[900] == by[901] < 0.5 < by[None]
+    none, empty = score_toxicity(docs, table.where("false"))
+    assert empty.weights == {} and all(r.score < 0.5 for r in none.collect())
+    assert score_toxicity(docs.where("false"), table)[0].collect() == []
