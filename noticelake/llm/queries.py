@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import chatformat, decontam, linededup, packing, qualityclf, qualityrules, sharding, simhash, toxicity
+from noticelake.llm import chatformat, decontam, licensescan, linededup, packing, qualityclf, qualityrules, sharding, simhash, toxicity
 from noticelake.llm.common import LOWER, UPPER, table
 
 #: Where the public tokenizers' files are, on every machine.
@@ -124,3 +124,30 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = "crc32(cast(doc_id as string)) % 4 = 2"
     found, _ = qualityclf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), may_learn=f"not ({held_out})")
     return found.select("doc_id", F.expr(held_out).alias("held_out"), "score", F.expr("cast(score >= 0.7 as int)").alias("predicted"))
+
+
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licensescan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_NORM = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
+_TEXTS = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(licensescan.TEMPLATES))
+_BIGRAMS = """select {ids}, g, row_number() over (partition by {ids}, g) k from (
+   select {ids}, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g from {words} where len(w) > 1)"""
+ORACLE_SQL["op10_license_scan"] = f"""
+with t as (select template, license, string_split({_NORM.format("x")}, ' ') w from (values {_TEXTS}) v(template, license, x)),
+ d as (select row_number() over () uid, doc_id, list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: {_NORM.format("x")}) l from documents),
+ j as (select uid, doc_id, l, trim(array_to_string(l, chr(10)), chr(10)) s from d),
+ b as (select *, string_split_regex(s, '\n\n+') bs from j),
+ u as (select uid, 'text' unit, 0 place, regexp_replace(s, '\n+', ' ', 'g') x from j
+  union all select uid, 'block', i - 1, replace(bs[i], chr(10), ' ') from (select uid, bs, unnest(generate_series(1, len(bs))) i from b where len(bs) > 1)
+  union all select uid, 'line', i - 1, l[i] from (select uid, l, unnest(generate_series(1, len(l))) i from j where len(l) > 1)),
+ uw as (select uid, unit, place, string_split(x, ' ') w from u where len(string_split(x, ' ')) between 2 and 400),
+ ub as ({_BIGRAMS.format(ids="uid, unit, place", words="uw")}),
+ tb as ({_BIGRAMS.format(ids="template", words="t")}),
+ c as (select uid, unit, place, template, count(*) n from ub join tb on ub.g = tb.g and ub.k = tb.k group by all),
+ r as (select uid, unit, cast(place as int) place, cast(template as int) template, license, 2 * n / (len(uw.w) + len(t.w) - 2) dice
+  from c join uw using (uid, unit, place) join t using (template))
+select doc_id, unit, place, template, license, dice from r join d using (uid) where dice >= 0.8
+"""
