@@ -52,7 +52,7 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """(id, raw_json) of per-notice result files named result_<id>.json."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "result_*.json").load(folder)
     ident = F.regexp_extract("path", r"result_([0-9]+)\.json$", 1).try_cast("long")
-    return files.select(ident.alias("id"), F.decode("content", F.lit("UTF-8")).alias("raw_json")).where("id is not null")
+    return files.select(ident.alias("id"), F.decode("content", "UTF-8").alias("raw_json")).where("id is not null")
 
 
 def write_run(rows: DataFrame, folder: str, run_id: str) -> None:
