@@ -69,7 +69,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _index(fps: DataFrame) -> DataFrame:
     """(fp, q, bit, key): each fingerprint under its 2 segment values (q 32) and its 64 one-wildcard variants (q: the bit)."""
-    places = fps.select("fp", F.explode(F.array(*(F.lit(i) for i in range(66)))).alias("p"))
+    # each row makes 66: dealt by number of rows, which sizes in bytes would understate
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    places = dealt.select("fp", F.explode(F.array(*(F.lit(i) for i in range(66)))).alias("p"))
     segment = places.select("fp", F.expr("p div 33").cast("int").alias("s"), F.expr("p % 33").alias("q"), F.expr("(case when p < 33 then fp else shiftrightunsigned(fp, 32) end) & 4294967295").alias("v"))
     masked = segment.select("fp", "q", "s", F.expr("case when q < 32 then cast(shiftright(v, q) & 1 as int) else 0 end").alias("bit"), F.expr("case when q < 32 then v & ~shiftleft(1L, q) else v end").alias("v"))
     return masked.select("fp", "q", "bit", F.expr("shiftleft(cast(s * 33 + q as bigint), 32) | v").alias("key"))
