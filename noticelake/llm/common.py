@@ -48,6 +48,19 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(rows: DataFrame, id_col: str, most_rows: int) -> DataFrame:
+    """About ``most_rows`` of the rows, never more, chosen by a hash of the id: the same ones in every run.
+
+    The share follows from a count, so that tasks send what is chosen and no
+    more, however many tasks there are.
+    """
+    n = rows.count()
+    if n <= most_rows:
+        return rows
+    share = max(0.0, most_rows - 4 * most_rows**0.5) / n  # the limit is then reached once in 30,000 runs
+    return rows.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most_rows)
+
+
 def ascii_lower(text):
     """A-Z to a-z and nothing else; pure ASCII takes the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -94,7 +94,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(rows, forest): doc_id, its may_learn flag and score of every row of ``docs``.
 
     ``may_learn`` is SQL over doc_id that says which labels may be used; of these
-    at most ``most_rows`` (the first by hash of the id) fit the trees.  Scores
+    at most ``most_rows`` (chosen by hash of the id) fit the trees.  Scores
     use statistics of the whole text only.  Null texts score as empty ones; a
     null id is scored and teaches nothing; rows that repeat an id are scored
     each; where an id has several labels the largest counts; no labels give one

@@ -118,7 +118,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     The statistics are of every whole text, computed once and written.  The
     list is learned from at most ``most_rows`` labelled rows that pass the base
-    rules (the first by hash of the id) and judges all rows.  A null text counts
+    rules (chosen by hash of the id) and judges all rows.  A null text counts
     as empty and fails the base; a row without an id is judged but teaches
     nothing; rows that repeat an id are judged each; where an id has several
     labels the largest counts.  Without labels only the base rules reject.

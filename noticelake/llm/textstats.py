@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticelake.llm.common import hash_sample
+
 #: The symbols that the base statistics count.
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks", "n_stops")
@@ -109,8 +111,8 @@ def with_measures(stats: DataFrame) -> DataFrame:
 
 
 def labelled_sample(measured: DataFrame, labels: DataFrame, label_col: str, most_rows: int, id_col: str = "doc_id", features: tuple[str, ...] = tuple(MEASURES)) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) of at most ``most_rows`` labelled rows, the first by hash of the id: what a model is fitted on."""
+    """(features, labels) of at most ``most_rows`` labelled rows, chosen by hash of the id: what a model is fitted on."""
     known = labels.where(f"`{label_col}` is not null").select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias("label")).groupBy(id_col).agg(F.max("label").alias("label"))
-    rows = measured.join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(most_rows).select("label", *features).collect()
+    rows = hash_sample(measured.join(known, id_col), id_col, most_rows).orderBy(id_col).select("label", *features).collect()
     found = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(features))
     return found[:, 1:], found[:, 0].astype(int)
