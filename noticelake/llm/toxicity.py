@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import written
+from noticelake.llm.common import hash_sample, written
 
 #: Letters of other scripts that look like Latin ones, and Latin letters that do not decompose.
 HOMOGLYPHS = str.maketrans(
@@ -198,7 +198,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     ``may_learn`` is SQL over doc_id that says which labels may be used.  Of
     these at most ``most_rows`` are used, half of them toxic where there are as
-    many (the first of each by hash of the id).  Scores use the whole text only.
+    many (chosen by hash of the id).  Scores use the whole text only.
     Null and empty texts have weight 0; a null id is scored and teaches nothing;
     rows that repeat an id are scored each; where an id has several labels the
     largest counts; without both kinds of label the default slopes score an
@@ -207,7 +207,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(may_learn).groupBy("doc_id").agg(F.max("label").alias("label"))
-    picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, most_rows // 2), (0, most_rows // 2))]
+    picked = [hash_sample(known.where(F.col("label") == k), "doc_id", most_rows // 2) for k in (0, 1)]
     chosen = written(picked[0].unionByName(picked[1]), "chosen")
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     sample = written(source.join(chosen, "doc_id").withColumn("n", once).where("n = 1").select("label", "text"), "sample")
