@@ -4,11 +4,14 @@ A text is compared whole, by blank-line block and by line, so that both licence
 files and notices inside other text are found.  Only templates whose size allows
 the wanted similarity are compared: each template is listed under every number of
 bigrams that it can match, and units meet it by an equality join on their own.
+Units without any of the words that a similar text must hold are left out before
+their bigrams are built.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,6 +98,33 @@ def templates(spark: SparkSession, texts=TEMPLATES) -> DataFrame:
     return rows.select("template", "license", _bigrams(whole).alias("t_bigrams")).withColumn("t_size", F.size("t_bigrams"))
 
 
+def telling_words(text: str, threshold: float) -> set[str]:
+    """Words of a template of which every text that is similar enough holds one.
+
+    Such a text shares all but a known number of the template's bigrams, so it
+    holds a word of any set that touches more bigrams than that; long words are
+    taken first, as they are rare elsewhere.
+    """
+    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    n = len(words) - 1
+    missing = n - math.ceil(threshold / 2 * (_least(threshold, n) + n) - 1e-9)
+    chosen: set[str] = set()
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        chosen.add(word)
+        if sum(a in chosen or b in chosen for a, b in zip(words, words[1:], strict=False)) > missing:
+            break
+    return chosen
+
+
+def _least(threshold: float, n: int) -> int:
+    """The fewest bigrams of a text that can be similar to one of n."""
+    return math.ceil(threshold / (2 - threshold) * n - 1e-9)
+
+
+def _most(threshold: float, n: int) -> int:
+    return math.floor((2 - threshold) / threshold * n + 1e-9)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(id, unit, place, template, license, dice) of every unit and template with a Dice coefficient of at least ``threshold``.
 
@@ -106,9 +136,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=
     """
     spark = docs.sparkSession
     known = templates(spark, texts)
-    sizes = [r.t_size for r in known.select("t_size").collect()]  # one for each template
-    low, high = (lambda n: math.ceil(threshold / (2 - threshold) * n - 1e-9)), (lambda n: math.floor((2 - threshold) / threshold * n + 1e-9))
-    bounds = spark.createDataFrame([(s, i) for i, n in enumerate(sizes) for s in range(max(1, low(n)), high(n) + 1)], "u_size int, template int")
+    sizes = [r.t_size for r in known.orderBy("template").select("t_size").collect()]  # one for each template
+    spans = [(max(1, _least(threshold, n)), _most(threshold, n)) for n in sizes]
+    bounds = spark.createDataFrame([(s, i) for i, (low, high) in enumerate(spans) for s in range(low, high + 1)], "u_size int, template int")
+    telling = sorted(set().union(*(telling_words(t, threshold) for _, t in texts)))
     lines = docs.select(F.col(f"`{id_col}`").alias("id"), _lines(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("lines"))
     joined = lines.withColumn("joined", F.btrim(F.array_join("lines", "\n"), F.lit("\n")))
     blocks = joined.withColumn("blocks", F.split("joined", "\n\n+"))
@@ -122,7 +153,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=
         F.when(F.size("blocks") > 1, F.transform("blocks", lambda b, i: unit("block", i, F.replace(b, F.lit("\n"), F.lit(" "))))).otherwise(none),
         F.when(F.size("lines") > 1, F.transform("lines", lambda x, i: unit("line", i, x))).otherwise(none),
     )
-    fits = F.filter(units, lambda u: (_n_words(u["content"]) - 1).between(max(1, low(min(sizes))), high(max(sizes))))
+    low, high = min(low for low, _ in spans), max(high for _, high in spans)
+    told = f"(?:^| )(?:{'|'.join(telling)})(?: |$)"
+    fits = F.filter(units, lambda u: (_n_words(u["content"]) - 1).between(low, high) & u["content"].rlike(told))
     found = blocks.select("id", F.inline(fits)).withColumn("u_size", _n_words(F.col("content")) - 1)
     met = found.withColumn("bigrams", _bigrams(F.col("content"))).drop("content").join(F.broadcast(bounds), "u_size").join(F.broadcast(known), "template")
     dice = 2 * F.size(F.array_intersect("bigrams", "t_bigrams")) / (F.col("u_size") + F.col("t_size"))
