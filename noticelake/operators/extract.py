@@ -62,24 +62,40 @@ def transit_records(good: DataFrame) -> DataFrame:
     return good.select(F.expr("uuid()").alias("id"), message.alias("original_message"), F.col("parsed.bus_lines").alias("bus_lines"))
 
 
-#: Words before a name that a location keeps, and those it loses.
-KEPT_WORDS = ("бул.", "ж.к.", "кв.", "м-т", "бл.")
-LOST_WORDS = ("ул.", "с.", "гр.")
+#: Words before the name of a town (left out), a district (kept), a street (left out or kept) and a block.
+TOWN_WORDS = ("с.", "гр.")
+DISTRICT_WORDS = ("ж.к.", "кв.", "м-т")
+STREET_WORDS = {"ул.": "", "бул.": "бул. "}
+BLOCK_WORD = "бл."
 DEFAULT_CITY = "Варна"
-_NAME = r"[\"„“]?\s*([А-Я][А-Яа-я.\- ]*?[А-Яа-я])\s*[\"“”]?(?=[\s,.;]|$)"
+_NAME = r"\s*[\"„“]?\s*([А-Я][А-Яа-я.\- ]*?[А-Яа-я])\s*[\"“”]?(?=[\s,.;]|$)"
+_DATE = re.compile(r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}")
+
+
+def _named(word: str, message: str) -> list[str]:
+    return re.findall(r"(?<![А-Яа-я])" + re.escape(word) + _NAME, message)
+
+
+def _clock_after(word: str, message: str) -> str | None:
+    """HH:MM of the first time of day behind a word, as hour alone or with minutes."""
+    found = re.search(rf"(?i)(?<!\w){word}\s*(?:около\s*)?([0-9]{{1,2}}+)(?:\s*[.,:]\s*([0-9]{{2}})(?![.0-9]))?+(?!\.?[0-9]|-)\s*ч?", _DATE.sub(" ", message))
+    minutes = found and int(found[1]) * 60 + int(found[2] or 0)
+    return None if minutes is None or minutes > 1440 or int(found[2] or 0) > 59 else f"{minutes // 60:02d}:{minutes % 60:02d}"
 
 
 def rule_extractor(system: str, message: str) -> str:
-    """A deterministic stand-in for a language model: towns, districts, streets and times by rule."""
-    towns = re.findall(r"(?<![А-Яа-я])(?:с|гр)\.\s*" + _NAME, message) or [DEFAULT_CITY]
-    inner = [f"{word} {name}" for word in ("ж.к.", "кв.", "м-т") for name in re.findall(r"(?<![А-Яа-я])" + re.escape(word) + r"\s*" + _NAME, message)]
-    streets = re.findall(r"(?<![А-Яа-я])ул\.\s*" + _NAME, message) + [f"бул. {n}" for n in re.findall(r"бул\.\s*" + _NAME, message)]
-    block = re.search(r"бл\.\s*([0-9]+)", message)
+    """A deterministic stand-in for a language model: towns, districts, streets, times and dates by rule."""
+    towns = [n for w in TOWN_WORDS for n in _named(w, message)] or [DEFAULT_CITY]
+    inner = [f"{word} {name}" for word in DISTRICT_WORDS for name in _named(word, message)]
+    streets = [kept + name for word, kept in STREET_WORDS.items() for name in _named(word, message)]
+    block = re.search(re.escape(BLOCK_WORD) + r"\s*([0-9]+)", message)
     if block:
-        streets = [f"бл. {block[1]}, {s}" for s in streets]
+        streets = [f"{BLOCK_WORD} {block[1]}, {s}" for s in streets]
     subs = [{"sublocation_name": x, "streets": streets} for x in inner] or ([{"sublocation_name": None, "streets": streets}] if streets else [])
     places = [{"location_name": t.strip(), "sublocations": subs if k == 0 else []} for k, t in enumerate(towns)]
-    return json.dumps({"locations": places, "start_time": None, "start_date": None, "end_time": None, "end_date": None}, ensure_ascii=False)
+    dates = [*_DATE.findall(message), None, None]
+    times = {"start_time": _clock_after("от", message), "start_date": dates[0], "end_time": _clock_after("до", message), "end_date": dates[1]}
+    return json.dumps({"locations": places, **times}, ensure_ascii=False)
 
 
 def flat_extraction(message: Column | str) -> Column:

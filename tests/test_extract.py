@@ -72,7 +72,11 @@ def test_geocode_looks_each_address_up_once(spark):
 def test_rule_extractor():
     got = json.loads(E.rule_extractor("", 'Без вода в гр.Град, кв."Горен", ул. "Първа", бл. 7 от 10 ч.'))
     assert got["locations"][0] == {"location_name": "Град", "sublocations": [{"sublocation_name": "кв. Горен", "streets": ["бл. 7, Първа"]}]}
+    assert (got["start_time"], got["end_time"], got["start_date"]) == ("10:00", None, None)
     assert json.loads(E.rule_extractor("", "Без вода"))["locations"][0]["location_name"] == E.DEFAULT_CITY
+    got = json.loads(E.rule_extractor("", "в с.Село и с. Друго от 14.00ч. на 03.01.2026г. до около 13,30 ч. на 05.01.2026г, бул. Трети"))
+    assert [x["location_name"] for x in got["locations"]] == ["Село", "Друго"] and got["locations"][0]["sublocations"][0]["streets"] == ["бул. Трети"]
+    assert [got[k] for k in ("start_time", "end_time", "start_date", "end_date")] == ["14:00", "13:30", "03.01.2026", "05.01.2026"]
 
 
 def test_flat_extraction(spark):
