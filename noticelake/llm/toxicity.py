@@ -29,7 +29,7 @@ HOMOGLYPHS = str.maketrans(
     {
         **{"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ԝ": "w", "х": "x", "у": "y"},
         **{"α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ω": "w", "χ": "x"},
-        **{"ß": "ss", "ø": "o", "ł": "l", "đ": "d", "ı": "i", "æ": "ae", "œ": "oe"},
+        **{"ø": "o", "ł": "l", "đ": "d", "ı": "i", "æ": "ae", "œ": "oe"},
     }
 )
 #: Digits and symbols that stand for letters, inside a word only.
@@ -37,6 +37,8 @@ STAND_INS = "0134578@$!|"
 _LETTERS = str.maketrans(STAND_INS, "oieastbasil")
 _MASKED = re.compile(f"[{STAND_INS}][a-z]")
 _RUN = re.compile(f"[a-z{STAND_INS}]++")
+_WORD = re.compile("[^\\W\\d_]+")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 _KEEP = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -47,23 +49,34 @@ def _unmask(run: re.Match) -> str:
 
 
 def fold(text: str | None) -> str:
-    """Lower-case ASCII words with one space before, between and after; no words give one space."""
+    """Lower-case words with one space before, between and after; no words give one space.
+
+    Accented words keep their accents, which tell words of some languages apart,
+    and come again without them behind all words and one more space.
+    """
     text = (text or "").lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(HOMOGLYPHS)
-        text = re.sub("[\u0300-\u036f]+", "", text)
+        text = text.translate(HOMOGLYPHS)
     if _MASKED.search(text):
         text = _RUN.sub(_unmask, text)
-    words = text.encode("ascii", "replace").translate(_KEEP).split()
-    return b" ".join([b"", *words, b""]).decode() if words else " "
+    if text.isascii():
+        words = text.encode().translate(_KEEP).split()
+        return b" ".join([b"", *words, b""]).decode() if words else " "
+    words = _WORD.findall(unicodedata.normalize("NFC", text))
+    plain = [w for w in (_ACCENTS.sub("", unicodedata.normalize("NFKD", x)) for x in words if not x.isascii()) if w.isascii()]
+    return " ".join(["", *words, "", *plain, ""]) if words and plain else " ".join(["", *words, ""]) if words else " "
+
+
+def count_words(folded: str) -> int:
+    return len(folded.partition("  ")[0].split())
 
 
 @dataclass(frozen=True)
 class Lexicon:
     """Patterns with weights; ``" word "`` matches the word, ``" word"`` every word that begins so.
 
-    A word counts once, with its heaviest pattern, unless it lies in an
-    exception phrase.  score = logistic(intercept + by_weight * log1p(weight)
+    A word counts once, with its heaviest pattern (an accented one once more
+    without accents), unless it lies in an exception phrase.  score = logistic(intercept + by_weight * log1p(weight)
     + by_length * log1p(words)).
     """
 
@@ -87,7 +100,7 @@ class Lexicon:
         return found
 
     def weight(self, folded: str) -> float:
-        """The summed weight of the words that no exception excuses."""
+        """The summed weight of the words of a folded text that no exception excuses."""
         if not self.weights:
             return 0.0
         best: dict[int, float] = {}
@@ -173,7 +186,7 @@ def _weighed(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...]) -> DataFr
         weigh = shared.value.weight
         for batch in batches:
             folded = (fold(t) for t in batch.column(len(keep)).to_pylist())
-            found = [(weigh(f), max(0, f.count(" ") - 1)) for f in folded]
+            found = [(weigh(f), count_words(f)) for f in folded]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([w for w, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], [*keep, "weight", "words"])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
@@ -210,7 +223,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     picked = [hash_sample(known.where(F.col("label") == k), "doc_id", most_rows // 2) for k in (0, 1)]
     chosen = written(picked[0].unionByName(picked[1]), "chosen")
     once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    sample = written(source.join(chosen, "doc_id").withColumn("n", once).where("n = 1").select("label", "text"), "sample")
+    sample = written(source.join(F.broadcast(chosen), "doc_id").withColumn("n", once).where("n = 1").select("label", "text"), "sample")
     lexicon = learn_lexicon(sample)
     # the sample holds toxic texts more often than the labels do
     there, here = ({r.label: r.n for r in x.groupBy("label").agg(F.count("*").alias("n")).collect()} for x in (known, sample))

@@ -5,20 +5,24 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from noticelake.llm.toxicity import Lexicon, fold, score_toxicity
+from noticelake.llm.toxicity import Lexicon, count_words, fold, score_toxicity
 
 
 @pytest.mark.parametrize(
     ("text", "want"),
     [
         (None, " "), ("", " "), ("...", " "), ("You IDIOT!!", " you idiot "), ("1d10t", " idiot "), ("іdіоt", " idiot "), ("st@p1d$$$ x", " stapid x "),
-        ("$cum 5cum", " scum scum "), ("réeuxç Ñ", " reeuxc n "), ("2024 is 5", " is "), ("κlοwn", " klown "), ("a\nb-c", " a b c "), ("!!!! 0000", " "), ("groß", " gross "),
+        ("$cum 5cum", " scum scum "), ("réeuxç Ñ a", " réeuxç ñ a  reeuxc n "), ("2024 is 5", " is "), ("κlοwn", " klown "), ("a\nb-c", " a b c "), ("!!!! 0000", " "), ("groß", " groß "), ("ïdíot кот", " ïdíot kot  idiot "),
     ],
 )
 def test_fold(text, want):
     assert fold(text) == want
 
 
+def test_words_are_counted_once():
+    assert [count_words(fold(t)) for t in ("", "a b", "é b", "é ü", None)] == [0, 2, 2, 2, 0]
+
+
 def test_fold_is_quick_on_long_runs():
     assert fold("!" * 300_000 + "1" * 300_000 + " a1b") == " aib "
 
