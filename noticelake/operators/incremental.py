@@ -70,7 +70,8 @@ def until_misses(hits: DataFrame, start: int | None = None, misses: int = 3, id_
         candidates = ids
     follow = ids.select(F.explode(F.array(*(F.col("id") - k for k in range(1, misses + 1)))).alias("id")).distinct()
     last = candidates.join(follow, "id", "left_anti").agg(F.min("id").alias("last"))
-    return hits.join(F.broadcast(last), F.col(id_col).cast("long") <= F.col("last")).where(F.col(id_col) >= start if before else F.lit(True)).drop("last")
+    met = hits.where(F.col(id_col).cast("long") <= last.scalar())
+    return met.where(F.col(id_col) >= start) if before else met
 
 
 def last_valid(hits: DataFrame, start: int | None = None, misses: int = 3, id_col: str = "id") -> DataFrame:
