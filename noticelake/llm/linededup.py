@@ -1,9 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-The runs are a log-structured store: each batch of documents adds one run, a
-table bucketed and sorted by line hash, and whenever a level holds ``fanout``
-runs they are merged into one of the next level.  A batch is merge-anti-joined
-with the runs, bucket by bucket, without moving the runs.
+The runs are a log-structured store of tables bucketed and sorted by line hash.
+Each batch of documents meets them in a merge anti join, bucket by bucket and
+without moving the runs, and becomes a run itself, in which lines that no
+earlier run holds are marked as first finds.  So later batches are compared with
+every line once.  A level that holds ``fanout`` runs is compacted into one run of
+the next level before more come.
 """
 
 from __future__ import annotations
@@ -31,52 +33,69 @@ def _keys(text: Column, least: int) -> Column:
     return F.array_distinct(F.transform(F.filter(keys, lambda k: F.char_length(k) >= least), _hash))
 
 
+RUN = "h1 long, h2 long, n_docs long, max_id long, first boolean"
+
+
 class LineRuns:
-    """Rows (h1, h2, n_docs, max_id) by line hash, in levels of sorted runs."""
+    """Rows (h1, h2, n_docs, max_id, first) by line hash; of the rows of a hash one is a first find."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
+        """A bucketed and sorted table; the rows must be dealt by bucket already."""
         name = f"line_run_{uuid.uuid4().hex}"
         self.paths[name] = fresh_path(self.spark, name)
-        rows.select("h1", "h2", "n_docs", "max_id").write.bucketBy(self.buckets, "h1").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
+        rows.select("h1", "h2", "n_docs", "max_id", "first").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
-    def merged(self) -> DataFrame | None:
-        """One row for each hash of all runs; None before the first batch."""
-        return self._merge([n for level in self.levels for n in level])
-
-    def _merge(self, names: list[str]) -> DataFrame | None:
+    def _merged(self, names: list[str]) -> DataFrame:
+        """One row for each hash of the runs."""
         # by path: Spark 4.1 groups a union of bucketed tables without the exchange that it needs
-        if not names:
-            return None
-        rows = self.spark.read.schema("h1 long, h2 long, n_docs long, max_id long").parquet(*(self.paths[n] for n in names))
-        return rows.repartition(self.buckets, "h1").groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"))
+        rows = self.spark.read.schema(RUN).parquet(*(self.paths[n] for n in names)) if names else self.spark.createDataFrame([], RUN)
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_id").alias("max_id"), F.bool_or("first").alias("first"))
+
+    @property
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def _held(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("first").select("h1", "h2").hint("merge")
 
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of a batch (h1, h2, ...) whose hash no run holds: one merge anti join for each run."""
-        for name in (n for level in self.levels for n in level):
-            batch = batch.join(self.spark.table(name).hint("merge"), ["h1", "h2"], "left_anti")
+        for name in self.runs:
+            batch = batch.join(self._held(name), ["h1", "h2"], "left_anti")
         return batch
 
+    def _marked(self, batch: DataFrame) -> DataFrame:
+        """The batch with first: whether :meth:`unseen` would return the row.  One pass, as the rest is kept too."""
+        seen = F.lit(False)
+        for k, name in enumerate(self.runs):
+            batch = batch.join(self._held(name).withColumn(f"in_{k}", F.lit(True)), ["h1", "h2"], "left")
+            seen = seen | F.col(f"in_{k}").isNotNull()
+        return batch.withColumn("first", ~seen)
+
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch (h1, h2, id), one row for each document and key, as a run; compacts full levels."""
+        """Compacts full levels, then adds a batch (h1, h2, id) of one row for each document and key."""
+        for k in range(len(self.levels)):
+            if len(self.levels[k]) >= self.fanout:
+                if k + 1 == len(self.levels):
+                    self.levels.append([])
+                self.levels[k + 1].append(self._write(self._merged(self.levels[k]).repartition(self.buckets, "h1", "h2")))
+                self.levels[k] = []
         rows = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("max_id"))
-        self.levels[0].append(self._write(rows.repartition(self.buckets, "h1")))
-        for k, level in enumerate(self.levels):
-            if len(level) < self.fanout:
-                break
-            if k + 1 == len(self.levels):
-                self.levels.append([])
-            self.levels[k + 1].append(self._write(self._merge(level)))
-            self.levels[k] = []
+        self.levels[0].append(self._write(self._marked(rows.repartition(self.buckets, "h1", "h2"))))
+
+    def totals(self) -> DataFrame:
+        """(h1, h2, n_docs, max_id) of every key over all batches."""
+        return self._merged(self.runs).drop("first")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 40, least_docs: int = 5, batches: int = 3, fanout: int = 2) -> DataFrame:
     """``docs`` with text replaced by the kept lines, and n_lines, n_dropped.
 
     A line's key is the line without outer ASCII white space, A-Z lowered.  Keys
@@ -96,7 +115,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = LineRuns(docs.sparkSession, fanout)
     for k in range(batches):
         runs.add(keys.where(F.col("batch") == k))
-    common = written(runs.merged().where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_id"), "common-lines")
+    common = written(runs.totals().where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_id"), "common-lines")
     losing = keys.join(common, ["h1", "h2"]).where("id <> max_id").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
     losing = written(losing.withColumnRenamed("id", "__id"), "drops")
     split = F.split(text, "\n")
