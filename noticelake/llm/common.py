@@ -37,6 +37,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written to the shared folder and read back.
 

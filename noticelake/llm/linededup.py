@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import SPACES, ascii_lower, fresh_path, written
+from noticelake.llm.common import SPACES, ascii_lower, fresh_path, remove, written
 
 
 def line_key(line: Column) -> Column:
@@ -85,11 +85,20 @@ class LineRuns:
             if len(self.levels[k]) >= self.fanout:
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(self._write(self._merged(self.levels[k]).repartition(self.buckets, "h1", "h2")))
-                self.levels[k] = []
+                old, self.levels[k] = self.levels[k], []
+                self.levels[k + 1].append(self._write(self._merged(old).repartition(self.buckets, "h1", "h2")))
+                self.drop(old)
         rows = batch.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("id").alias("max_id"))
         self.levels[0].append(self._write(self._marked(rows.repartition(self.buckets, "h1", "h2"))))
 
+    def drop(self, names: list[str] | None = None) -> None:
+        """Gives up runs, all by default, with their tables and files."""
+        for name in self.runs if names is None else names:
+            self.spark.sql(f"drop table if exists {name}")
+            remove(self.spark, self.paths.pop(name))
+        if names is None:
+            self.levels = [[]]
+
     def totals(self) -> DataFrame:
         """(h1, h2, n_docs, max_id) of every key over all batches."""
         return self._merged(self.runs).drop("first")
@@ -116,6 +125,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     for k in range(batches):
         runs.add(keys.where(F.col("batch") == k))
     common = written(runs.totals().where(F.col("n_docs") >= least_docs).select("h1", "h2", "max_id"), "common-lines")
+    runs.drop()
     losing = keys.join(common, ["h1", "h2"]).where("id <> max_id").groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
     losing = written(losing.withColumnRenamed("id", "__id"), "drops")
     split = F.split(text, "\n")

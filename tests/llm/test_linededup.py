@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def test_against_brute_force(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(100, None), (101, ""), (102, "\n\n"), (3, rows[3][1]), (None, common[11]), (103, "\n".join(common * 3)), (104, "é" * 39), (105, "é" * 40)] + [(200 + i, "é" * 40 + "\n" + "é" * 39) for i in range(5)]
     docs = spark.createDataFrame([(*r, "h", 5) for r in rows], "doc_id long, text string, h1 string, n_lines int")
-    for batches, fanout in ((4, 2), (1, 4)):
+    for batches, fanout in ((5, 2), (1, 4)):
         got = drop_repeated_lines(docs, batches=batches, fanout=fanout)
         assert got.columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
         assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()) == brute(rows)
@@ -53,9 +54,22 @@ def test_runs_compact_and_know_what_they_hold(spark):
         runs.add(batch)
         seen |= set(ids)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(r.h1, r.n_docs) for r in runs.merged().collect()} == {(i, 1 + (i >= 10 and i % 10 < 5 and i < 50)) for i in seen}
+    held = [r.h1 for name in runs.runs for r in spark.table(name).where("first").collect()]
+    assert sorted(held) == sorted(seen)  # each a first find once
+    assert {(r.h1, r.n_docs) for r in runs.totals().collect()} == {(i, 1 + (i >= 10 and i % 10 < 5 and i < 50)) for i in seen}
     plan = runs.unseen(batch.where(F.col("h1") > 3))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan
+    assert plan.count("Exchange") == 1  # the batch is dealt once, the runs are not
+    assert all(len(os.listdir(runs.paths[n].removeprefix("file:"))) <= 2 * (1 + 3) for n in runs.runs)  # a file for each bucket, and checksums
+
+
+def test_dropped_runs_leave_nothing(spark):
+    runs = LineRuns(spark, buckets=2)
+    runs.add(spark.createDataFrame([(1, 2, 3)], "h1 long, h2 long, id long"))
+    (name,), (path,) = runs.runs, runs.paths.values()
+    runs.drop()
+    assert runs.runs == [] and not spark.catalog.tableExists(name) and not os.path.exists(path.removeprefix("file:"))
+    assert runs.totals().collect() == []
 
 
 def test_empty(spark):
