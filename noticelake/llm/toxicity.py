@@ -12,6 +12,7 @@ import math
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import cached_property
@@ -111,9 +112,11 @@ class Lexicon:
                 excused.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        for start, end in excused:
-            for at in [k for k in best if start <= k < end]:
-                del best[at]
+        if excused:
+            starts = sorted(best)
+            for start, end in excused:
+                for at in starts[bisect_left(starts, start) : bisect_left(starts, end)]:
+                    best.pop(at, None)
         return math.fsum(best.values())
 
     def score(self, weight, words):

@@ -46,6 +46,10 @@ def test_automaton_matches_a_plain_search(words):
     assert LEX.weight(fold(" ".join(words))) == pytest.approx(plain_weight(" ".join(words)))
 
 
+def test_many_hits_in_one_text():
+    assert LEX.weight(fold("bad hair worse " * 100_000)) == pytest.approx(400_000.0)
+
+
 def test_learned_scores(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("bcdfghklmn") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
