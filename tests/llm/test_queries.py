@@ -1,0 +1,52 @@
+"""The registered queries: columns, one row where the contract says one, and the SQL of those that have it."""
+
+import os
+
+import duckdb
+import pytest
+
+from noticelake.llm.queries import ORACLE_SQL, QUERIES
+
+DATA = "/root/testdata/sf0.001"
+COLUMNS = {
+    "op1_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op2_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op3_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op4_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op5_chat_format": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    "op6_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op7_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
+    "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op9_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10_license_scan": "doc_id bigint, unit string, place int, template int, license string, dice double",
+}
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_columns_and_rows(spark, name):
+    got = QUERIES[name](spark, DATA)
+    assert set(COLUMNS[name].split(", ")) <= {f"{c} {t}" for c, t in got.dtypes}
+    rows = got.collect()
+    ids = [r[0] if name != "op6_packing" else r.doc_id for r in rows]
+    if name in ("op5_chat_format", "op6_packing", "op10_license_scan"):
+        assert rows and all(i is not None for i in ids)
+    else:
+        want = [r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()]
+        assert sorted(ids) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_sql_says_the_same(spark, name):
+    db = duckdb.connect()
+    for file in os.listdir(DATA):
+        db.execute(f"create view {file.removesuffix('.parquet')} as select * from '{DATA}/{file}'")
+    got, want = QUERIES[name](spark, DATA), db.sql(ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str) == sorted((tuple(r[want.columns.index(c)] for c in columns) for r in want.fetchall()), key=str)
+
+
+@pytest.mark.parametrize("name", ["op3_sharding", "op7_line_dedup", "op10_license_scan"])
+def test_native_queries_run_no_python(spark, name):
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
