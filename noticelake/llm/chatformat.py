@@ -8,12 +8,15 @@ the formatted string can be mistaken for markup, and can be restored exactly.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +39,16 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
-def _tokenizer(path: str):
-    import os
+#: Fixed value: how the byte-level vocabulary's texts are cut before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+@cache
+def _tokenizer(path: str) -> tiktoken.Encoding:
+    """Without special tokens, so that no text is ever read as one."""
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def assemble(segments: list[tuple[list[int], bool]]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +65,8 @@ def assemble(segments: list[tuple[list[int], bool]]) -> tuple[np.ndarray, np.nda
 def format_chats(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """(conv_id, n_turns, ids, loss_mask) of each conversation, turns in order.
 
-    ``tokenizer`` is the path of a byte-level tokenizers file of at most
-    50,257 ids that every executor has.  Null roles and texts are empty; equal
+    ``tokenizer`` is the path of a byte-level tiktoken file of at most 50,257
+    ids that every executor has.  Null roles and texts are empty; equal
     turns are ordered by role and text, null turns come first; repeated rows are
     turns of their own; a null conv_id is a conversation like any other.  Other
     columns are not read.  Rows are encoded where they lie; only a conversation
@@ -76,9 +80,9 @@ def format_chats(rows: DataFrame, tokenizer: str, conv_col: str = "conv_id", tur
                 part = batch.slice(k, 500)
                 role, text = part.column(2).to_pylist(), part.column(3).to_pylist()
                 for r in set(role) - roles.keys():
-                    roles[r] = encoder.encode(escape(r), add_special_tokens=False).ids
-                found = encoder.encode_batch_fast([escape(t) for t in text], add_special_tokens=False)
-                turns = [assemble([([OPEN], False), (roles[r], False), ([CLOSE], False), (e.ids, r == loss_role), ([EOS], False)]) for r, e in zip(role, found, strict=True)]
+                    roles[r] = encoder.encode_ordinary(escape(r))
+                found = [encoder.encode_ordinary(escape(t)) for t in text]
+                turns = [assemble([([OPEN], False), (roles[r], False), ([CLOSE], False), (ids, r == loss_role), ([EOS], False)]) for r, ids in zip(role, found, strict=True)]
                 if len(roles) > 10_000:
                     roles.clear()
                 ends = pa.array(np.cumsum([0, *(len(ids) for ids, _ in turns)]), pa.int32())
@@ -116,8 +120,7 @@ def digests(chats: DataFrame, tokenizer: str) -> DataFrame:
     """What the formatted conversations say when read back: counts and digests of turns, loss text and string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _tokenizer(tokenizer)
-        decode = lambda ids: coder.decode(ids, skip_special_tokens=False)
+        decode = _tokenizer(tokenizer).decode
         for batch in batches:
             out = []
             for ids, mask in zip(batch.column(1), batch.column(2), strict=True):
