@@ -31,6 +31,11 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_anti")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of its own for each row, written so that it stays the same."""
+    return written(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, that of the smallest doc_id; rows that repeat an id are one.
 
@@ -43,9 +48,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold passages of the benchmark."""
-    found = written(decontam.contamination(docs, table(spark, sf_dir, "benchmark")), "contamination")
-    return _without(docs, found.where("contaminated").select(F.col("id").alias("doc_id")))
+    """Drops documents that hold passages of the benchmark; each row by its own text, whatever its id."""
+    keyed = _keyed(docs)
+    found = written(decontam.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="row_key"), "contamination")
+    bad = found.where("contaminated").select(F.col("id").alias("row_key"))
+    return keyed.join(bad.hint("merge"), "row_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,29 @@
+"""Pipeline stages on rows with null and repeated ids: each row is judged by its own text."""
+
+import random
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def texts(n, words=60, seed=5):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bcdfgklmn") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5)))
+    return [" ".join(word() for _ in range(words)) for _ in range(n)]
+
+
+def through(spark, stage, rows, sf_dir=""):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    got = stage(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+
+
+def test_decontamination_by_row(spark, tmp_path):
+    passage, *clean = texts(7, 20)
+    bad = [f"{t} {passage}" for t in clean[:3]]
+    spark.createDataFrame([(0, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [(None, clean[3]), (5, clean[4]), (6, clean[5]), (6, clean[5])]
+    got = through(spark, corpus_pipeline.decontamination, [(None, bad[0]), (5, bad[1]), (7, bad[2]), *kept], str(tmp_path))
+    assert got == sorted(kept, key=str)
