@@ -26,25 +26,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without those whose doc_id is in ``ids``; the same plan at every size."""
-    return docs.join(ids.where("doc_id is not null").distinct().hint("merge"), "doc_id", "left_anti")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a number of its own for each row, written so that it stays the same."""
     return written(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the smallest doc_id; rows that repeat an id are one.
+    """One row of each near-duplicate group stays, that of the smallest doc_id; rows without an id come last.
 
-    A document without an id cannot be named by another and stays, once for each text.
+    Rows are grouped by their texts alone, so rows that repeat an id are one only if their texts are near, and copies
+    without an id go like any other.  Of equal ids the least by a hash of the row stays, the same one in every run.
     """
-    groups = written(simhash.near_duplicates(docs), "groups")
-    kept = _without(docs, groups.where("id <> component_id").select(F.col("id").alias("doc_id")))
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null").dropDuplicates(["text"]))
+    order = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = _keyed(docs.withColumn("row_order", order))
+    groups = written(simhash.near_duplicates(keyed, id_col="row_key"), "groups").select(F.col("id").alias("row_key"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_order", "row_key")
+    least = keyed.select("row_key", "doc_id", "row_order").join(groups, "row_key").groupBy("component_id").agg(F.min(rank).alias("least"))
+    return keyed.join(least.select("least.row_key").hint("merge"), "row_key", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from noticelake.llm.simhash import fingerprint_texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,3 +28,25 @@ def test_decontamination_by_row(spark, tmp_path):
     kept = [(None, clean[3]), (5, clean[4]), (6, clean[5]), (6, clean[5])]
     got = through(spark, corpus_pipeline.decontamination, [(None, bad[0]), (5, bad[1]), (7, bad[2]), *kept], str(tmp_path))
     assert got == sorted(kept, key=str)
+
+
+def near(text):
+    """A copy with one word changed, within the distance of a near duplicate."""
+    prints = fingerprint_texts([text.encode()])[0]
+    words = text.split()
+    for k in range(len(words)):
+        copy = " ".join([*words[:k], "changed", *words[k + 1 :]])
+        if 0 < int(prints ^ fingerprint_texts([copy.encode()])[0]).bit_count() <= 3:
+            return copy
+    raise AssertionError("no near copy")
+
+
+def test_near_dedup_by_row(spark):
+    a, b, x, y, p, q, r = texts(7, 300)
+    repeated = [(50, a), (50, b)]  # one id, two texts: both stay
+    chained = [(3, x), (5, near(x)), (5, y), (7, near(y))]  # 5 goes for x and stays for y
+    unnamed = [(None, p), (None, near(p)), (None, p), (None, q), (9, near(q)), (None, r)]  # of p one, of q the named one
+    got = through(spark, corpus_pipeline.near_dedup, repeated + chained + unnamed)
+    ps = [t for i, t in got if t in (p, near(p))]
+    assert len(ps) == 1
+    assert got == sorted([*repeated, (3, x), (5, y), (None, ps[0]), (9, near(q)), (None, r)], key=str)
