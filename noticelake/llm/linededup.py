@@ -24,7 +24,8 @@ def line_key(line: Column) -> Column:
 
 def _hash(key: Column) -> Column:
     """128 bits, so that a corpus of 1e12 lines meets no accident."""
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
+    # the constant comes first: each argument is hashed with the hash so far as its seed, so after the key it would add nothing
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))
 
 
 def _keys(text: Column, least: int) -> Column:

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from noticelake.llm import linededup
 from noticelake.llm.linededup import LineRuns, drop_repeated_lines
 
 WS = " \t\n\x0b\x0c\r"
@@ -74,3 +75,10 @@ def test_dropped_runs_leave_nothing(spark):
 
 def test_empty(spark):
     assert drop_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_second_hash_has_a_seed_of_its_own(spark):
+    rows = spark.range(50).select(F.concat(F.lit("key "), "id").alias("key"))
+    got = rows.select("key", linededup._hash(F.col("key")).alias("h"), F.xxhash64("key", F.lit(1)).alias("chained")).collect()
+    assert len({r.h.h1 for r in got}) == len({r.h.h2 for r in got}) == 50
+    assert all(r.h.h2 != r.chained for r in got)  # the chained hash is a function of h1
