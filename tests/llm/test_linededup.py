@@ -1,6 +1,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from noticelake.llm import linededup
@@ -46,28 +47,63 @@ def test_against_brute_force(spark):
         assert sorted((str(r.doc_id), r.text, r.n_lines, r.n_dropped) for r in got.collect()) == brute(rows)
 
 
+def made(spark, k):
+    return spark.createDataFrame([(i, i * 7, i + 100 * k) for i in range(k * 10, k * 10 + 15)], "h1 long, h2 long, id long")
+
+
 def test_runs_compact_and_know_what_they_hold(spark):
     runs, seen = LineRuns(spark, fanout=2, buckets=3), set()
-    for k in range(5):
-        ids = range(k * 10, k * 10 + 15)
-        batch = spark.createDataFrame([(i, i * 7, i) for i in ids], "h1 long, h2 long, id long")
-        assert {r.h1 for r in runs.unseen(batch).collect()} == set(ids) - seen
+    for k in range(6):
+        batch, ids = made(spark, k), set(range(k * 10, k * 10 + 15))
+        assert {r.h1 for r in runs.unseen(batch).collect()} == ids - seen
         runs.add(batch)
-        seen |= set(ids)
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    held = [r.h1 for name in runs.runs for r in spark.table(name).where("first").collect()]
-    assert sorted(held) == sorted(seen)  # each a first find once
-    assert {(r.h1, r.n_docs) for r in runs.totals().collect()} == {(i, 1 + (i >= 10 and i % 10 < 5 and i < 50)) for i in seen}
+        seen |= ids
+        held = [r.h1 for run in runs.runs for r in spark.table(run.name).collect()]
+        assert sorted(held) == sorted(seen)  # each hash in one run
+        want = {(i, 1 + (i % 10 < 5 and 10 <= i < 10 * (k + 1)), i + 100 * min(i // 10, k)) for i in seen}
+        assert sorted((r.h1, r.n_docs, r.max_id) for r in runs.totals().collect()) == sorted(want)
+    assert [len(x) for x in runs.levels] == [2, 0, 1] and all(len(r.updates) <= 2 for r in runs.runs)
     plan = runs.unseen(batch.where(F.col("h1") > 3))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("SortMergeJoin") == 2 and "LeftAnti" in plan
+    assert plan.count("SortMergeJoin") == 3 and "LeftAnti" in plan
     assert plan.count("Exchange") == 1  # the batch is dealt once, the runs are not
-    assert all(len(os.listdir(runs.paths[n].removeprefix("file:"))) <= 2 * (1 + 3) for n in runs.runs)  # a file for each bucket, and checksums
+    assert "Aggregate" not in runs.totals()._jdf.queryExecution().executedPlan().toString() and "Exchange" not in runs.totals()._jdf.queryExecution().executedPlan().toString()
+    assert all(len(os.listdir(runs.paths[r.name].removeprefix("file:"))) <= 2 * (1 + 3) for r in runs.runs)  # a file for each bucket, and checksums
+    runs.drop()
+
+
+@pytest.mark.parametrize("join", ["unseen", "seen"])
+def test_the_answer_hangs_on_both_joins(spark, monkeypatch, join):
+    rows = [(i, "a line that five of the documents or more do hold " + ("once" if i % 2 else "twice")) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dropped = lambda: sum(r.n_dropped for r in drop_repeated_lines(docs, batches=4).collect())
+    assert dropped() == 28
+    # without the anti join a key gets several rows, each with a part of its count; without the semi join later finds are lost
+    monkeypatch.setattr(LineRuns, join, (lambda self, batch: batch) if join == "unseen" else (lambda self, batch, run: batch.limit(0)))
+    assert dropped() != 28
+
+
+def test_a_failure_leaves_no_tables(spark, monkeypatch):
+    def fail(self):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(LineRuns, "totals", fail)
+    docs = spark.createDataFrame([(1, "x" * 50)], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="lost"):
+        drop_repeated_lines(docs)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_very_long_text_with_many_drops(spark):
+    lines = [f"line number {k} that several of the documents hold" for k in range(12_000)]
+    rows = [(i, "\n".join([*lines, f"own line {i}"])) for i in range(5)]
+    got = {r.doc_id: r for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=2).collect()}
+    assert [got[i].text == f"own line {i}" for i in range(4)] == [True] * 4 and got[4].text == rows[4][1] and got[0].n_dropped == 12_000
 
 
 def test_dropped_runs_leave_nothing(spark):
     runs = LineRuns(spark, buckets=2)
     runs.add(spark.createDataFrame([(1, 2, 3)], "h1 long, h2 long, id long"))
-    (name,), (path,) = runs.runs, runs.paths.values()
+    (name,), (path,) = [r.name for r in runs.runs], runs.paths.values()
     runs.drop()
     assert runs.runs == [] and not spark.catalog.tableExists(name) and not os.path.exists(path.removeprefix("file:"))
     assert runs.totals().collect() == []
