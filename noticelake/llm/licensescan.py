@@ -1,23 +1,28 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-A text is compared whole, by blank-line block and by line, so that both licence
-files and notices inside other text are found.  Only templates whose size allows
-the wanted similarity are compared: each template is listed under every number of
-bigrams that it can match, and units meet it by an equality join on their own.
-Units without any of the words that a similar text must hold are left out before
-their bigrams are built.
+Each template is laid against a text where most of their bigrams agree, and
+compared with the stretch of the text that it covers there, so that licence files
+as well as notices inside other text, over several paragraphs or within a line,
+are found.  Only templates whose size allows the wanted similarity are compared.
+Texts without any of the words that a similar stretch must hold are left out
+before their bigrams are built.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values: (licence, public notice or licence text).
-TEMPLATES = (
+from noticelake.llm.common import written
+
+#: Fixed values: (licence, public notice).  The public licence texts and their standard headers are files beside this module.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -25,138 +30,94 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    (
-        "MIT",
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-        documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
-        rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
-        persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and
-        this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED
-        "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
-        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
-        HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
-        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    ),
-    (
-        "ISC",
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
-        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES
-        OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
-        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
-        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
-        SOFTWARE.""",
-    ),
-    (
-        "Apache-2.0",
-        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
-        the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
-        applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
-        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language
-        governing permissions and limitations under the License.""",
-    ),
-    (
-        "GPL-3.0",
-        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later
-        version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
-        implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
-        details.""",
-    ),
 )
+FOLDER = Path(__file__).parent / "licenses"
 
 
-def _lines(text: Column) -> Column:
-    """Lower-case lines of a-z and 0-9 words with single spaces."""
-    return F.transform(F.split(F.lower(text), "\n"), lambda x: F.btrim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
-
-
-def _n_words(unit: Column) -> Column:
-    return F.char_length(unit) - F.char_length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
-
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of every template: a fixed, small catalogue."""
+    files = sorted(FOLDER.glob("*.txt"))
+    return (*NOTICES, *((f.stem.removesuffix(".header"), f.read_text(encoding="utf-8")) for f in files))
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, also where lambdas inside use it."""
-    return F.transform(F.array(value), body)[0]
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words of a-z and 0-9."""
+    return re.findall("[a-z0-9]+", text.lower())
 
-def _bigrams(unit: Column) -> Column:
-    """The word bigrams of a unit of two words or more, repeated ones numbered apart."""
 
-    def numbered(found: Column) -> Column:
-        nth = lambda ordered: F.transform(ordered, lambda b, i: _let(i + 1 - F.array_position(ordered, b), lambda k: F.when(k == 0, b).otherwise(F.concat(b, F.lit(" "), k.cast("string")))))
-        return F.when(F.size(F.array_distinct(found)) == F.size(found), found).otherwise(_let(F.array_sort(found), nth))
+def bigrams_of(text: str) -> list[str]:
+    words = words_of(text)
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
-    pairs = lambda words: F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return _let(_let(F.split(unit, " "), pairs), numbered)
 
+def least_size(threshold: float, n: int) -> int:
+    """The fewest bigrams of a stretch that can be similar to a template of n; a stretch is never larger than its template."""
+    return max(1, math.ceil(threshold / (2 - threshold) * n - 1e-9))
 
-def templates(spark: SparkSession, texts=TEMPLATES) -> DataFrame:
-    """(template, license, t_bigrams, t_size) of the template texts, normalised like any text; a fixed, small table."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(texts)], "template int, license string, text string")
-    whole = F.btrim(F.regexp_replace(F.array_join(_lines(F.col("text")), " "), " +", " "))
-    return rows.select("template", "license", _bigrams(whole).alias("t_bigrams")).withColumn("t_size", F.size("t_bigrams"))
 
+def telling_words(text: str, threshold: float, common: Counter | None = None) -> set[str]:
+    """Words of a template of which every stretch that is similar enough holds one.
 
-def telling_words(text: str, threshold: float) -> set[str]:
-    """Words of a template of which every text that is similar enough holds one.
-
-    Such a text shares all but a known number of the template's bigrams, so it
-    holds a word of any set that touches more bigrams than that; long words are
-    taken first, as they are rare elsewhere.
+    Such a stretch shares all but a known number of the template's bigrams, so it
+    holds a word of any set that touches more bigrams than that; words that few
+    templates have (``common`` counts them) are taken first, and long ones among these.
     """
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    words = words_of(text)
     n = len(words) - 1
-    missing = n - math.ceil(threshold / 2 * (_least(threshold, n) + n) - 1e-9)
+    missing = n - math.ceil(threshold / 2 * (least_size(threshold, n) + n) - 1e-9)
     chosen: set[str] = set()
-    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+    for word in sorted(set(words), key=lambda w: ((common or {}).get(w, 0), -len(w), w)):
         chosen.add(word)
         if sum(a in chosen or b in chosen for a, b in zip(words, words[1:], strict=False)) > missing:
             break
     return chosen
 
 
-def _least(threshold: float, n: int) -> int:
-    """The fewest bigrams of a text that can be similar to one of n."""
-    return math.ceil(threshold / (2 - threshold) * n - 1e-9)
-
-
-def _most(threshold: float, n: int) -> int:
-    return math.floor((2 - threshold) / threshold * n + 1e-9)
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts=TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """(id, unit, place, template, license, dice) of every unit and template with a Dice coefficient of at least ``threshold``.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: tuple[tuple[str, str], ...] | None = None, threshold: float = 0.8) -> DataFrame:
+    """(id, start, length, template, license, dice) of every text and template with a Dice coefficient of at least ``threshold``.
 
-    unit is text (the whole), block (between blank lines, if there are several)
-    or line (if there are several); place counts from 0.  Bigrams count as often
-    as they occur, so a unit's size is known before any is built.  Null, empty and
-    one-word units match nothing; rows that repeat an id are scanned each and
-    report each; a null id is reported as null.  Other columns are not read.
+    A template is laid where most of the text's bigrams lie as far from its start
+    as their first find in the template does from the template's (of several such
+    places the first).  The stretch covered there, cut at the ends of the text,
+    begins at word ``start`` and has ``length`` bigrams; bigrams count as often as
+    they occur.  A text that holds a template several times gives one row for it.
+    Null, empty and one-word texts match nothing; rows that repeat an id are
+    scanned each and report each; a null id is reported as null.  No rows give
+    none.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    known = templates(spark, texts)
-    sizes = [r.t_size for r in known.orderBy("template").select("t_size").collect()]  # one for each template
-    spans = [(max(1, _least(threshold, n)), _most(threshold, n)) for n in sizes]
-    bounds = spark.createDataFrame([(s, i) for i, (low, high) in enumerate(spans) for s in range(low, high + 1)], "u_size int, template int")
-    telling = sorted(set().union(*(telling_words(t, threshold) for _, t in texts)))
-    lines = docs.select(F.col(f"`{id_col}`").alias("id"), _lines(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("lines"))
-    joined = lines.withColumn("joined", F.btrim(F.array_join("lines", "\n"), F.lit("\n")))
-    blocks = joined.withColumn("blocks", F.split("joined", "\n\n+"))
-
-    def unit(kind: str, place: Column, content: Column) -> Column:
-        return F.struct(F.lit(kind).alias("unit"), place.cast("int").alias("place"), content.alias("content"))
-
-    none = F.array().cast("array<struct<unit:string,place:int,content:string>>")
-    units = F.concat(
-        F.array(unit("text", F.lit(0), F.regexp_replace("joined", "\n+", " "))),
-        F.when(F.size("blocks") > 1, F.transform("blocks", lambda b, i: unit("block", i, F.replace(b, F.lit("\n"), F.lit(" "))))).otherwise(none),
-        F.when(F.size("lines") > 1, F.transform("lines", lambda x, i: unit("line", i, x))).otherwise(none),
-    )
-    low, high = min(low for low, _ in spans), max(high for _, high in spans)
-    told = f"(?:^| )(?:{'|'.join(telling)})(?: |$)"
-    fits = F.filter(units, lambda u: (_n_words(u["content"]) - 1).between(low, high) & u["content"].rlike(told))
-    found = blocks.select("id", F.inline(fits)).withColumn("u_size", _n_words(F.col("content")) - 1)
-    met = found.withColumn("bigrams", _bigrams(F.col("content"))).drop("content").join(F.broadcast(bounds), "u_size").join(F.broadcast(known), "template")
-    dice = 2 * F.size(F.array_intersect("bigrams", "t_bigrams")) / (F.col("u_size") + F.col("t_size"))
-    return met.select("id", "unit", "place", "template", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
+    spark, texts = docs.sparkSession, templates() if texts is None else texts
+    grams = [bigrams_of(t) for _, t in texts]
+    common = Counter(w for _, t in texts for w in set(words_of(t)))
+    telling = sorted(set().union(*(telling_words(t, threshold, common) for (_, t), g in zip(texts, grams, strict=True) if g)))
+    numbers: dict[str, int] = {}
+    rows = []  # a row for each distinct bigram of each template
+    for k, found in enumerate(grams):
+        first: dict[str, int] = {}
+        for place, g in enumerate(found):
+            first.setdefault(g, place)
+        rows += [(numbers.setdefault(g, len(numbers)), k, first[g], n) for g, n in Counter(found).items()]
+    known = spark.createDataFrame(list(numbers.items()), "bigram string, number int")
+    places = spark.createDataFrame(rows, "number int, template int, place int, times int")
+    sizes = spark.createDataFrame([(k, name, len(g), least_size(threshold, len(g))) for k, ((name, _), g) in enumerate(zip(texts, grams, strict=True))], "template int, license string, size int, least int")
+    # all three are tables of the catalogue, whose size no corpus changes
+    told = docs.select(F.col(f"`{id_col}`").alias("id"), _words(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("words"))
+    told = told.where(F.arrays_overlap("words", F.array(*map(F.lit, telling)))).withColumn("row", F.monotonically_increasing_id())
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    every = told.where(F.size("words") > 1).select("row", "id", (F.size("words") - 1).alias("n"), F.posexplode(pairs).alias("at", "bigram"))
+    hits = written(every.join(F.broadcast(known), "bigram").select("row", "id", "n", "at", "number"), "licence-hits")
+    votes = hits.join(F.broadcast(places), "number").join(F.broadcast(sizes), "template").where("n >= least")
+    votes = votes.groupBy("row", "id", "n", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("row", "id", "n", "template").agg(F.max_by("offset", F.struct("votes", -F.col("offset"))).alias("offset"))
+    laid = best.join(F.broadcast(sizes), "template").select("row", "id", "template", "license", "size", "least", F.greatest(F.lit(0), "offset").alias("start"), F.least("n", F.col("offset") + F.col("size")).alias("end"))
+    laid = laid.where("end - start >= least")
+    inside = hits.select("row", "at", "number").join(laid, "row").where("at >= start and at < end").join(F.broadcast(places), ["number", "template"])
+    stretch = ["row", "id", "template", "license", "size", "start", "end"]
+    shared = inside.groupBy(*stretch, "number", "times").agg(F.count("*").alias("found")).groupBy(*stretch).agg(F.sum(F.least("found", "times")).alias("shared"))
+    length = F.col("end") - F.col("start")
+    scored = shared.select("id", "start", length.alias("length"), "template", "license", (2 * F.col("shared") / (length + F.col("size"))).alias("dice"))
+    return scored.where(F.col("dice") >= threshold)

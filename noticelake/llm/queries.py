@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,13 @@ from pyspark.sql import functions as F
 from noticelake.llm import chatformat, decontam, licensescan, linededup, packing, qualityclf, qualityrules, sharding, simhash, toxicity
 from noticelake.llm.common import LOWER, UPPER, table
 
-#: Where the public tokenizers' files are, on every machine.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
+
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,7 +77,7 @@ HOSTILE = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
-    path = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    path = tokenizer("byte_bpe_50k.tiktoken")
     return chatformat.digests(chatformat.format_chats(rows, path), path)
 
 
@@ -92,7 +96,7 @@ from c group by conv_id
 
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", with_ids=False)
+    found = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), with_ids=False)
     return found.withColumnRenamed("id", "doc_id")
 
 
@@ -131,23 +135,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licensescan.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-_NORM = "trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g'))"
-_TEXTS = ", ".join(f"({i}, '{name}', '{text.lower()}')" for i, (name, text) in enumerate(licensescan.TEMPLATES))
-_BIGRAMS = """select {ids}, g, row_number() over (partition by {ids}, g) k from (
-   select {ids}, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g from {words} where len(w) > 1)"""
+_SPLIT = r"list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+_TEXTS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licensescan.templates()))
 ORACLE_SQL["op10_license_scan"] = f"""
-with t as (select template, license, string_split({_NORM.format("x")}, ' ') w from (values {_TEXTS}) v(template, license, x)),
- d as (select row_number() over () uid, doc_id, list_transform(string_split(lower(coalesce(text, '')), chr(10)), lambda x: {_NORM.format("x")}) l from documents),
- j as (select uid, doc_id, l, trim(array_to_string(l, chr(10)), chr(10)) s from d),
- b as (select *, string_split_regex(s, '\n\n+') bs from j),
- u as (select uid, 'text' unit, 0 place, regexp_replace(s, '\n+', ' ', 'g') x from j
-  union all select uid, 'block', i - 1, replace(bs[i], chr(10), ' ') from (select uid, bs, unnest(generate_series(1, len(bs))) i from b where len(bs) > 1)
-  union all select uid, 'line', i - 1, l[i] from (select uid, l, unnest(generate_series(1, len(l))) i from j where len(l) > 1)),
- uw as (select uid, unit, place, string_split(x, ' ') w from u where len(string_split(x, ' ')) between 2 and 400),
- ub as ({_BIGRAMS.format(ids="uid, unit, place", words="uw")}),
- tb as ({_BIGRAMS.format(ids="template", words="t")}),
- c as (select uid, unit, place, template, count(*) n from ub join tb on ub.g = tb.g and ub.k = tb.k group by all),
- r as (select uid, unit, cast(place as int) place, cast(template as int) template, license, 2 * n / (len(uw.w) + len(t.w) - 2) dice
-  from c join uw using (uid, unit, place) join t using (template))
-select doc_id, unit, place, template, license, dice from r join d using (uid) where dice >= 0.8
+with t as (select template, license, w, len(w) - 1 size, greatest(1, ceil(0.8 / 1.2 * (len(w) - 1) - 1e-9)) least from (select template, license, {_SPLIT.format("x")} w from (values {_TEXTS}) v(template, license, x))),
+ d as (select row_number() over () uid, doc_id, w from (select doc_id, {_SPLIT.format("coalesce(text, '')")} w from documents)),
+ tb as (select template, g, min(i) place, count(*) times from (select template, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g, unnest(generate_series(0, len(w) - 2)) i from t) group by all),
+ db as (select uid, len(w) - 1 n, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g, unnest(generate_series(0, len(w) - 2)) i from d where len(w) > 1),
+ h as (select uid, n, i, g from db where g in (select g from tb)),
+ v as (select uid, n, template, i - place o, count(*) votes from h join tb using (g) join t using (template) where n >= least group by all),
+ b as (select uid, n, template, o from (select *, row_number() over (partition by uid, template order by votes desc, o) k from v) where k = 1),
+ s as (select uid, template, license, size, greatest(0, o) a, least(n, o + size) z, least from b join t using (template)),
+ m as (select uid, template, license, size, a, z, g, count(*) found from s join h using (uid) where i >= a and i < z and z - a >= least group by all),
+ r as (select uid, template, license, size, a, z, sum(least(found, times)) shared from m join tb using (template, g) group by all)
+select doc_id, cast(a as int) as start, cast(z - a as int) as length, cast(template as int) template, license, 2 * shared / (z - a + size) dice
+from r join d using (uid) where 2 * shared / (z - a + size) >= 0.8
 """

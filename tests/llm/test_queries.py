@@ -18,7 +18,7 @@ COLUMNS = {
     "op7_line_dedup": "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string",
     "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
-    "op10_license_scan": "doc_id bigint, unit string, place int, template int, license string, dice double",
+    "op10_license_scan": "doc_id bigint, start int, length int, template int, license string, dice double",
 }
 
 
