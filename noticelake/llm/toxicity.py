@@ -20,24 +20,29 @@ from functools import cached_property
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import hash_sample, written
 
+#: Characters that show nothing and may hide in a word.
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Letters of other scripts that look like Latin ones, and Latin letters that do not decompose.
 HOMOGLYPHS = str.maketrans(
     {
         **{"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ԝ": "w", "х": "x", "у": "y"},
         **{"α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ω": "w", "χ": "x"},
         **{"ø": "o", "ł": "l", "đ": "d", "ı": "i", "æ": "ae", "œ": "oe"},
+        **dict.fromkeys(UNSEEN),
     }
 )
-#: Digits and symbols that stand for letters, inside a word only.
+#: Digits and symbols that stand for letters in a word, and those that end a word or sentence as often.
 STAND_INS = "0134578@$!|"
+STOPS = "!|"
 _LETTERS = str.maketrans(STAND_INS, "oieastbasil")
 _MASKED = re.compile(f"[{STAND_INS}][a-z]")
 _RUN = re.compile(f"[a-z{STAND_INS}]++")
+_ENDED = re.compile(f"[a-z][0134578@$]")
 _WORD = re.compile("[^\\W\\d_]+")
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _KEEP = bytes(b if 97 <= b <= 122 else 32 for b in range(256))
@@ -49,23 +54,32 @@ def _unmask(run: re.Match) -> str:
     return core.translate(_LETTERS) + run[0][len(core) :]
 
 
+def _whole(run: re.Match) -> str:
+    """The run with letters up to its end where a stand-in ends it, else nothing."""
+    word = run[0].rstrip(STOPS)
+    return word.translate(_LETTERS) if word[-1:] in STAND_INS and word.rstrip(STAND_INS) else ""
+
+
 def fold(text: str | None) -> str:
     """Lower-case words with one space before, between and after; no words give one space.
 
     Accented words keep their accents, which tell words of some languages apart,
-    and come again without them behind all words and one more space.
+    and come again without them behind all words and one more space.  There too
+    come words with the letters that digits and symbols at their end may stand for.
     """
     text = (text or "").lower()
     if not text.isascii():
         text = text.translate(HOMOGLYPHS)
+    ended = [_whole(run) for run in _RUN.finditer(text)] if _ENDED.search(text) else []
     if _MASKED.search(text):
         text = _RUN.sub(_unmask, text)
     if text.isascii():
-        words = text.encode().translate(_KEEP).split()
-        return b" ".join([b"", *words, b""]).decode() if words else " "
-    words = _WORD.findall(unicodedata.normalize("NFC", text))
-    plain = [w for w in (_ACCENTS.sub("", unicodedata.normalize("NFKD", x)) for x in words if not x.isascii()) if w.isascii()]
-    return " ".join(["", *words, "", *plain, ""]) if words and plain else " ".join(["", *words, ""]) if words else " "
+        words, again = text.encode().translate(_KEEP).decode().split(), []
+    else:
+        words = _WORD.findall(unicodedata.normalize("NFC", text))
+        again = [w for w in (_ACCENTS.sub("", unicodedata.normalize("NFKD", x)) for x in words if not x.isascii()) if w.isascii()]
+    again += filter(None, ended)
+    return " ".join(["", *words, "", *again, ""]) if again else " ".join(["", *words, ""]) if words else " "
 
 
 def count_words(folded: str) -> int:
@@ -123,49 +137,65 @@ class Lexicon:
         return 1 / (1 + np.exp(-(self.intercept + self.by_weight * np.log1p(weight) + self.by_length * np.log1p(words))))
 
 
-def _found_in(sample: DataFrame, patterns_of) -> DataFrame:
-    """(pattern, t, c): in how many surroundings toxic and clean texts have each pattern.
+def _found_in(texts: DataFrame, patterns_of, name: str) -> DataFrame:
+    """(pattern, name): in how many surroundings the texts have each pattern.
 
     ``patterns_of`` gives a word's and its follower's patterns.  A text counts
     with the words around its first use, so that copies of it add nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[str, int]] = set()  # of a task's texts, whose number is bounded as the sample is
         for batch in batches:
-            labels, patterns, around = [], [], []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text in batch.column(0).to_pylist():
                 words = ["", *fold(text).split(), "", ""]
                 first: dict[str, int] = {}
                 for i in range(1, len(words) - 2):
                     for pattern in patterns_of(words[i], words[i + 1]):
                         if pattern not in first:
                             first[pattern] = zlib.crc32(f"{words[i - 1]} {words[i + 2 if ' ' in pattern.strip() else i + 1]}".encode())
-                patterns += first
-                around += first.values()
-                labels += [label] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(patterns, pa.string()), pa.array(around, pa.int64()), pa.array(labels, pa.int32())], ["pattern", "around", "label"])
+                told.update(first.items())
+        found = list(told)
+        for k in range(0, len(found), 100_000):
+            part = found[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([a for _, a in part], pa.int64())], ["pattern", "around"])
+
+    dealt = texts.select("text").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(run, "pattern string, around long").distinct().groupBy("pattern").agg(F.count("*").alias(name))
 
-    dealt = sample.select("label", "text").repartition(int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.mapInArrow(run, "pattern string, around long, label int").distinct().groupBy("pattern").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+
+def _compared(toxic: DataFrame, clean: DataFrame, patterns_of, least: float) -> dict[str, tuple[int, int]]:
+    """Patterns found in ``least`` surroundings of toxic texts, or more, with their finds there and in clean texts.
+
+    Clean texts, which hold most of the patterns, are searched for these alone.
+    As all texts are of a bounded sample, so are the patterns.
+    """
+    often = {r.pattern: r.t for r in _found_in(toxic, patterns_of, "t").where(F.col("t") >= least).collect()}
+    if not often:
+        return {}
+    wanted = toxic.sparkSession.sparkContext.broadcast(frozenset(often))
+    also = {r.pattern: r.c for r in _found_in(clean, lambda a, b: filter(wanted.value.__contains__, patterns_of(a, b)), "c").collect()}
+    return {p: (t, also.get(p, 0)) for p, t in often.items()}
 
 
-def learn_lexicon(sample: DataFrame, least_finds: int = 4, least_share: float = 0.003, least_odds: float = 12.0, most_terms: int = 4000, prefixes: tuple[int, int] = (4, 8)) -> Lexicon:
+def learn_lexicon(sample: DataFrame, least_finds: int = 3, least_share: float = 0.003, least_odds: float = 6.0, prefixes: tuple[int, int] = (4, 8)) -> Lexicon:
     """A lexicon from (label int, text) rows, which must be a bounded sample.
 
     Patterns that are ``least_odds`` times as frequent in toxic texts, found
     there in ``least_finds`` surroundings and ``least_share`` of the texts, weigh their log-odds; of a beginning
     and its continuations only what adds is kept.  Two words with such a word
     that clean texts hold half as often as toxic ones, or more often, are an
-    exception.
+    exception.  All that qualify are taken.
     """
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    toxic, clean = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
-    if min(toxic, clean) == 1:
+    n_toxic, n_clean = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
+    if min(n_toxic, n_clean) == 1:
         return Lexicon({})
+    toxic, clean = sample.where("label = 1"), sample.where("label = 0")
     shortest, longest = prefixes
-    words = _found_in(sample, lambda w, _: (f" {w} ", *(f" {w[:k]}" for k in range(shortest, min(longest, len(w)) + 1))))
-    words = words.where(f"t >= {max(least_finds, least_share * toxic)}").withColumn("odds", F.expr(f"(t + 0.1D) / {toxic} / ((c + 0.5D) / {clean})")).where(f"odds >= {least_odds}")
-    found = {r.pattern: math.log(r.odds) for r in words.orderBy(F.desc(F.col("odds") * F.col("t")), "pattern").limit(most_terms).collect()}
+    words = _compared(toxic, clean, lambda w, _: (f" {w} ", *(f" {w[:k]}" for k in range(shortest, min(longest, len(w)) + 1))), max(least_finds, least_share * n_toxic))
+    odds = {p: (t + 0.1) / n_toxic / ((c + 0.5) / n_clean) for p, (t, c) in words.items()}
+    found = {p: math.log(x) for p, x in odds.items() if x >= least_odds}
     weights = {p: w for p, w in found.items() if not any(found.get(p[:k], 0) >= w - 0.7 for k in range(shortest + 1, len(p)))}
     if not weights:
         return Lexicon({})
@@ -175,8 +205,9 @@ def learn_lexicon(sample: DataFrame, least_finds: int = 4, least_share: float =
         hit = draft.weight(f" {word} ") or (follower and draft.weight(f" {follower} "))
         return (f" {word} {follower} ",) if hit and follower else ()
 
-    pairs = _found_in(sample, around_hits).where(f"c >= {least_finds} and c / {clean} >= 0.5D * t / {toxic}")
-    exceptions = frozenset(r.pattern.strip() for r in pairs.orderBy(F.desc("c"), "pattern").limit(most_terms).collect())
+    in_clean = {r.pattern: r.c for r in _found_in(clean, around_hits, "c").where(F.col("c") >= least_finds).collect()}
+    in_toxic = {r.pattern: r.t for r in _found_in(toxic, around_hits, "t").collect()} if in_clean else {}
+    exceptions = frozenset(p.strip() for p, c in in_clean.items() if c / n_clean >= 0.5 * in_toxic.get(p, 0) / n_toxic)
     return _calibrated(Lexicon(weights, exceptions), sample)
 
 
@@ -209,7 +240,7 @@ def _calibrated(lexicon: Lexicon, sample: DataFrame, ridge: float = 1e-3, rounds
     return Lexicon(lexicon.weights, lexicon.exceptions, *map(float, b))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn: str = "true", most_rows: int = 12_000) -> tuple[DataFrame, Lexicon]:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", may_learn: str = "true", most_rows: int = 12_000, **lexicon) -> tuple[DataFrame, Lexicon]:
     """(rows, lexicon): doc_id, weight, words and score (0 to 1) of every row of ``docs``.
 
     ``may_learn`` is SQL over doc_id that says which labels may be used.  Of
@@ -217,17 +248,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     many (chosen by hash of the id).  Scores use the whole text only.
     Null and empty texts have weight 0; a null id is scored and teaches nothing;
     rows that repeat an id are scored each; where an id has several labels the
-    largest counts; without both kinds of label the default slopes score an
-    empty lexicon.  Other columns are not read.
+    largest counts, and where it has several texts the least teaches; without both
+    kinds of label the default slopes score an empty lexicon.  No rows give none.
+    Other columns are not read.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known.where(may_learn).groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = [hash_sample(known.where(F.col("label") == k), "doc_id", most_rows // 2) for k in (0, 1)]
     chosen = written(picked[0].unionByName(picked[1]), "chosen")
-    once = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    sample = written(source.join(F.broadcast(chosen), "doc_id").withColumn("n", once).where("n = 1").select("label", "text"), "sample")
-    lexicon = learn_lexicon(sample)
+    # one text of each id: copies of an id, however many, fall together before they are shuffled
+    texts = source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    sample = written(texts.select("label", "text"), "sample")
+    lexicon = learn_lexicon(sample, **lexicon)
     # the sample holds toxic texts more often than the labels do
     there, here = ({r.label: r.n for r in x.groupBy("label").agg(F.count("*").alias("n")).collect()} for x in (known, sample))
     shift = math.log(there[1] / there[0] * here[0] / here[1]) if min(len(there), len(here)) == 2 else 0.0

@@ -11,8 +11,8 @@ from noticelake.llm.toxicity import Lexicon, count_words, fold, score_toxicity
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        (None, " "), ("", " "), ("...", " "), ("You IDIOT!!", " you idiot "), ("1d10t", " idiot "), ("іdіоt", " idiot "), ("st@p1d$$$ x", " stapid x "),
-        ("$cum 5cum", " scum scum "), ("réeuxç Ñ a", " réeuxç ñ a  reeuxc n "), ("2024 is 5", " is "), ("κlοwn", " klown "), ("a\nb-c", " a b c "), ("!!!! 0000", " "), ("groß", " groß "), ("ïdíot кот", " ïdíot kot  idiot "),
+        (None, " "), ("", " "), ("...", " "), ("You IDIOT!!", " you idiot "), ("1d10t", " idiot "), ("іdіоt", " idiot "), ("st@p1d$$$ x", " stapid x  stapidsss "),
+        ("$cum 5cum", " scum scum "), ("réeuxç Ñ a", " réeuxç ñ a  reeuxc n "), ("2024 is 5", " is "), ("κlοwn", " klown "), ("a\nb-c", " a b c "), ("!!!! 0000", " "), ("groß", " groß "), ("whor3 idi0!! 42 x", " whor idi x  whore idio "), ("id\u200bio\u00adt a\ufeffs$", " idiot as  ass "), ("ïdíot кот", " ïdíot kot  idiot "),
     ],
 )
 def test_fold(text, want):
@@ -46,6 +46,17 @@ def test_automaton_matches_a_plain_search(words):
     assert LEX.weight(fold(" ".join(words))) == pytest.approx(plain_weight(" ".join(words)))
 
 
+@pytest.mark.parametrize(("sf", "held_least"), [("sf0.01", 0.8), ("sf0.1", 0.9)])
+def test_recall_on_labelled_texts(spark, sf, held_least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    found, _ = score_toxicity(docs, labels, may_learn="not (crc32(cast(doc_id as string)) % 5 = 0)")
+    rows = found.join(labels, "doc_id").selectExpr("crc32(cast(doc_id as string)) % 5 = 0 as held", "toxic", "score >= 0.5 as hit").collect()
+    caught = [r.hit for r in rows if r.toxic == 1]
+    held = [r.hit for r in rows if r.toxic == 1 and r.held]
+    assert sum(caught) >= 0.9 * len(caught) and sum(held) >= held_least * len(held)
+    assert sum(r.hit for r in rows if r.toxic == 0) <= 0.02 * sum(r.toxic == 0 for r in rows)
+
+
 def test_many_hits_in_one_text():
     assert LEX.weight(fold("bad hair worse " * 100_000)) == pytest.approx(400_000.0)
 
