@@ -19,10 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none, as in tests."""
+    """The folder that driver and executors share.
+
+    Where the session names none, one of our own is made, but only for a driver
+    that is its own executor, as in tests: on a cluster it would be one machine's.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="noticelake-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
@@ -59,13 +65,15 @@ def hash_sample(rows: DataFrame, id_col: str, most_rows: int) -> DataFrame:
     """About ``most_rows`` of the rows, never more, chosen by a hash of the id: the same ones in every run.
 
     The share follows from a count, so that tasks send what is chosen and no
-    more, however many tasks there are.
+    more, however many tasks there are.  Should the share still give too many, those of
+    the largest hashes go.
     """
     n = rows.count()
     if n <= most_rows:
         return rows
     share = max(0.0, most_rows - 4 * most_rows**0.5) / n  # the limit is then reached once in 30,000 runs
-    return rows.where(F.pmod(F.xxhash64(id_col, F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(most_rows)
+    drawn = F.pmod(F.xxhash64(F.lit(7), id_col), F.lit(1 << 30))
+    return rows.where(drawn < int(share * (1 << 30))).orderBy(drawn, id_col).limit(most_rows)
 
 
 def ascii_lower(text):

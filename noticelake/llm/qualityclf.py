@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import written
-from noticelake.llm.textstats import MEASURES, labelled_sample, statistics, with_measures
+from noticelake.llm.textstats import MEASURES, labelled_sample, statistics
 
-FEATURES = (*MEASURES, "log_words", "log_lines")
+#: The measures and two sizes, as SQL over the counts of a text.
+FEATURES = MEASURES | {"log_words": "ln(1 + n_words)", "log_lines": "ln(1 + n_lines)"}
 
 
 @dataclass(frozen=True)
@@ -95,16 +95,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``may_learn`` is SQL over doc_id that says which labels may be used; of these
     at most ``most_rows`` (chosen by hash of the id) fit the trees.  Scores
-    use statistics of the whole text only.  Null texts score as empty ones; a
-    null id is scored and teaches nothing; rows that repeat an id are scored
-    each; where an id has several labels the largest counts; no labels give one
-    half throughout.  Other columns are not read.
+    use statistics of the whole text only, counted once, where it lies.  Null
+    texts score as empty ones; a null id is scored and teaches nothing; rows that
+    repeat an id are scored each; where an id has several labels the largest
+    counts; no labels give one half throughout.  No rows give none.  Other columns
+    are not read.
     """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    logs = {"log_words": F.log1p("n_words"), "log_lines": F.log1p("n_lines")}
-    stats = with_measures(written(statistics(source, keep=("doc_id",)), "statistics")).withColumns(logs).withColumn("may_learn", F.expr(may_learn))
     known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label"))
-    x, y = labelled_sample(stats.where("may_learn"), known, "label", most_rows, features=FEATURES)
+    x, y = labelled_sample(source, known, most_rows, may_learn, FEATURES)
     model = fit_forest(x, y, **forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,4 +112,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(model.score(x))], ["doc_id", "may_learn", "score"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return stats.select("doc_id", "may_learn", *FEATURES).mapInArrow(run, f"doc_id {kind}, may_learn boolean, score double"), model
+    stats = statistics(source, keep=("doc_id",)).select("doc_id", F.expr(may_learn).alias("may_learn"), *(F.expr(sql).cast("double").alias(name) for name, sql in FEATURES.items()))
+    return stats.mapInArrow(run, f"doc_id {kind}, may_learn boolean, score double"), model

@@ -14,7 +14,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import written
 from noticelake.llm.textstats import COUNTS, MEASURES, labelled_sample, statistics, with_measures
 
 
@@ -113,33 +112,38 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: Sequence[str], most_rules
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 20_000) -> DecisionList:
+    """The list learned from at most ``most_rows`` labelled rows (chosen by hash of the id), of these the ones that pass the base rules."""
+    source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label"))
+    x, label = labelled_sample(source, known, most_rows, only=f"not ({BASE_FAILED})")
+    return learn_rules(x, label == 0, list(MEASURES))
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 20_000) -> tuple[DataFrame, DecisionList]:
     """(rows, rules): each row's id, counts, base_failed and kept, and the list that decided.
 
-    The statistics are of every whole text, computed once and written.  The
-    list is learned from at most ``most_rows`` labelled rows that pass the base
-    rules (chosen by hash of the id) and judges all rows.  A null text counts
-    as empty and fails the base; a row without an id is judged but teaches
-    nothing; rows that repeat an id are judged each; where an id has several
-    labels the largest counts.  Without labels only the base rules reject.
-    Other columns are not read.
+    The list is learned from a bounded sample and judges all rows, whose whole
+    texts are counted once, where they lie.  A null text counts as empty and fails
+    the base; a row without an id is judged but teaches nothing; rows that repeat
+    an id are judged each; where an id has several labels the largest counts.
+    Without labels only the base rules reject.  No rows give none.  Other columns
+    are not read.
     """
+    rules = learned(docs, labels, id_col, text_col, label_col, most_rows)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    stats = with_measures(written(statistics(source, keep=("doc_id",)), "statistics")).withColumn("base_failed", F.expr(BASE_FAILED))
-    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").alias("label"))
-    x, label = labelled_sample(stats.where("not base_failed"), known, "label", most_rows)
-    rules = learn_rules(x, label == 0, list(MEASURES))
+    stats = with_measures(statistics(source, keep=("doc_id",))).withColumn("base_failed", F.expr(BASE_FAILED))
     return stats.select(F.col("doc_id").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & rules.verdict()).alias("kept")), rules
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns as they were.
 
-    Counts are made beside each text in one more pass, so that nothing is
-    joined by id: rows without an id, or with a repeated one, are judged by
-    their own text, and columns may have any names.
+    Counts are made beside each text, once, so that nothing is joined by id: rows
+    without an id, or with a repeated one, are judged by their own text, and
+    columns may have any names.
     """
-    _, rules = quality_rules(docs, labels, id_col, text_col, **options)
+    rules = learned(docs, labels, id_col, text_col, **options)
     safe = docs.toDF(*(f"__c{i}" for i in range(len(docs.columns))))
     counted = with_measures(statistics(safe, safe.columns[docs.columns.index(text_col)], keep=tuple(safe.columns)))
     good = counted.where(~F.expr(BASE_FAILED) & rules.verdict())

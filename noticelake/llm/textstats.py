@@ -110,9 +110,20 @@ def with_measures(stats: DataFrame) -> DataFrame:
     return stats.select("*", *(F.expr(sql).cast("double").alias(name) for name, sql in MEASURES.items()))
 
 
-def labelled_sample(measured: DataFrame, labels: DataFrame, label_col: str, most_rows: int, id_col: str = "doc_id", features: tuple[str, ...] = tuple(MEASURES)) -> tuple[np.ndarray, np.ndarray]:
-    """(features, labels) of at most ``most_rows`` labelled rows, chosen by hash of the id: what a model is fitted on."""
-    known = labels.where(f"`{label_col}` is not null").select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{label_col}`").cast("int").alias("label")).groupBy(id_col).agg(F.max("label").alias("label"))
-    rows = hash_sample(measured.join(known, id_col), id_col, most_rows).orderBy(id_col).select("label", *features).collect()
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, may_learn: str = "true", features: dict[str, str] | None = None, only: str = "true") -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) that a model is fitted on: at most ``most_rows`` labelled ids, chosen by hash of the id.
+
+    ``docs`` has doc_id and text, ``labels`` doc_id and label; ``may_learn`` is SQL
+    over doc_id, ``only`` SQL over COUNTS.  The ids are chosen before any text is
+    counted, so only their texts are.  Null ids and labels teach nothing; where an
+    id has several labels the largest counts, where it has several texts the one
+    with the least features.
+    """
+    features = MEASURES if features is None else features
+    known = labels.where("doc_id is not null and label is not null").where(may_learn).groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    chosen = hash_sample(known, "doc_id", most_rows)  # at most most_rows of two numbers each, so they may be sent to every task
+    counted = statistics(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), keep=("doc_id", "label")).where(only)
+    measured = counted.select("doc_id", "label", F.struct(*(F.expr(sql).cast("double").alias(name) for name, sql in features.items())).alias("x"))
+    rows = measured.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("x").alias("x")).orderBy("doc_id").select("label", "x.*").collect()
     found = np.array([tuple(r) for r in rows], float).reshape(-1, 1 + len(features))
     return found[:, 1:], found[:, 0].astype(int)

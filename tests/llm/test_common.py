@@ -9,8 +9,8 @@ from tests.llm.test_simhash import components
 class Session:
     """A session that names no folder."""
 
-    def __init__(self):
-        self.conf, self.sparkContext, self.dir = self, self, None
+    def __init__(self, master="local[2]"):
+        self.conf, self.sparkContext, self.dir, self.master = self, self, None, master
 
     def get(self, key, default):
         return default
@@ -26,6 +26,9 @@ def test_shared_dir(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     bare = Session()
     assert common.shared_dir(bare) == common.shared_dir(bare) == bare.dir != None  # noqa: E711
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(Session(master))
 
 
 def test_written_is_the_same_table(spark):

@@ -121,6 +121,18 @@ def test_classifier_over_a_table(spark):
     assert len(held) > 60 and all((r.score >= 0.7) == (r.doc_id % 4 != 0) and not r.may_learn for r in held)
     none, _ = classify(docs, labels.where("false"))
     assert {r.score for r in none.collect()} == {0.5}
+    assert classify(docs.where("false"), labels)[0].collect() == []
+    long = docs.limit(1).selectExpr("999L as doc_id", "repeat(concat(text, ' '), 3000) as text")
+    assert 0 <= classify(long, labels)[0].first().score <= 1 and quality_rules(long, labels)[0].first().n_words > 150_000
+
+
+def test_an_id_that_many_rows_share_teaches_once(spark):
+    rows = [(i, f"w{i} " * 60) for i in range(10)] + [(3, f"other {k} " * 60) for k in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(10)] + [(3, None, 0)], "doc_id long, label int, toxic int")
+    x, y = textstats.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, 100)
+    assert len(x) == 10 and y.tolist() == [0, 1] * 5
+    x, y = textstats.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, 6)
+    assert len(x) <= 6
 
 
 @pytest.mark.parametrize("flip", [0, 1])
