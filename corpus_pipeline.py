@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from noticelake.llm import decontam, linededup, packing, qualityrules, simhash
 from noticelake.llm.common import table, written
-from noticelake.llm.queries import TOKENIZERS
+from noticelake.llm.queries import tokenizer
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of the documents that are left, as op6 returns them and with their ids."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json").withColumnRenamed("id", "doc_id")
+    return packing.pack(docs, tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
