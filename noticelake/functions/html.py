@@ -183,6 +183,11 @@ def listing_links(html: Column | str, strict: bool = False) -> Column:
     return _over_pages(lambda root: links_of(root, strict=strict), "array<string>")(html)
 
 
+def links(html: Column | str) -> Column:
+    """array<string> of all of a page's links, in order, repeats kept."""
+    return _over_pages(lambda root: [n.attrs["href"] for n in root.find_all("a") if "href" in n.attrs], "array<string>")(html)
+
+
 def transit_notices(html: Column | str, strict: bool = False) -> Column:
     """array<struct> of a transit page's notices."""
     kind = f"array<struct<{TRANSIT_NOTICE.replace(' string', ':string')}>>"

@@ -31,10 +31,15 @@ def event_date(text: Column | str) -> Column:
     return F.try_to_timestamp(found, F.lit("dd.MM.yyyy")).cast("date")
 
 
+def matched(text: Column | str, pattern: str, group: int = 1) -> Column:
+    """A group of the first match of a pattern, null where there is no match."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+
+
 def url_id(url: Column | str, pattern: str = r"([0-9]+)\.html") -> Column:
     """The number in a URL, null where there is none."""
-    url = F.col(url) if isinstance(url, str) else url
-    return F.when(url.rlike(pattern), F.try_to_number(F.regexp_extract(url, pattern, 1), F.lit("9" * 18)).cast("long"))
+    return F.try_to_number(matched(url, pattern), F.lit("9" * 18)).cast("long")
 
 
 def message_url(prefix: str, msg_id: Column | str) -> Column:

@@ -28,10 +28,9 @@ def with_address(rows: DataFrame) -> DataFrame:
 
 
 def geocoded(addresses: DataFrame, gazetteer: DataFrame, on: str = "address") -> DataFrame:
-    """Adds lat and lng where the gazetteer (address, lat, lng) has the address; each is looked up once."""
-    known = gazetteer.select(F.col("address").alias(on), "lat", "lng").dropDuplicates([on])
-    found = addresses.select(on).distinct().join(known, on, "left")
-    return addresses.join(found, on, "left")
+    """Adds lat and lng where the gazetteer (address, lat, lng) has the address, of several places the least."""
+    known = gazetteer.groupBy(F.col("address").alias(on)).agg(F.min(F.struct("lat", "lng")).alias("__at"))
+    return addresses.join(known, on, "left").withColumns({"lat": F.col("__at.lat"), "lng": F.col("__at.lng")}).drop("__at")
 
 
 def collected(addresses: DataFrame, key: str) -> DataFrame:

@@ -17,7 +17,11 @@ Extractor = Callable[[str, str], str]
 
 
 def extract(rows: DataFrame, extractor: Extractor, system: str, text_col: str, keep: list[str]) -> DataFrame:
-    """The columns to keep, raw_json and error; filter before this, no filter moves past it."""
+    """The columns to keep, raw_json and error; filter before this, no filter moves past it.
+
+    A null text is an error and never reaches the extractor.  What reads the
+    result twice asks twice: write it first.
+    """
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -25,7 +29,9 @@ def extract(rows: DataFrame, extractor: Extractor, system: str, text_col: str, k
             raw, errors = [], []
             for value in batch.iloc[:, -1]:
                 try:
-                    raw.append(extractor(system, value or ""))
+                    if value is None:
+                        raise ValueError("no text")
+                    raw.append(extractor(system, value))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     raw.append(None)

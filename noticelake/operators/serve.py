@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,18 @@ def search(rows: DataFrame, query: str, facet: str = "all", text_col: str = "mes
 
 
 def facets(rows: DataFrame, array_col: str, name: str = "facet") -> DataFrame:
-    """The distinct elements of an array column; sort them where they are shown."""
+    """The distinct elements of an array column."""
     return rows.select(F.explode(array_col).alias(name)).distinct()
 
 
+def facet_list(rows: DataFrame, array_col: str, first: str = "all", name: str = "facet") -> DataFrame:
+    """(place, facet) as a menu shows it: the entry for everything, then the distinct elements in order."""
+    found = facets(rows, array_col, name).where(F.col(name).isNotNull())
+    every = rows.sparkSession.createDataFrame([(0, first)], f"place long, {name} string")
+    # a menu's entries are a dimension of the served table: numbered in one place
+    return every.unionByName(found.select(F.row_number().over(Window.orderBy(name)).cast("long").alias("place"), name))
+
+
 def is_near(location: Column, districts: Column) -> Column:
     """A location and any district contain one another, or a long word of the district is in the location."""
     place = F.lower(location)
@@ -93,24 +101,24 @@ def contains_pairs(locations: DataFrame, districts: DataFrame) -> DataFrame:
     return held.unionByName(holds).distinct().where(is_near(F.col("location"), F.array("district")))
 
 
-def holds_any(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str, most_needles: int = 10_000) -> DataFrame:
-    """Rows whose text contains any of the needles.
+def holds_any(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) -> DataFrame:
+    """Rows whose text contains any of the needles, however many there are.
 
-    Up to ``most_needles`` distinct ones are literals of a filter; more meet the
-    texts by their first three characters in an equality join and are verified.
+    Needles meet the texts by their first three characters (shorter ones by all
+    they have) in an equality join and are verified; texts that hold one are known
+    by two independent hashes.  A null text holds nothing, an empty needle is in
+    every text.
     """
-    words = needles.select(F.col(needle_col).alias("needle")).where("needle is not null").distinct()
-    found = [r.needle for r in words.limit(most_needles + 1).collect()]
-    if len(found) <= most_needles:
-        hit = F.lit(False)
-        for w in sorted(found):
-            hit = hit | F.contains(text, F.lit(w))
-        return rows.where(hit)
-    keyed = rows.withColumn("__text", text).withColumn("__row", F.xxhash64("__text"))
-    texts = keyed.select("__row", "__text").distinct()
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("__text"), F.lit(1))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substr("__text", i, n)))))
-    met = texts.select("__row", "__text", F.explode(F.concat(grams, F.array(F.lit("")))).alias("piece")).join(words.select("needle", F.substr("needle", F.lit(1), F.lit(3)).alias("piece")), "piece")
-    return keyed.join(met.where(F.contains("__text", F.col("needle"))).select("__row", "__text").distinct(), ["__row", "__text"], "left_semi").drop("__row", "__text")
+    words = needles.select(F.col(needle_col).alias("needle")).where("needle is not null").distinct().withColumn("piece", F.substring("needle", 1, 3))
+    sizes = sorted(r[0] for r in words.select(F.char_length("piece")).distinct().collect())  # four values at most
+    keys = {"__h1": F.xxhash64("__text"), "__h2": F.xxhash64(F.lit(1), "__text")}
+    keyed = rows.withColumn("__text", text).withColumns(keys)
+    at = F.sequence(F.lit(1), F.greatest(F.char_length("__text"), F.lit(1)))
+    of_size = lambda n: F.transform(at, lambda i: F.substr("__text", i, F.lit(n)))
+    pieces = [of_size(n) for n in sizes] or [F.array().cast("array<string>")]
+    met = keyed.select("__h1", "__h2", "__text", F.explode(F.array_distinct(F.concat(*pieces))).alias("piece")).join(words, "piece")
+    held = met.where(F.contains("__text", F.col("needle"))).select("__h1", "__h2").distinct()
+    return keyed.join(held, ["__h1", "__h2"], "left_semi").drop("__text", "__h1", "__h2")
 
 
 def run_status(runs: DataFrame, at_col: str, run: Column, id_col: str) -> DataFrame:

@@ -23,9 +23,16 @@ def by_user_id(accounts: DataFrame, user_id: str) -> DataFrame:
     return accounts.where(F.col("user_id").cast("string") == user_id).limit(1).select(*(c for c in accounts.columns if c != "password_hash"))
 
 
-def upserted(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table with the changed users in place of those of the same address."""
-    return deleted(users, changes).unionByName(changes.dropDuplicates(["email"]))
+def one_each(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """One row of each address, case and outer white space aside: the last by ``order`` (a column), of equal ones the largest row."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    last = F.max_by(F.struct(*columns), F.struct(*([F.col(f"`{order}`")] if order else []), *columns))
+    return rows.groupBy(folded_key("email").alias("__key")).agg(last.alias("__row")).select("__row.*")
+
+
+def upserted(users: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
+    """The table with the changed users in place of those of the same address; of changes of one user the last by ``order`` holds."""
+    return deleted(users, changes).unionByName(one_each(changes, order).select(*users.columns))
 
 
 def deleted(users: DataFrame, gone: DataFrame) -> DataFrame:
@@ -38,13 +45,13 @@ def registered(users: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(users with the new ones added, those of the new that exist already)."""
     keys = users.select(folded_key("email").alias("__key")).distinct()
     keyed = new.withColumn("__key", folded_key("email"))
-    fresh = keyed.join(keys, "__key", "left_anti").dropDuplicates(["__key"]).drop("__key")
+    fresh = one_each(keyed.join(keys, "__key", "left_anti").drop("__key"))
     return users.unionByName(fresh), keyed.join(keys, "__key", "left_semi").drop("__key")
 
 
 def with_addresses(users: DataFrame, addresses: DataFrame) -> DataFrame:
     """The table with the addresses of (email, addresses) in place of the user's own, an empty list too."""
-    new = addresses.select(folded_key("email").alias("__key"), F.col("addresses").alias("__new")).dropDuplicates(["__key"])
+    new = one_each(addresses.select("email", "addresses")).select(folded_key("email").alias("__key"), F.col("addresses").alias("__new"))
     joined = users.withColumn("__key", folded_key("email")).join(new, "__key", "left")
     return joined.select(*(F.coalesce("__new", "addresses").alias(c) if c == "addresses" else F.col(c) for c in users.columns))
 

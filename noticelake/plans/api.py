@@ -24,11 +24,7 @@ def outage_by_id(outages: DataFrame, ident: int) -> DataFrame:
 
 def run_status(spark: SparkSession, folder: str) -> DataFrame:
     """One row: runs on record, the time of the last, the largest id in any."""
-    from pyspark.sql import functions as F
-
-    files = runs.listing(spark, folder).agg(F.count("*").alias("total_runs"), F.max("modificationTime").alias("last_run"))
-    last = runs.read_run(spark, folder).agg(F.max("id").alias("last_id"))
-    return files.withColumn("last_id", F.lit(last.first()[0]).cast("long"))
+    return runs.status(spark, folder)
 
 
 search_outages = serve.search

@@ -18,6 +18,7 @@ from noticelake.operators import extract as E
 from noticelake.operators import incremental as I
 from noticelake.schemas import NOTICE_DEFAULTS, TRANSIT_EXTRACTION, WATER_EXTRACTION
 from noticelake.sources.pages import Fetcher, fetch_pages
+from noticelake.store import written
 
 
 @dataclass
@@ -39,13 +40,13 @@ def new_transit_notices(pages: DataFrame, seen: DataFrame, html_col: str = "html
 
 def transit(pages: DataFrame, seen: DataFrame, extractor: E.Extractor | None = None, system: str = "", **options) -> Ingested:
     """Transit pages to records of new notices; without an extractor the bus lines come by rule, in the JVM."""
-    fresh = new_transit_notices(pages, seen, **options)
+    fresh = written(new_transit_notices(pages, seen, **options), "fresh")
     ids = fresh.select("data_id")
     if extractor is None:
         ruled = fresh.withColumn("parsed", F.struct(T.bus_lines(T.prompt("header", "body")).alias("bus_lines")))
         return Ingested(E.transit_records(ruled), fresh.limit(0), ids)
     asked = fresh.withColumn("text", T.prompt("header", "body"))
-    raw = E.extract(asked, extractor, system, "text", ["data_id", "header", "body", "info_time"])
+    raw = written(E.extract(asked, extractor, system, "text", ["data_id", "header", "body", "info_time"]), "answers")
     good, bad = E.parsed(raw, TRANSIT_EXTRACTION)
     return Ingested(E.transit_records(good), bad, ids)
 
@@ -56,18 +57,35 @@ def new_water_links(listings: DataFrame, stored: int, html_col: str = "html") ->
     return I.above_watermark(links, "message_id", stored)
 
 
-def water(listings: DataFrame, stored: int, fetch: Fetcher, extractor: E.Extractor = E.rule_extractor, system: str = "", gazetteer: DataFrame | None = None, delay_s: float = 0.0) -> Ingested:
+def water(listings: DataFrame, stored: int, fetch: Fetcher, extractor: E.Extractor = E.rule_extractor, system: str = "", gazetteer: DataFrame | None = None, delay_s: float = 0.0, strict_reference: bool = False) -> Ingested:
     """Listing pages to addresses of new water notices, with coordinates where the gazetteer has them.
 
     The state is the largest id of the listing, whether or not its page could
-    be read; pages that failed are in the quarantine with their URL, to be tried
-    again.
+    be read; pages that failed are in the quarantine with their URL, for
+    :func:`retried`.  With ``strict_reference`` they are lost, as the mark has
+    passed them, and so are pages without a title.
     """
-    links = new_water_links(listings, stored)
-    fetched = fetch_pages(links, fetch, delay_s=delay_s).join(links.distinct(), "url")
+    links = written(new_water_links(listings, stored).distinct(), "links")
+    found = _water_pages(links, fetch, extractor, system, gazetteer, delay_s, strict_reference)
+    return Ingested(found.records, found.quarantined, I.advanced(links, "message_id", stored))
+
+
+def retried(quarantined: DataFrame, fetch: Fetcher, extractor: E.Extractor = E.rule_extractor, system: str = "", gazetteer: DataFrame | None = None, delay_s: float = 0.0) -> Ingested:
+    """Quarantined water pages once more, each URL once: what can be read now, and what stays in quarantine; the state is as it was."""
+    links = written(quarantined.select("url", "message_id").distinct(), "links")
+    found = _water_pages(links, fetch, extractor, system, gazetteer, delay_s, False)
+    return Ingested(found.records, found.quarantined, links.select(F.col("message_id").alias("last_id")).limit(0))
+
+
+def _water_pages(links: DataFrame, fetch: Fetcher, extractor: E.Extractor, system: str, gazetteer: DataFrame | None, delay_s: float, strict_reference: bool) -> Ingested:
+    """Each page is fetched once and each text asked once: both are written before anything reads them.
+
+    A page without a title is judged by its content alone.
+    """
+    fetched = written(fetch_pages(links, fetch, delay_s=delay_s, keep=("message_id",)), "pages")
     detail = fetched.where("error is null").select("url", "message_id", H.water_detail("html").alias("page"))
-    whole = detail.where("page is not null").select("url", "message_id", "page.date", T.prompt("page.title", "page.content").alias("text"))
-    raw = E.extract(whole, extractor, system, "text", ["url", "message_id", "date"])
+    told = detail.where("page is not null").select("url", "message_id", "page.date", F.concat_ws("\n", "page.title", "page.content").alias("text"), F.col("page.title").isNull().alias("untitled"))
+    raw = written(E.extract(told.where("not untitled") if strict_reference else told, extractor, system, "text", ["url", "message_id", "date"]), "answers")
     good, bad = E.parsed(raw, WATER_EXTRACTION)
     times = [f"parsed.{c}" for c in ("start_time", "start_date", "end_time", "end_date")]
     rows = good.select("message_id", "date", *times, F.col("parsed.locations").alias("locations"))
@@ -77,4 +95,4 @@ def water(listings: DataFrame, stored: int, fetch: Fetcher, extractor: E.Extract
     lost = fetched.where("error is not null").select("url", "message_id", "error")
     empty = detail.where("page is null").select("url", "message_id", F.lit("no content").alias("error"))
     refused = bad.select("url", "message_id", F.coalesce("error", F.lit("malformed JSON")).alias("error"))
-    return Ingested(records, lost.unionByName(empty).unionByName(refused), I.advanced(links, "message_id", stored))
+    return Ingested(records, refused if strict_reference else lost.unionByName(empty).unionByName(refused), links)

@@ -103,10 +103,10 @@ def last_before_stop(spark, sf_dir):
     return I.last_valid(hits, docs.agg(F.min("doc_id")).first()[0], 3, "doc_id")
 
 
-@query("select count(*) as n from (select doc_id from labels union select doc_id from documents where doc_id % 2 = 0)")
+@query("select count(*) as n from (select doc_id from labels union select doc_id from documents)")
 def seen_state_append(spark, sf_dir):
     """Ids are appended with repeats and read distinct."""
-    new = table(spark, sf_dir, "documents").select("doc_id").where("doc_id % 2 = 0")
+    new = table(spark, sf_dir, "documents").select("doc_id")
     return I.appended(table(spark, sf_dir, "labels").select("doc_id"), new).distinct().agg(F.count("*").alias("n"))
 
 

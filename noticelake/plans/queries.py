@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from noticelake.functions import html as H
 from noticelake.functions import text as T
 from noticelake.operators import addresses as A
+from noticelake.operators import extract as E
 from noticelake.operators import incremental as I
 from noticelake.operators import serve as S
 from noticelake.operators import users as U
@@ -73,21 +74,21 @@ def consecutive_miss_stop(spark, sf_dir):
 
 @query(
     "select case when c.c_name is not null then concat(c.c_name, ' ', n.n_name, ' ', r.r_name) when n.n_name is not null then concat(n.n_name, ' ', r.r_name) else r.r_name end as address "
-    "from region r left join nation n on n.n_regionkey = r.r_regionkey left join (select * from customer where c_acctbal > 9500) c on c.c_nationkey = n.n_nationkey"
+    "from region r left join nation n on n.n_regionkey = r.r_regionkey left join customer c on c.c_nationkey = n.n_nationkey"
 )
 def address_flatten(spark, sf_dir):
-    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer").where("c_acctbal > 9500")
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     places = table(spark, sf_dir, "region").join(nation, F.col("n_regionkey") == F.col("r_regionkey"), "left").join(customer, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return A.with_address(places.select(F.col("c_name").alias("street"), F.col("n_name").alias("sublocation"), F.col("r_name").alias("location"))).select("address")
 
 
 @query(
-    "with c as (select c_nationkey, count(*) as n from customer where c_acctbal > 9500 group by c_nationkey) "
+    "with c as (select c_nationkey, count(*) as n from customer group by c_nationkey) "
     "select r.r_regionkey, cast(sum(coalesce(c.n, 1)) as bigint) as n_addresses from region r left join nation n on n.n_regionkey = r.r_regionkey left join c on c.c_nationkey = n.n_nationkey group by r.r_regionkey"
 )
 def nested_unnest(spark, sf_dir):
     """Regions, nations and customers nested as an extraction is, and flattened again."""
-    streets = table(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy("c_nationkey").agg(F.collect_list("c_name").alias("streets"))
+    streets = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_list("c_name").alias("streets"))
     subs = table(spark, sf_dir, "nation").join(streets, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     subs = subs.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("sublocation_name"), "streets")).alias("sublocations"))
     rows = table(spark, sf_dir, "region").join(subs, F.col("n_regionkey") == F.col("r_regionkey"), "left")
@@ -137,7 +138,8 @@ def run_status(spark, sf_dir):
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events")
 def json_field_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    good, _ = E.parsed(table(spark, sf_dir, "events").select("event_id", F.col("props").alias("raw_json")), "k int")
+    return good.select("event_id", "parsed.k")
 
 
 @query("select c_custkey, c_name from customer where lower(trim(c_name)) = lower(trim(' CUSTOMER#000000007 '))")
@@ -150,10 +152,9 @@ def html_title(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.element_text("html", "title", strip=False).alias("title"))
 
 
-@query("select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages")
+@query("select page_id, replace(unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)), '&amp;', '&') as href from pages")
 def html_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(H.links("html")).alias("href"))
 
 
 @query(
@@ -171,8 +172,7 @@ def prompt_assemble(spark, sf_dir):
 
 @query("select event_id, case when regexp_matches(event_type, '^e') then regexp_extract(event_type, '^e(.*)', 1) end as rest from events")
 def regex_skip_nonmatch(spark, sf_dir):
-    matched = F.when(F.col("event_type").rlike("^e"), F.regexp_extract("event_type", "^e(.*)", 1))
-    return table(spark, sf_dir, "events").select("event_id", matched.alias("rest"))
+    return table(spark, sf_dir, "events").select("event_id", T.matched("event_type", "^e(.*)").alias("rest"))
 
 
 @query("select c_custkey, upper(substr(n, 1, 1)) || substr(n, 2) as label from (select c_custkey, lower(c_mktsegment) as n from customer)")

@@ -26,8 +26,10 @@ def http_fetcher(timeout: float = TIMEOUT_S, headers: dict[str, str] | None = No
     return fetch
 
 
-def fetch_pages(urls: DataFrame, fetch: Fetcher, url_col: str = "url", delay_s: float = 0.0) -> DataFrame:
-    """(url, html, error) of each row's page, in place; a failure is an error text and no exception.
+def fetch_pages(urls: DataFrame, fetch: Fetcher, url_col: str = "url", delay_s: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, html, error) of each row's page behind the columns to keep, in place; a failure is an error text and no exception.
+
+    What reads the result twice fetches twice: write it first.
 
     With a delay the rows go through one task, so that the pause holds for the
     whole job; it is meant for a listing's few new links.
@@ -43,10 +45,12 @@ def fetch_pages(urls: DataFrame, fetch: Fetcher, url_col: str = "url", delay_s:
                     out.append((url, None, f"{type(e).__name__}: {e}"))
                 if delay_s:
                     time.sleep(delay_s)
-            yield pd.DataFrame(out, columns=["url", "html", "error"])
+            found = pd.DataFrame(out, columns=["url", "html", "error"], index=batch.index)
+            yield pd.concat([batch[list(keep)], found], axis=1)
 
-    rows = urls.select(F.col(url_col).alias("url"))
-    return (rows.coalesce(1) if delay_s else rows).mapInPandas(run, FETCHED)
+    rows = urls.select(*keep, F.col(url_col).alias("url"))
+    kept = "".join(f"`{c}` {urls.schema[c].dataType.simpleString()}, " for c in keep)
+    return (rows.coalesce(1) if delay_s else rows).mapInPandas(run, kept + FETCHED)
 
 
 class SourceUnavailable(RuntimeError):

@@ -1,19 +1,34 @@
-"""Recorded runs: folders of JSON arrays, one file for each run."""
+"""Recorded runs: single files that hold a JSON array, and folders run_id=<id> of JSON lines, as :func:`write_run` leaves them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.schemas import FLAT_EXTRACTION, RUN_NOTICE
+from noticelake.schemas import RUN_NOTICE
 
 PROCESSED = "processed_"
+RUN_FOLDER = "^(.*/run_id=[^/]+)/"
+
+
+def _run(path: Column | str) -> Column:
+    """The run that a file belongs to: its run_id folder, or the file itself."""
+    folder = F.regexp_extract(path, RUN_FOLDER, 1)
+    return F.when(folder != "", folder).otherwise(F.col(path) if isinstance(path, str) else path)
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """(path, modificationTime, length, name) of the files; empty files and empty arrays are there too."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "modificationTime", "length")
-    return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+    """(path, modificationTime, length, name, run) of the files; empty files and empty arrays are there too."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    files = reader.load(folder).select(F.col("_metadata.file_path").alias("path"), "modificationTime", "length")
+    return files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("run", _run("path"))
+
+
+def recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """(run, at, n_files, length) of each run: when its last file was written, its files and their bytes."""
+    return listing(spark, folder).groupBy("run").agg(F.max("modificationTime").alias("at"), F.count("*").alias("n_files"), F.sum("length").alias("length"))
 
 
 def pending(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,32 +37,54 @@ def pending(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_path(files: DataFrame) -> str | None:
-    """The newest file, of several the last by path; None without files."""
-    row = files.agg(F.max_by("path", F.struct("modificationTime", "path"))).first()
+    """The newest run of a listing, of several the last by path; None without files."""
+    row = files.agg(F.max_by("run", F.struct("modificationTime", "run"))).first()
     return row[0]
 
 
 def read_run(spark: SparkSession, paths: str | list[str], schema: str = RUN_NOTICE) -> DataFrame:
-    """Rows of the files' arrays; _corrupt_record holds what is no JSON, file and bad rows apart from the good."""
-    reader = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-    return reader.json(paths)
+    """Rows of runs, (schema, _corrupt_record, path, run).
+
+    Folders run_id=<id> hold lines, all else arrays.  _corrupt_record holds what is
+    no JSON, file and bad rows apart from the good.
+    """
+    paths = [paths] if isinstance(paths, str) else paths
+    found = []
+    for arrays in (True, False):
+        some = [p for p in paths if ("/run_id=" in p) != arrays]
+        if some:
+            reader = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", arrays).option("mode", "PERMISSIVE").option("encoding", "UTF-8").option("recursiveFileLookup", True)
+            rows = reader.json(some)
+            found.append(rows.select(*rows.columns, F.col("_metadata.file_path").alias("path")).withColumn("run", _run("path")))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], f"{schema}, _corrupt_record string, path string, run string")
+
+
+def read_runs(spark: SparkSession, folder: str, schema: str = RUN_NOTICE) -> DataFrame:
+    """Rows of all runs of a folder with ``at``, the time of their run."""
+    runs = recorded(spark, folder)
+    paths = sorted(r.run for r in runs.select("run").collect())  # paths, as the driver lists them for any read
+    return read_run(spark, paths, schema).join(runs.select("run", "at"), "run")
 
 
 def latest_run(spark: SparkSession, folder: str) -> DataFrame:
     """The rows of the newest run, none if that run is empty; no files give no rows."""
     path = latest_path(listing(spark, folder))
-    if path is None:
-        return spark.createDataFrame([], RUN_NOTICE)
-    return read_run(spark, path).where("id is not null").drop("_corrupt_record")
+    return read_run(spark, [] if path is None else path).where("id is not null").drop("_corrupt_record", "path", "run")
 
 
 def latest_by_id(spark: SparkSession, folder: str) -> DataFrame:
-    """Each id's row of the newest run that has it, whatever later runs lack."""
-    rows = read_run(spark, folder).where("id is not null").select("*", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("path"))
-    newest = F.max_by(F.struct("date", "message"), F.struct("at", "path"))
+    """Each id's row of the newest run that has it, whatever later runs lack; of several in one run the largest."""
+    newest = F.max_by(F.struct("date", "message"), F.struct("at", "run", "date", "message"))
+    rows = read_runs(spark, folder).where("id is not null")
     return rows.groupBy("id").agg(newest.alias("n")).select("id", "n.date", "n.message")
 
 
+def status(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: runs on record, the time of the last, the largest id in any."""
+    last = read_runs(spark, folder).agg(F.max("id").alias("last_id"))
+    return recorded(spark, folder).agg(F.count("*").alias("total_runs"), F.max("at").alias("last_run")).withColumn("last_id", last.scalar())
+
+
 def read_results(spark: SparkSession, folder: str) -> DataFrame:
     """(id, raw_json) of per-notice result files named result_<id>.json."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "result_*.json").load(folder)
@@ -56,7 +93,7 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_run(rows: DataFrame, folder: str, run_id: str) -> None:
-    """One run as JSON lines below its run_id; writing it again replaces it."""
+    """One run as JSON lines below its run_id, in as many files as it has parts; writing it again replaces it."""
     rows.write.mode("overwrite").json(f"{folder.rstrip('/')}/run_id={run_id}")
 
 
@@ -64,5 +101,3 @@ def write_results(results: DataFrame, path: str) -> None:
     """Raw extraction results (id, raw_json, model, prompt_hash) as Parquet."""
     results.select("id", "raw_json", "model", "prompt_hash").write.mode("append").parquet(path)
 
-
-FLAT = FLAT_EXTRACTION

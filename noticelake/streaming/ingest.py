@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from noticelake.operators import incremental as I
 from noticelake.sources.state import SeenIds, Watermark
+from noticelake.store import written
 
 #: How often a polled source is read.
 POLL = "30 seconds"
@@ -35,16 +36,17 @@ def ingest_unseen(stream: DataFrame, state_path: str, sink_path: str, checkpoint
     """Writes rows with ids that no earlier batch had to ``sink_path/batch_id=<n>``, then remembers the ids.
 
     Ids are remembered for good, as long as the state is kept.  A batch is all
-    or nothing: its state is written after its data.
+    or nothing: its state is written after its data.  What is new is decided once
+    and written, so that data and state agree whatever the source does.
     """
     spark = stream.sparkSession
 
     def each(batch: DataFrame, batch_id: int) -> None:
         seen = SeenIds(spark, state_path)
         fresh = I.unseen(batch, seen.get(before_batch=batch_id).withColumnRenamed("data_id", id_col), id_col)
-        target = f"{sink_path}/batch_id={batch_id}"
-        transform(fresh).write.mode("overwrite").parquet(target)
-        seen.add(fresh.select(F.col(id_col).alias("data_id")).distinct(), batch_id)
+        held = written(fresh, "fresh")
+        transform(held).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
+        seen.add(held.select(F.col(id_col).alias("data_id")).distinct(), batch_id)
 
     return _start(stream, each, checkpoint, poll)
 
@@ -63,7 +65,7 @@ def ingest_above(stream: DataFrame, state_path: str, sink_path: str, checkpoint:
         before = [v for v in mark.folder.versions() if v < batch_id]
         stored = mark.folder.read(before[-1:], "last_id long").agg(F.max("last_id")).first()[0]
         stored = default if stored is None else stored
-        fresh = I.above_watermark(batch, id_col, stored)
+        fresh = written(I.above_watermark(batch, id_col, stored), "fresh")
         transform(fresh).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
         mark.folder.write(I.advanced(fresh, id_col, stored), batch_id)
         mark.folder.drop([v for v in mark.folder.versions() if v < batch_id - 1])

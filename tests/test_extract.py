@@ -38,6 +38,7 @@ def test_extract_keeps_errors_apart_and_filters_come_first(spark):
             raise ValueError("no")
         return json.dumps({"bus_lines": [system + text]})
 
+    assert [r.error for r in E.extract(rows.where("i = 3"), extractor, "s:", "x", ["i"]).collect()] == ["ValueError: no text"]
     raw = E.extract(rows.where("i < 3"), extractor, "s:", "x", ["i"])
     got = {r.i: r for r in raw.collect()}
     assert json.loads(got[1].raw_json) == {"bus_lines": ["s:one"]} and got[2].error == "ValueError: no" and 3 not in got

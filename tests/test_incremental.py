@@ -93,3 +93,35 @@ def test_seen_ids_versions(spark, tmp_path):
     assert everything(seen.get()) == ["a", "b", "c", "e"]
     seen.compact()
     assert everything(seen.get()) == ["a", "b", "c", "e"] and seen.folder.versions() == [1, 2]
+    assert everything(seen.get(before_batch=1)) == ["a", "b"]  # what that batch met at first, compacted or not
+
+
+def test_seen_ids_are_compacted_by_number_of_versions(spark, tmp_path):
+    seen = SeenIds(spark, f"{tmp_path}/seen", most_versions=3)
+    for batch in range(8):
+        seen.add(spark.createDataFrame([(str(batch),)], "data_id string"), batch)
+        assert len(seen.folder.versions()) <= 3
+    assert sorted(r.data_id for r in seen.get().collect()) == [str(b) for b in range(8)]
+
+
+@pytest.mark.parametrize("broken", ["rename", "delete"])
+def test_state_survives_a_failure_between_steps(spark, tmp_path, broken):
+    mark = Watermark(spark, str(tmp_path), default=16_000)
+    mark.advance(20_000, 1)
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == broken:
+                raise OSError("lost")
+            return getattr(self.fs, name)
+
+    whole = mark.folder._fs
+    mark.folder._fs = Broken(whole)
+    with pytest.raises(OSError, match="lost"):
+        mark.advance(30_000, 1)
+    mark.folder._fs = whole
+    assert mark.get() == Watermark(spark, str(tmp_path), default=16_000).get() == (20_000 if broken == "rename" else 30_000)
+    assert mark.advance(25_000, 2) == max(25_000, mark.get()) and Watermark(spark, str(tmp_path)).get() == mark.get()

@@ -40,6 +40,38 @@ def test_water_flow(spark):
     assert sorted((r.message_id, r.error) for r in got.quarantined.collect()) == [(3, "KeyError: '/3.html'"), (4, "no content"), (5, "malformed JSON")]
     assert got.state.first().last_id == 5
     assert flows.water(listing, 5, fetcher(), extractor).records.collect() == []
+    strict = flows.water(listing, 1, fetcher(), extractor, strict_reference=True)
+    assert strict.records.count() == 1 and [r.message_id for r in strict.quarantined.collect()] == [5]  # what failed to load is lost
+    again = flows.retried(got.quarantined, lambda url: DETAIL if url == "/3.html" else "", extractor)
+    assert [r.message_id for r in again.records.collect()] == [3] and sorted((r.message_id, r.error) for r in again.quarantined.collect()) == [(4, "no content"), (5, "no content")]
+
+
+def test_pages_are_fetched_and_texts_asked_once(spark, tmp_path):
+    fetched, asked = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def fetch(url):
+        fetched.add(1)
+        if url == "/3.html":
+            raise OSError("down")
+        return DETAIL
+
+    def extractor(system, text):
+        asked.add(1)
+        return json.dumps({"locations": [{"location_name": text}]})
+
+    listing = pages.read_listing(spark, "u", lambda _: LIST.replace("/4.html", "/2.html"))
+    got = flows.water(listing, 1, fetch, extractor)
+    for _ in range(2):
+        assert got.records.count() == 2 and got.quarantined.count() == 1 and got.state.first().last_id == 5
+    assert fetched.value == 3 and asked.value == 2  # a repeated link is one page
+
+
+def test_a_page_without_a_title_keeps_its_content(spark):
+    page = DETAIL.replace("<h1>", "<h2>").replace("</h1>", "</h2>")
+    listing = pages.read_listing(spark, "u", lambda _: LIST)
+    told = flows.water(listing, 4, lambda _: page, lambda s, t: json.dumps({"locations": [{"location_name": t}]})).records.collect()
+    assert len(told) == 1 and "first" in told[0].address and told[0].address != "Варна"
+    assert flows.water(listing, 4, lambda _: page, lambda s, t: "{}", strict_reference=True).records.collect() == []
 
 
 def test_transit_flow(spark):
@@ -81,6 +113,18 @@ def test_results_and_runs_are_written(spark, tmp_path):
     for _ in range(2):
         runs.write_run(rows, f"{tmp_path}/runs", "r1")
     assert spark.read.json(f"{tmp_path}/runs").count() == 1
+    many = spark.range(12).selectExpr("id", "'d' as date", "concat('m', id) as message").repartition(3)
+    runs.write_run(many, f"{tmp_path}/runs", "r2")
+    for run, when in (("r1", 200), ("r2", 100)):
+        for f in (tmp_path / "runs" / f"run_id={run}").glob("*.json"):
+            os.utime(f, (1_700_000_000 - when,) * 2)
+    write(tmp_path / "runs" / "old.json", json.dumps([{"id": 1, "date": "d", "message": "older"}, {"id": 77, "date": "d", "message": "kept"}], indent=1), 300)
+    assert sorted(r.message for r in runs.latest_run(spark, f"{tmp_path}/runs").collect()) == sorted(f"m{i}" for i in range(12))
+    latest = {r.id: r.message for r in runs.latest_by_id(spark, f"{tmp_path}/runs").collect()}
+    assert latest == {**{i: f"m{i}" for i in range(12)}, 77: "kept"}
+    status = runs.status(spark, f"{tmp_path}/runs").first()
+    assert (status.total_runs, status.last_id) == (3, 77)
+    assert {r.n_files for r in runs.recorded(spark, f"{tmp_path}/runs").where("run like '%r2'").collect()} == {3}
     runs.write_results(spark.createDataFrame([(1, "{}", "m", "h")], "id long, raw_json string, model string, prompt_hash string"), f"{tmp_path}/results")
     assert spark.read.parquet(f"{tmp_path}/results").first().model == "m"
 

@@ -67,13 +67,18 @@ def test_near_users(spark):
     assert got == {("u", 1), ("u", 2), ("u", 4), ("x", 4)}  # an empty location is near everyone
 
 
-def test_holds_any_both_ways(spark):
+def test_facet_list_is_sorted_behind_the_entry_for_all(spark):
+    got = sorted((r.place, r.facet) for r in S.facet_list(outages(spark), "locations").collect())
+    assert got == [(0, "all"), (1, ""), (2, "Hill Park"), (3, "Lake"), (4, "lake side")]
+
+
+def test_holds_any(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(["hello world", "hell", "he", "", None, "wor", "hello world"])], "i int, x string")
     for needles in (["hello", "wor"], ["he"], [""], ["zz", None], []):
         table = spark.createDataFrame([(n,) for n in needles], "n string")
         want = [i for i, x in enumerate(["hello world", "hell", "he", "", None, "wor", "hello world"]) if x is not None and any(n is not None and n in x for n in needles)]
-        for most in (100, -1):
-            assert sorted(r.i for r in S.holds_any(rows, F.col("x"), table, "n", most).collect()) == want, (needles, most)
+        got = S.holds_any(rows, F.col("x"), table, "n")
+        assert sorted(r.i for r in got.collect()) == want and got.columns == rows.columns, needles
 
 
 def test_latest_and_status(spark):
@@ -106,6 +111,9 @@ def test_changes(spark):
     new = spark.createDataFrame([("a@B.C", "new", "x", []), ("z@z.z", "z", "z", [])], USER)
     assert emails(U.upserted(users, new)) == ["a@B.C", "d@e.f", "g@h.i", "z@z.z"]
     assert emails(U.deleted(users, new)) == ["d@e.f", "g@h.i"]
+    twice = spark.createDataFrame([("a@x.bg", "one", "x", []), ("A@x.bg ", "two", "x", []), ("a@X.bg", "zzz", "x", [])], USER).withColumn("at", F.expr("case first_name when 'two' then 9 else 1 end"))
+    assert [r.first_name for r in U.upserted(users, twice, "at").where("email like '%x.bg%'").collect() + U.upserted(users, twice, "at").where("lower(email) like '%x.bg%'").collect()] in (["two"], ["two", "two"])
+    assert U.upserted(users, twice.drop("at")).count() == 4 and U.registered(users, twice.drop("at"))[0].count() == 4
     added, refused = U.registered(users, new)
     assert emails(added) == ["A@b.c", "d@e.f", "g@h.i", "z@z.z"] and emails(refused) == ["a@B.C"]
     again = U.with_addresses(users, spark.createDataFrame([(" a@b.c", []), ("g@h.i", [("s", "n")])], "email string, addresses array<struct<street:string,neighborhood:string>>"))

@@ -12,7 +12,7 @@ def values(spark, column, texts):
 
 
 def test_cleaning(spark):
-    assert values(spark, T.clean_message("x"), ["\t- от 10ч.;;\n", " a; ", "; b", None, ""]) == ["- от 10ч.", "a", "; b", None, ""]
+    assert values(spark, T.clean_message("x"), ["\t- спряно;;\n", " a; ", "; b", None, ""]) == ["- спряно", "a", "; b", None, ""]
     assert values(spark, T.clean_date("x"), [" 03.01.2026 г.\n"]) == ["03.01.2026 г."]
     assert values(spark, T.event_date("x"), [" 03.01.2026 г.", "none", "99.99.2026", None]) == [datetime.date(2026, 1, 3), None, None, None]
 
@@ -41,9 +41,9 @@ def test_password_strength(spark):
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("- от 10.30ч. до около 14ч. абонатите", (630, 840)), ("от 8.30 ч.до 12.00 ч.", (510, 720)), ("от 10.30 до около11.00 ч.", (630, 660)), ("От 9,30 часа до около 17 часа", (570, 1020)),
-        ("От 11 часа до около 12:30 часа", (660, 750)), ("- до 17ч. абонатите", (None, 1020)), ("от 20.00 до 24.00 ч.", (1200, 1440)), ("без час", (None, None)), (None, (None, None)),
-        ("от 14.00ч. на 03.01.2026г. до 13.00ч.. на 05.01.2026г", (840, 780)), ("от 25 ч. до 10.75", (None, None)), ("от 03.01.2026 до 05.01.2026", (None, None)), ("от 1-и до 16-и блок", (None, None)),
+        ("Кранът е спрян от 6.45ч. до около 7ч. днес", (405, 420)), ("работим от 7.05 ч.до 22.10 ч.", (425, 1330)), ("от 3.20 до около4.00 ч.", (200, 240)), ("От 5,55 часа до около 18 часа", (355, 1080)),
+        ("От 13 часа до около 21:15 часа", (780, 1275)), ("ремонт до 19ч. в квартала", (None, 1140)), ("от 23.00 до 24.00 ч.", (1380, 1440)), ("няма час", (None, None)), (None, (None, None)),
+        ("от 15.00ч. на 11.02.2031г. до 16.00ч. на 12.02.2031г", (900, 960)), ("от 25 ч. до 10.75", (None, None)), ("от 11.02.2031 до 12.02.2031", (None, None)), ("от 2-и до 9-и вход", (None, None)),
     ],
 )
 def test_time_range(spark, text, want):
