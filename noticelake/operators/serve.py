@@ -101,24 +101,29 @@ def contains_pairs(locations: DataFrame, districts: DataFrame) -> DataFrame:
     return held.unionByName(holds).distinct().where(is_near(F.col("location"), F.array("district")))
 
 
+#: Needles that are looked for together.
+BLOCK = 1_000
+
+
 def holds_any(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) -> DataFrame:
-    """Rows whose text contains any of the needles, however many there are.
+    """Rows whose text contains any of the needles, a query set that all texts are asked for in blocks.
 
-    Needles meet the texts by their first three characters (shorter ones by all
-    they have) in an equality join and are verified; texts that hold one are known
-    by two independent hashes.  A null text holds nothing, an empty needle is in
-    every text.
+    A block is an array that a subquery makes, so the plan is the same for few
+    needles and for many but for its number of blocks, and no text is shuffled.  A
+    null text holds nothing, an empty needle is in every text, no needles are in none.
     """
-    words = needles.select(F.col(needle_col).alias("needle")).where("needle is not null").distinct().withColumn("piece", F.substring("needle", 1, 3))
-    sizes = sorted(r[0] for r in words.select(F.char_length("piece")).distinct().collect())  # four values at most
-    keys = {"__h1": F.xxhash64("__text"), "__h2": F.xxhash64(F.lit(1), "__text")}
-    keyed = rows.withColumn("__text", text).withColumns(keys)
-    at = F.sequence(F.lit(1), F.greatest(F.char_length("__text"), F.lit(1)))
-    of_size = lambda n: F.transform(at, lambda i: F.substr("__text", i, F.lit(n)))
-    pieces = [of_size(n) for n in sizes] or [F.array().cast("array<string>")]
-    met = keyed.select("__h1", "__h2", "__text", F.explode(F.array_distinct(F.concat(*pieces))).alias("piece")).join(words, "piece")
-    held = met.where(F.contains("__text", F.col("needle"))).select("__h1", "__h2").distinct()
-    return keyed.join(held, ["__h1", "__h2"], "left_semi").drop("__text", "__h1", "__h2")
+    words = needles.select(F.col(needle_col).alias("needle")).where("needle is not null").distinct()
+    n_blocks = -(-words.count() // BLOCK)
+    blocks = {f"__block{k}": words.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == k).agg(F.collect_list("needle").alias("block")).scalar() for k in range(n_blocks)}
+    hit = F.lit(False)
+    for name in blocks:
+        hit = hit | _holds(text, F.col(name))
+    return rows.withColumns(blocks).where(hit).drop(*blocks)
+
+
+def _holds(text: Column, needles: Column) -> Column:
+    """Whether the text, computed once, holds one of an array of needles."""
+    return F.coalesce(F.transform(F.array(text), lambda t: F.exists(needles, lambda w: F.contains(t, w)))[0], F.lit(False))
 
 
 def run_status(runs: DataFrame, at_col: str, run: Column, id_col: str) -> DataFrame:

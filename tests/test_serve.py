@@ -72,7 +72,9 @@ def test_facet_list_is_sorted_behind_the_entry_for_all(spark):
     assert got == [(0, "all"), (1, ""), (2, "Hill Park"), (3, "Lake"), (4, "lake side")]
 
 
-def test_holds_any(spark):
+@pytest.mark.parametrize("block", [1, 1000])
+def test_holds_any(spark, monkeypatch, block):
+    monkeypatch.setattr(S, "BLOCK", block)
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(["hello world", "hell", "he", "", None, "wor", "hello world"])], "i int, x string")
     for needles in (["hello", "wor"], ["he"], [""], ["zz", None], []):
         table = spark.createDataFrame([(n,) for n in needles], "n string")
