@@ -1,13 +1,14 @@
-"""What several operators share: written intermediate tables, ASCII word rules, connected components."""
+"""What several operators share: samples, ASCII word rules, connected components, and the written tables of the store."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.store import fresh_path, remove, shared_dir, written
+
+__all__ = ["ascii_lower", "connected_components", "fresh_path", "hash_sample", "remove", "shared_dir", "table", "written"]
+
 #: The white space that separates words in the contracts.
 SPACES = " \t\n\u000b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -18,49 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Where the session names none, one of our own is made, but only for a driver
-    that is its own executor, as in tests: on a cluster it would be one machine's.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not named:
-        if context.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="noticelake-"))
-        named = context.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/noticelake-{uuid.uuid4().hex}/{name}"
-    jvm = spark.sparkContext._jvm
-    parent = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(parent)
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a written table that nothing reads any more."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written to the shared folder and read back.
-
-    This cuts the lineage, survives lost executors, is computed once however
-    often it is used, and gives the optimiser true sizes.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hash_sample(rows: DataFrame, id_col: str, most_rows: int) -> DataFrame:
     """About ``most_rows`` of the rows, never more, chosen by a hash of the id: the same ones in every run.
 

@@ -28,6 +28,8 @@ def binary_lengths(n: int, most: int = 2048) -> list[int]:
     return [most] * (n // most) + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+#: A text that tells tokenizers of the kind below from others.
+PROBES = "The the THE\tQuick  naïve Straße ÅNGSTRÖM\nword, word. don't (a) x-y e.g. \u4e2d\u6587 \u00bd 1234 5a \U0001f600 İstanbul ﬁne end"
 #: ASCII punctuation that a tokenizer sets apart from the letters before it; not the apostrophe, which may begin a contraction.
 TAILS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -46,7 +48,8 @@ class PieceCache(dict):
     space and never merges across it, a text's ids are those of its pieces, and
     a Latin-1 word's are the model's own for the lowered letters, with
     punctuation behind it apart.  All other pieces go through the whole
-    tokenizer.  The cache is bounded: beyond ``most`` pieces it starts again.
+    tokenizer.  Whether a tokenizer is of that kind is tried on probes; any other
+    encodes whole texts.  The cache is bounded: beyond ``most`` pieces it starts again.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -55,6 +58,10 @@ class PieceCache(dict):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        words = [w.encode() for w in PROBES.split()]
+        whole = self._slow([PROBES.encode()])[0]
+        self.by_pieces = self._slow(words) == [f if (f := self._fast(w)) is not None else self._slow([w])[0] for w in words] and whole == b"".join(self._slow(words))
+        self.clear()
 
     def _fast(self, piece: bytes) -> bytes | None:
         core = piece.rstrip(TAILS)
@@ -95,8 +102,13 @@ class PieceCache(dict):
         for k in range(0, len(slow), 10_000):
             self.update(zip(slow[k : k + 10_000], self._slow(slow[k : k + 10_000]), strict=True))
 
-    def encode(self, pieces: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, pieces))
+    def encode_texts(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of whole texts, one text at a time."""
+        split = [t.split() for t in texts] if self.by_pieces else texts
+        if self.by_pieces:
+            self.learn(set().union(*split))
+        for text in split:
+            yield b"".join(map(self.__getitem__, text)) if self.by_pieces else self._slow([text])[0]
 
 
 @cache
@@ -119,11 +131,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                texts = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
-                known.learn(set().union(*texts))
+                texts = known.encode_texts([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
                 rows, crcs, starts, lengths, totals, ranks, ids = [], [], [], [], [], [], []
                 for row, text in enumerate(texts):
-                    found = known.encode(text) + end
+                    found = text + end
                     start, total = 0, len(found) // 4
                     for n in binary_lengths(total, most):
                         piece = found[4 * start : 4 * (start + n)]

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -35,10 +36,17 @@ def test_pieces_of_text_encode_like_the_whole():
     chars = "abEÀÿŸªºµʰ é'sß1 \n\t\x0b\x1f !#<|>ñ́‍Σkк中"
     texts = TEXTS + ["".join(rng.choice(chars) for _ in range(rng.randrange(60))) for _ in range(1500)]
     cache = PieceCache(PATH, most=300)
+    assert cache.by_pieces
     for text in texts:
-        parts = text.encode().split()
-        cache.learn(set(parts))
-        assert np.frombuffer(cache.encode(parts), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+        assert np.frombuffer(next(cache.encode_texts([text.encode()])), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_another_kind_of_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, cache = Tokenizer.from_file(str(path)), PieceCache(str(path))
+    assert not cache.by_pieces
+    for text, got in zip(TEXTS, cache.encode_texts([t.encode() for t in TEXTS]), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_pack(spark):

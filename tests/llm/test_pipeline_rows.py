@@ -50,3 +50,40 @@ def test_near_dedup_by_row(spark):
     ps = [t for i, t in got if t in (p, near(p))]
     assert len(ps) == 1
     assert got == sorted([*repeated, (3, x), (5, y), (None, ps[0]), (9, near(q)), (None, r)], key=str)
+
+
+def tables(spark, tmp_path, labels=(), items=()):
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    sf_dir = tables(spark, tmp_path)
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir)
+        assert got.collect() == [] and (name == "packing" or got.columns == docs.columns)
+
+
+def test_stages_on_odd_rows_and_columns(spark, tmp_path):
+    passage, *clean = texts(7, 70)
+    sf_dir = tables(spark, tmp_path, items=[(1, passage), (2, None), (3, "")])
+    extra = {"n_lines": 1, "n_dropped": 2, "row_key": 3, "id": 4, "h1": 5, "n_words": 6, "label": 7, "uid": 8, "fp": 9, "term": 10, "a.b": 11}
+    rows = [(1, clean[0]), (1, clean[0]), (None, clean[1]), (None, None), (2, None), (3, ""), (4, f"{clean[2]} {passage}"), (5, " ".join(clean) * 60)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *extra.values()) for i, t in rows], SCHEMA + "".join(f", `{c}` int" for c in extra))
+    want = {
+        "quality_rules": [(1, clean[0]), (1, clean[0]), (None, clean[1]), (4, rows[6][1])],  # the long text repeats itself
+        "line_dedup": [(i, t or "") for i, t in rows],
+        "near_dedup": [(1, clean[0]), (None, clean[1]), (2, None), (4, rows[6][1]), (5, rows[7][1])],
+        "decontamination": [r for r in rows if r[0] != 4],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf_dir)
+        found = got.collect()
+        if name == "packing":
+            assert sorted({str(r.doc_id) for r in found}) == ["1", "2", "3", "4", "5", "None"]
+            continue
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in found), key=str) == sorted(want[name], key=str), name
+        assert all({c: r[c] for c in extra} == extra for r in found)
