@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import fresh_path, written
+from noticelake.llm.common import fresh_path, remove, written
 
 #: Of all bytes: A-Z fold, digits, a-z and what is not ASCII stay, the rest separates words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -72,6 +72,7 @@ class Index:
     """A stored index; rows without a term are texts."""
 
     rows: DataFrame
+    path: str
 
     @property
     def documents(self) -> DataFrame:
@@ -122,7 +123,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.schema(INDEX).parquet(path))
+    return Index(spark.read.schema(INDEX).parquet(path), path)
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = 13) -> tuple[DataFrame, DataFrame]:
@@ -219,16 +220,20 @@ def contamination(docs: DataFrame, items: DataFrame, share: int = 20, id_col: st
     add nothing; items without an id hit words but are not counted.  Rows that
     repeat an id are judged each by its own text.  Extra columns are not read.
     An empty corpus gives no rows, an empty benchmark no hits.  With an ``index``
-    of the corpus, built before, ``docs`` is not read.
+    of the corpus, built before, ``docs`` is not read; one that is built for this
+    call alone goes when its matches are found.
     """
-    index = index or build_index(docs, id_col, text_col)
-    matches, owners = phrase_matches(index, items, **options)
+    built = index or build_index(docs, id_col, text_col)
+    documents = built.documents if index else written(built.documents, "documents")
+    matches, owners = phrase_matches(built, items, **options)
+    if not index:
+        remove(built.rows.sparkSession, built.path)
     spans = matches.select("uid", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     so_far = Window.partitionBy("uid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(so_far), F.lit(0))))
     hits = spans.withColumn("fresh", fresh).groupBy("uid").agg(F.sum("fresh").alias("n_hit"))
     items_of = matches.select("uid", "window_id").distinct().join(owners, "window_id").select("uid", "item").distinct()
     lists = items_of.groupBy("uid").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    out = index.documents.join(hits, "uid", "left").join(lists, "uid", "left")
+    out = documents.join(hits, "uid", "left").join(lists, "uid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
