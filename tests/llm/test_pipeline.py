@@ -65,16 +65,15 @@ def test_each_stage_against_brute_force(spark, tmp_path):
         elif name == "near_dedup":
             prints = {brute_fingerprint(t) for _, t in left}
             comp = components(sorted(prints), [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 3])
-            least = {}
-            for i, t in left:
-                if i is not None:
-                    least[comp[brute_fingerprint(t)]] = min(i, least.get(comp[brute_fingerprint(t)], i))
-            left = list({(i, t) for i, t in left if i is None or least[comp[brute_fingerprint(t)]] == i})
-            assert len(left) < before
+            least = {}  # one row of each group: the smallest id, rows without one last
+            for i, t in sorted(left, key=lambda r: (r[0] is None, r[0] or 0)):
+                least.setdefault(comp[brute_fingerprint(t)], (i, t))
+            left = list(least.values())
+            assert len(left) < before and sum(i is None for i, _ in left) == 1  # the other was a copy of a row with an id
         else:
-            bad = {r[0] for r in contaminated_brute([(str(i), t) for i, t in left], items) if r[5]}
+            bad = {r[0] for r in contaminated_brute([(k, t) for k, (_, t) in enumerate(left)], items) if r[5]}
             assert bad
-            left = [(i, t) for i, t in left if i is None or str(i) not in bad]
+            left = [r for k, r in enumerate(left) if k not in bad]
         got = docs.collect()
         assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t) for i, t in left), name
         assert all(r.n_chars == len(r.text) for r in got)
