@@ -118,7 +118,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     path = path or fresh_path(docs.sparkSession, "index")
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    source.mapInArrow(run, INDEX).write.parquet(path)
+    source.mapInArrow(run, INDEX).write.option("compression", "zstd").parquet(path)
     return open_index(docs.sparkSession, path)
 
 
