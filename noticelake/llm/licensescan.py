@@ -105,10 +105,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     places = spark.createDataFrame(rows, "number int, template int, place int, times int")
     sizes = spark.createDataFrame([(k, name, len(g), least_size(threshold, len(g))) for k, ((name, _), g) in enumerate(zip(texts, grams, strict=True))], "template int, license string, size int, least int")
     # all three are tables of the catalogue, whose size no corpus changes
-    told = docs.select(F.col(f"`{id_col}`").alias("id"), _words(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("words"))
-    told = told.where(F.arrays_overlap("words", F.array(*map(F.lit, telling)))).withColumn("row", F.monotonically_increasing_id())
-    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    every = told.where(F.size("words") > 1).select("row", "id", (F.size("words") - 1).alias("n"), F.posexplode(pairs).alias("at", "bigram"))
+    marks = F.array(*map(F.lit, telling))
+
+    def bigrams(words: Column) -> Column:
+        n = F.size(words) - 1
+        pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.when((n > 0) & F.arrays_overlap(words, marks), pairs)
+
+    # a text's words are bound once, and no filter passes the row's number to make them again
+    told = docs.select(F.col(f"`{id_col}`").alias("id"), F.transform(F.array(_words(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))), bigrams)[0].alias("bigrams"), F.monotonically_increasing_id().alias("row"))
+    every = told.select("row", "id", F.size("bigrams").alias("n"), F.posexplode("bigrams").alias("at", "bigram"))
     hits = written(every.join(F.broadcast(known), "bigram").select("row", "id", "n", "at", "number"), "licence-hits")
     votes = hits.join(F.broadcast(places), "number").join(F.broadcast(sizes), "template").where("n >= least")
     votes = votes.groupBy("row", "id", "n", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
