@@ -3,7 +3,8 @@
 Each template is laid against a text where most of their bigrams agree, and
 compared with the stretch of the text that it covers there, so that licence files
 as well as notices inside other text, over several paragraphs or within a line,
-are found.  Only templates whose size allows the wanted similarity are compared.
+are found.  Only templates of which a text holds as many bigrams as their size asks
+for the wanted similarity are compared.
 Texts without any of the words that a similar stretch must hold are left out
 before their bigrams are built.
 """
@@ -116,12 +117,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     told = docs.select(F.col(f"`{id_col}`").alias("id"), F.transform(F.array(_words(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))), bigrams)[0].alias("bigrams"), F.monotonically_increasing_id().alias("row"))
     every = told.select("row", "id", F.size("bigrams").alias("n"), F.posexplode("bigrams").alias("at", "bigram"))
     hits = written(every.join(F.broadcast(known), "bigram").select("row", "id", "n", "at", "number"), "licence-hits")
-    votes = hits.join(F.broadcast(places), "number").join(F.broadcast(sizes), "template").where("n >= least")
-    votes = votes.groupBy("row", "id", "n", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
+    # a similar stretch shares at least as many bigrams as it must have, so a text with fewer finds of a template is no match
+    finds = hits.join(F.broadcast(places), "number").groupBy("row", "template").agg(F.count("*").alias("finds"))
+    likely = finds.join(F.broadcast(sizes), "template").where("finds >= least").select("row", "template")
+    near = hits.join(likely, "row").join(F.broadcast(places), ["number", "template"])
+    near = written(near.select("row", "id", "n", "at", "number", "template", "place", "times"), "licence-near")
+    votes = near.groupBy("row", "id", "n", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
     best = votes.groupBy("row", "id", "n", "template").agg(F.max_by("offset", F.struct("votes", -F.col("offset"))).alias("offset"))
     laid = best.join(F.broadcast(sizes), "template").select("row", "id", "template", "license", "size", "least", F.greatest(F.lit(0), "offset").alias("start"), F.least("n", F.col("offset") + F.col("size")).alias("end"))
     laid = laid.where("end - start >= least")
-    inside = hits.select("row", "at", "number").join(laid, "row").where("at >= start and at < end").join(F.broadcast(places), ["number", "template"])
+    inside = near.select("row", "template", "at", "number", "times").join(laid, ["row", "template"]).where("at >= start and at < end")
     stretch = ["row", "id", "template", "license", "size", "start", "end"]
     shared = inside.groupBy(*stretch, "number", "times").agg(F.count("*").alias("found")).groupBy(*stretch).agg(F.sum(F.least("found", "times")).alias("shared"))
     length = F.col("end") - F.col("start")
