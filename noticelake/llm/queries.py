@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import chatformat, decontam, licensescan, linededup, packing, qualityclf, qualityrules, sharding, simhash, toxicity
+from noticelake.llm import chatformat, convtrie, decontam, fim, langid, licensescan, linededup, packing, qualityclf, qualityrules, sharding, simhash, toxicity
 from noticelake.llm.common import LOWER, UPPER, table
 
 
@@ -151,3 +151,54 @@ with t as (select template, license, w, len(w) - 1 size, greatest(1, ceil(0.8 /
 select doc_id, cast(a as int) as start, cast(z - a as int) as length, cast(template as int) template, license, 2 * shared / (z - a + size) dice
 from r join d using (uid) where 2 * shared / (z - a + size) >= 0.8
 """
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.rearranged(table(spark, sf_dir, "documents"))
+    again = fim.restored("output", "form")
+    return found.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+_DRAW = "cast('0x' || substr(h, {}, 8) as bigint)"
+ORACLE_SQL["op11_fill_in_middle"] = f"""
+with d as (select doc_id, coalesce(text, '') t, sha256('7:' || coalesce(cast(doc_id as varchar), '')) h from documents),
+ u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') u from d),
+ c as (select *, len(u) n, {_DRAW.format(1)} % (len(u) + 1) c1, {_DRAW.format(9)} % (len(u) + 1) c2, {_DRAW.format(17)} % 100 h3, {_DRAW.format(25)} % 100 h4 from u),
+ f as (select doc_id, t, n, array_to_string(u[1:least(c1, c2)], '') p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') m, array_to_string(u[greatest(c1, c2) + 1:], '') s,
+   case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 >= 100 then 'plain' when h4 < 50 then 'spm' else 'psm' end form from c)
+select doc_id, cast(n as bigint) n, form, case when form <> 'plain' then cast(length(p) as bigint) end prefix_chars, case when form <> 'plain' then cast(length(m) as bigint) end middle_chars,
+ sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(t) restored_sha256
+from f
+"""
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = "crc32(cast(doc_id as string)) % 4 = 2"
+    found, _ = langid.identify(table(spark, sf_dir, "documents"), may_learn=f"not ({held_out})")
+    found = found.withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", F.expr(held_out).alias("held_out"), "lang_pred", "score", "accepted", "bits")
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+_CRC32 = "xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(cast({} as varchar), ''), lambda s: cast(ascii(s) as bigint))), lambda a, b: list_reduce(list_concat([xor(a, b)], cast(range(8) as bigint[])), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))))"
+ORACLE_SQL["op13_prefix_trie"] = f"""
+with t as (select conv_id c, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) i from conversations where conv_id is not null),
+ k as (select c, c - c % 20 base, {_CRC32.format("c")} % 4 h from (select distinct c from t)),
+ l as (select k.c, count(t.c) lb from k left join t on t.c = k.base and t.i <= k.h group by k.c),
+ s as (select k.c, t.i d, r, x from k join t on t.c = k.base and t.i <= k.h union all select k.c, t.i - k.h + lb, r, x from k join l using (c) join t on t.c = k.c and t.i > k.h),
+ q as (select k.c, coalesce(list(md5(r) || md5(x) order by d) filter (d is not null), []) p from k left join s using (c) group by k.c),
+ m as (select c, len(p) n, d, array_to_string(p[1:d], '') key from (select *, unnest(generate_series(0, len(p))) d from q)),
+ g as (select d, key, min(c) conv_id, count(*) n_convs, coalesce(string_agg(cast(c as varchar), ',' order by c) filter (n = d), '') ends from m group by d, key),
+ w as (select g.*, case when g.d = 0 then 0 else len(regexp_extract_all(s.x, '[^\x20\x09-\x0D]+')) end words from g left join s on s.c = conv_id and s.d = g.d),
+ ch as (select left(key, 64 * (d - 1)) key, d - 1 d, count(*) n_children from g where d > 0 group by all),
+ v as (select w.*, coalesce(n_children, 0) n_children, (n_convs - 1) * words saved from w left join ch using (d, key)),
+ up as (select left(key, 64 * a) key, a d, count(*) filter (n_children = 0) n_leaves, sum(saved) saved_tokens from (select *, unnest(generate_series(0, d)) a from v) group by all)
+select v.conv_id, cast(v.d as bigint) as depth, g.conv_id parent_conv_id, v.n_convs, v.n_children, n_leaves, cast(saved_tokens as bigint) saved_tokens, sha256(v.ends) ends_sha256
+from v join up using (d, key) left join g on g.d = v.d - 1 and g.key = left(v.key, 64 * (v.d - 1))
+"""

@@ -19,6 +19,9 @@ COLUMNS = {
     "op8_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_license_scan": "doc_id bigint, start int, length int, template int, license string, dice double",
+    "op11_fill_in_middle": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
+    "op12_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double, accepted boolean, bits double",
+    "op13_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
 }
 
 
@@ -28,7 +31,7 @@ def test_columns_and_rows(spark, name):
     assert set(COLUMNS[name].split(", ")) <= {f"{c} {t}" for c, t in got.dtypes}
     rows = got.collect()
     ids = [r[0] if name != "op6_packing" else r.doc_id for r in rows]
-    if name in ("op5_chat_format", "op6_packing", "op10_license_scan"):
+    if name in ("op5_chat_format", "op6_packing", "op10_license_scan", "op13_prefix_trie"):
         assert rows and all(i is not None for i in ids)
     else:
         want = [r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()]
