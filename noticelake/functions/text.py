@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(text, f"^[{_WHITE}]+|[{_WHITE}]+$", "")
 
 
+def bound(value: Column | str, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it and however many columns take parts of the result."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clean_message(text: Column | str) -> Column:
     """Stripped, then without semicolons at the end."""
     return F.regexp_replace(strip(text), ";+$", "")
@@ -120,9 +125,16 @@ _TO = rf"(?<![\p{{L}}0-9])до\s*(?:около\s*)?{_CLOCK}(?!\.?[0-9]|-)\s*ч?"
 
 def _minutes(text: Column, pattern: str) -> Column:
     """Minutes of the day of a matched clock time, null if there is none or it is later than 24:00."""
-    hour, minute = (F.regexp_extract(text, pattern, k).try_cast("int") for k in (1, 2))
-    at = hour * 60 + F.coalesce(minute, F.lit(0))
-    return F.when((at <= 1440) & (F.coalesce(minute, F.lit(0)) < 60), at)
+
+    def of(time: Column) -> Column:
+        at = time["hour"] * 60 + time["minute"]
+        return F.when((at <= 1440) & (time["minute"] < 60), at)
+
+    def parts(piece: Column) -> Column:
+        hour, minute = (F.regexp_extract(piece, pattern, k).try_cast("int") for k in (1, 2))
+        return bound(F.struct(hour.alias("hour"), F.coalesce(minute, F.lit(0)).alias("minute")), of)
+
+    return bound(F.regexp_extract(text, pattern, 0), parts)
 
 
 def time_range(text: Column | str) -> Column:
@@ -132,7 +144,7 @@ def time_range(text: Column | str) -> Column:
     is minute 1440.  Either end may be missing.  Digits of dates are no times.
     """
     lowered = F.lower(F.regexp_replace(text, r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", " "))
-    return F.struct(_minutes(lowered, _FROM).alias("start_minute"), _minutes(lowered, _TO).alias("end_minute"))
+    return bound(lowered, lambda t: F.struct(_minutes(t, _FROM).alias("start_minute"), _minutes(t, _TO).alias("end_minute")))
 
 
 def clock(minutes: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import text as T
@@ -43,23 +43,42 @@ def extract(rows: DataFrame, extractor: Extractor, system: str, text_col: str, k
 
 def unwrapped(raw: Column | str) -> Column:
     """JSON text out of a JSON string that holds it; anything else as it is."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    parsed = F.try_parse_json(raw)
-    return F.when(F.schema_of_variant(parsed) == "STRING", F.try_variant_get(parsed, "$", "string")).otherwise(raw)
+
+    def text(r: Column) -> Column:
+        held = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(r)
+        return T.bound(F.try_parse_json(r), held)
+
+    return T.bound(raw, text)
+
+
+def _variant(raw: Column) -> Column:
+    """The variant of a JSON text, or of the one in a JSON string: one parse for a text, a second for what a string holds."""
+    inner = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_parse_json(F.try_variant_get(v, "$", "string"))).otherwise(v)
+    return T.bound(F.try_parse_json(raw), inner)
 
 
 def parsed(rows: DataFrame, schema: str, raw_col: str = "raw_json", into: str = "parsed", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined): rows with a typed struct, and those whose JSON is missing or malformed.
 
-    Unknown keys fall away; absent and null keys are both null.  ``strict``
-    raises at the first malformed row instead.
+    Unknown keys fall away; absent and null keys are both null, and so are values
+    that are not of the wanted type and cannot be cast.  ``strict`` raises at the first malformed row instead.
+
+    Each half parses a text once: a row goes on as one element of an array or as none, since
+    the test of a filter would be made again where its column is used.
     """
-    plain = rows.withColumn("__json", unwrapped(raw_col))
-    whole = F.coalesce(F.schema_of_variant(F.try_parse_json("__json")).startswith("OBJECT"), F.lit(False))
-    value = F.from_json("__json", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
     if strict:
-        return plain.withColumn(into, value).drop("__json"), rows.limit(0)
-    return plain.where(whole).withColumn(into, value).drop("__json"), plain.where(~whole).drop("__json")
+        return rows.withColumn(into, F.from_json(unwrapped(raw_col), schema, {"mode": "FAILFAST"})), rows.limit(0)
+    whole = lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    told = F.array(F.struct(_variant(F.col(raw_col)).alias("__variant")))
+    good = rows.select("*", F.inline(F.filter(told, lambda s: whole(s["__variant"]))))
+    good = good.withColumn(into, F.try_variant_get("__variant", "$", _struct(rows.sparkSession, schema))).drop("__variant")
+    bad = rows.select("*", F.inline(F.filter(told, lambda s: ~whole(s["__variant"])))).drop("__variant")
+    return good, bad
+
+
+def _struct(spark: SparkSession, schema: str) -> str:
+    """The struct type of a table schema."""
+    return spark.createDataFrame([], schema).schema.simpleString()
 
 
 def transit_records(good: DataFrame) -> DataFrame:
@@ -105,10 +124,14 @@ def rule_extractor(system: str, message: str) -> str:
 
 
 def flat_extraction(message: Column | str) -> Column:
-    """struct<locations, start_time, end_time> of a notice, all in the JVM."""
-    span = T.time_range(message)
+    """struct<locations, start_time, end_time> of a notice, all in the JVM, each expression over its text once."""
+    return T.bound(message, _flat)
+
+
+def _flat(message: Column) -> Column:
     names = F.regexp_extract_all(message, F.lit(r"(?:(?<![\p{L}])(?:с|гр|кв|ул|бул|ж\.к)\.\s*)[\"„“]?\s*([\p{Lu}][\p{L}.\- ]*?\p{L})(?=[\"“”,;]|\.?\s|\.?$)"), F.lit(1))
-    return F.struct(F.array_distinct(names).alias("locations"), T.clock(span["start_minute"]).alias("start_time"), T.clock(span["end_minute"]).alias("end_time"))
+    places = F.array_distinct(names).alias("locations")
+    return T.bound(T.time_range(message), lambda span: F.struct(places, T.clock(span["start_minute"]).alias("start_time"), T.clock(span["end_minute"]).alias("end_time")))
 
 
 def usable_batches(files: DataFrame, content_col: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:

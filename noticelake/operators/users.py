@@ -24,15 +24,22 @@ def by_user_id(accounts: DataFrame, user_id: str) -> DataFrame:
 
 
 def one_each(rows: DataFrame, order: str | None = None) -> DataFrame:
-    """One row of each address, case and outer white space aside: the last by ``order`` (a column), of equal ones the largest row."""
-    columns = [F.col(f"`{c}`") for c in rows.columns]
-    last = F.max_by(F.struct(*columns), F.struct(*([F.col(f"`{order}`")] if order else []), *columns))
-    return rows.groupBy(folded_key("email").alias("__key")).agg(last.alias("__row")).select("__row.*")
+    """One row of each address, case and outer white space aside: the last by ``order`` (a column), of equal ones the largest row; none of rows without an address."""
+    return _ranked(rows, order, SUPERSEDED, first=False).where("reason is null").drop("reason")
 
 
 def upserted(users: DataFrame, changes: DataFrame, order: str | None = None) -> DataFrame:
-    """The table with the changed users in place of those of the same address; of changes of one user the last by ``order`` holds."""
-    return deleted(users, changes).unionByName(one_each(changes, order).select(*users.columns))
+    """The table with the changed users in place of those of the same address; of changes of one user the last by ``order`` holds.
+
+    Changes without an address change nothing; :func:`unapplied` has them.
+    """
+    last = _ranked(changes, order, SUPERSEDED, first=False).where("reason is null").drop("reason")
+    return deleted(users, last).unionByName(last.select(*users.columns))
+
+
+def unapplied(changes: DataFrame, order: str | None = None) -> DataFrame:
+    """The changes that :func:`upserted` does not apply, with ``reason``: superseded by a later one, or without an address."""
+    return _ranked(changes, order, SUPERSEDED, first=False).where("reason is not null")
 
 
 def deleted(users: DataFrame, gone: DataFrame) -> DataFrame:
@@ -41,12 +48,44 @@ def deleted(users: DataFrame, gone: DataFrame) -> DataFrame:
     return users.withColumn("__key", folded_key("email")).join(keys, "__key", "left_anti").drop("__key")
 
 
-def registered(users: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(users with the new ones added, those of the new that exist already)."""
+#: Why a row of a batch is not applied.
+NO_ADDRESS, EXISTS, REPEATED, SUPERSEDED = "no address", "exists", "repeated", "superseded"
+
+
+def _ranked(batch: DataFrame, order: str | None, reason: str, first: bool) -> DataFrame:
+    """(columns of the batch, reason) of each of its rows: null for the first or last row of an address by ``order`` (a column), else why it does not count.
+
+    Of equal rows one counts.  Rows are counted before they are compared, so that an
+    address of any number of rows is one row a task; rows without an address are told
+    by themselves and never compared.
+    """
+    columns = [F.col(f"`{c}`") for c in batch.columns]
+    key = folded_key("email")
+    named = F.coalesce(key != "", F.lit(False))
+    counted = batch.where(named).groupBy(*columns).agg(F.count("*").alias("__n")).withColumn("__key", key)
+    by = F.struct(*([F.col(f"`{order}`")] if order else []), *columns)
+    pick = F.min if first else F.max
+    best = counted.groupBy("__key").agg(pick(by).alias("__best"))
+    met = counted.join(best, "__key").withColumn("__wins", by.eqNullSafe(F.col("__best")))
+    copies = F.when(F.col("__wins"), F.concat(F.array(F.lit(None).cast("string")), F.array_repeat(F.lit(reason), (F.col("__n") - 1).cast("int"))))
+    told = met.select(*columns, F.explode(copies.otherwise(F.array_repeat(F.lit(reason), F.col("__n").cast("int")))).alias("reason"))
+    return told.unionByName(batch.where(~named).select(*columns, F.lit(NO_ADDRESS).alias("reason")))
+
+
+def registered(users: DataFrame, new: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(users with the new ones added, the others of the new with ``reason``).
+
+    A registration is refused if its address exists, case and outer white space aside, if it
+    is not the first of its address in the batch by ``order`` (a column; of equal ones the
+    least row), or if it has none.  Every row is in one of the two results, as often as it was given.
+    """
     keys = users.select(folded_key("email").alias("__key")).distinct()
-    keyed = new.withColumn("__key", folded_key("email"))
-    fresh = one_each(keyed.join(keys, "__key", "left_anti").drop("__key"))
-    return users.unionByName(fresh), keyed.join(keys, "__key", "left_semi").drop("__key")
+    told = _ranked(new, order, REPEATED, first=True).withColumn("__key", folded_key("email")).join(keys.withColumn("__known", F.lit(True)), "__key", "left")
+    known = F.coalesce("__known", F.lit(False))
+    columns = [F.col(f"`{c}`") for c in new.columns]
+    fresh = told.where(F.col("reason").isNull() & ~known).select(*columns)
+    refused = told.select(*columns, F.when(known, EXISTS).otherwise(F.col("reason")).alias("reason")).where("reason is not null")
+    return users.unionByName(fresh), refused
 
 
 def with_addresses(users: DataFrame, addresses: DataFrame) -> DataFrame:

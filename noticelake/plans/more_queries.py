@@ -122,3 +122,26 @@ def user_register(spark, sf_dir):
     fresh = users.where("c_custkey % 5 = 1").select((-F.col("c_custkey")).alias("c_custkey"), F.concat("email", F.lit("x")).alias("email"))
     again = users.where("c_custkey % 5 = 0").select("c_custkey", F.lower("email").alias("email"))
     return U.registered(users, fresh.unionByName(again))[0]
+
+
+@query(
+    "select c_custkey, 'exists' as reason from customer where c_custkey % 4 = 0 union all select c_custkey, 'repeated' from customer where c_custkey % 4 = 1 "
+    "union all select c_custkey, 'repeated' from customer where c_custkey % 4 = 1 union all select c_custkey, 'no address' from customer where c_custkey % 4 = 2"
+)
+def user_register_refused(spark, sf_dir):
+    """Registrations of known addresses, of one address three times in a batch, and without an address."""
+    kind = F.col("c_custkey") % 4
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("email"))
+    thrice = rows.where(kind == 1).withColumn("email", F.explode(F.array(F.upper("email"), F.concat(F.lit(" "), "email"), F.upper("email"))))
+    new = rows.where(kind == 0).withColumn("email", F.upper("email")).unionByName(thrice).unionByName(rows.where(kind == 2).withColumn("email", F.when(F.col("c_custkey") % 8 == 2, "  ")))
+    return U.registered(rows.where(kind.isin(0, 3)), new)[1].select("c_custkey", "reason")
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then 'superseded' else 'no address' end as reason from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0")
+def user_changes_unapplied(spark, sf_dir):
+    """Every second user is changed twice, and some changes have no address."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("email"), F.lit(1).alias("version"))
+    even = rows.where("c_custkey % 2 = 0")
+    unnamed = rows.where("c_custkey % 2 <> 0 and c_custkey % 3 = 0").withColumn("email", F.lit(None).cast("string"))
+    changes = even.unionByName(even.withColumns({"version": F.lit(2), "email": F.lower("email")})).unionByName(unnamed)
+    return U.unapplied(changes, "version").select("c_custkey", "reason")

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from noticelake.operators import addresses as A
 from noticelake.operators import extract as E
@@ -75,9 +76,9 @@ def test_rule_extractor():
     assert got["locations"][0] == {"location_name": "Град", "sublocations": [{"sublocation_name": "кв. Горен", "streets": ["бл. 7, Първа"]}]}
     assert (got["start_time"], got["end_time"], got["start_date"]) == ("10:00", None, None)
     assert json.loads(E.rule_extractor("", "Без вода"))["locations"][0]["location_name"] == E.DEFAULT_CITY
-    got = json.loads(E.rule_extractor("", "в с.Село и с. Друго от 14.00ч. на 03.01.2026г. до около 13,30 ч. на 05.01.2026г, бул. Трети"))
+    got = json.loads(E.rule_extractor("", "в с.Село и с. Друго след 8.03.2031 от 9,15 ч. и може би до 21ч. на 12.04.2031, бул. Трети"))
     assert [x["location_name"] for x in got["locations"]] == ["Село", "Друго"] and got["locations"][0]["sublocations"][0]["streets"] == ["бул. Трети"]
-    assert [got[k] for k in ("start_time", "end_time", "start_date", "end_date")] == ["14:00", "13:30", "03.01.2026", "05.01.2026"]
+    assert [got[k] for k in ("start_time", "end_time", "start_date", "end_date")] == ["09:15", "21:00", "8.03.2031", "12.04.2031"]
 
 
 def test_flat_extraction(spark):
@@ -90,3 +91,13 @@ def test_usable_batches(spark):
     usable, empty, malformed = E.usable_batches(rows)
     ids = lambda d: sorted(r.i for r in d.collect())
     assert (ids(usable), ids(empty), ids(malformed)) == ([4], [0, 1, 2, 3, 6], [5])
+
+
+def test_each_text_is_parsed_and_searched_once(spark):
+    rows = spark.createDataFrame([(1, '{"k": 1, "s": {"t": [2]}}')], "i int, raw_json string")
+    for half in E.parsed(rows, "k int, s struct<t: array<int>>"):
+        plan = half.select("*")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json") == 0 and plan.count("parse_json(raw_json") + plan.count("parseJson(raw_json") <= 1
+    told = rows.select("i", E.flat_extraction("raw_json").alias("e")).select("i", "e.start_time", "e.end_time", F.col("e.locations")[0], F.col("e.locations")[1])
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_replace(") == 1 and plan.count("regexp_substr(") + plan.count("regexp_extract(") <= 6

@@ -126,3 +126,17 @@ def test_address_lists(spark):
     rows = table(spark)
     got = {r.email: r for r in rows.select("email", U.address_added("addresses", F.lit(" ул. Шипка 1 ")).alias("more"), U.address_added("addresses", F.lit(" ")).alias("same"), U.address_removed("addresses", 0).alias("less")).collect()}
     assert got["A@b.c"].more[-1].neighborhood == "Център" and got["A@b.c"].more[-1].street == "ул. Шипка 1" and len(got["A@b.c"].same) == 1 and got["A@b.c"].less == []
+
+
+def test_every_registration_is_added_or_refused(spark):
+    rows = lambda found: sorted(map(tuple, found.collect()), key=str)
+    schema = "email string, at long"
+    users = spark.createDataFrame([("a@x", 0), (None, 0)], schema)
+    new = [("b@x", 2), ("B@x ", 1), ("A@X", 1), (None, 5), (None, 5), ("  ", 6), ("c@x", 1), ("c@x", 1), ("c@x", None)]
+    table, refused = U.registered(users, spark.createDataFrame(new, schema), "at")
+    assert rows(table) == rows(spark.createDataFrame([("a@x", 0), (None, 0), ("B@x ", 1), ("c@x", None)], schema))
+    assert sorted(((r.email, r.at, r.reason) for r in refused.collect()), key=str) == sorted([("b@x", 2, "repeated"), ("A@X", 1, "exists"), (None, 5, "no address"), (None, 5, "no address"), ("  ", 6, "no address"), ("c@x", 1, "repeated"), ("c@x", 1, "repeated")], key=str)
+    changed = U.upserted(users, spark.createDataFrame(new, schema), "at")
+    assert rows(changed) == rows(spark.createDataFrame([(None, 0), ("A@X", 1), ("b@x", 2), ("c@x", 1)], schema))
+    assert U.unapplied(spark.createDataFrame(new, schema), "at").count() == len(new) - 3
+    assert U.registered(users, users.limit(0))[1].count() == 0
