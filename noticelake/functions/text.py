@@ -130,11 +130,12 @@ def _minutes(text: Column, pattern: str) -> Column:
         at = time["hour"] * 60 + time["minute"]
         return F.when((at <= 1440) & (time["minute"] < 60), at)
 
-    def parts(piece: Column) -> Column:
-        hour, minute = (F.regexp_extract(piece, pattern, k).try_cast("int") for k in (1, 2))
+    def parts(numbers: Column) -> Column:
+        hour, minute = (F.get(numbers, F.lit(k)).cast("int") for k in (0, 1))
         return bound(F.struct(hour.alias("hour"), F.coalesce(minute, F.lit(0)).alias("minute")), of)
 
-    return bound(F.regexp_extract(text, pattern, 0), parts)
+    # the numbers of what is matched: an empty text that is cast to a number costs an exception
+    return bound(F.regexp_extract_all(F.regexp_extract(text, pattern, 0), F.lit("[0-9]+"), F.lit(0)), parts)
 
 
 def time_range(text: Column | str) -> Column:
