@@ -137,6 +137,32 @@ def recorded_status(spark, sf_dir):
     return api.run_status(spark, _recorded(spark, sf_dir)).select("total_runs", "last_id")
 
 
+@query("select doc_id as id, lang as date, source as message, case when l.doc_id is not null then '10:00' end as start_time from documents d left join (select distinct doc_id from labels) l using (doc_id) where 1 = 0")
+def recorded_empty_run(spark, sf_dir):
+    """The newest run has no rows and hides those before it."""
+    folder = _recorded(spark, sf_dir)
+    runs.write_run(table(spark, sf_dir, "documents").limit(0).select(F.col("doc_id").alias("id"), F.col("lang").alias("date"), F.col("source").alias("message")), folder, "2031-02-11c")
+    parsed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.array(F.lit("x")).alias("locations"), F.lit("10:00").alias("start_time"), F.lit(None).cast("string").alias("end_time"))
+    return api.current_outages(spark, folder, parsed).select("id", "date", "message", "start_time")
+
+
+@query("select doc_id as id, lang as date, case when l.doc_id is not null then upper(source) else source end as message, case when l.doc_id is not null then '10:00' end as start_time, case when l.doc_id is not null then 'x' end as location, cast(null as double) as lat from documents d left join (select distinct doc_id from labels) l using (doc_id)")
+def recorded_current_outages(spark, sf_dir):
+    """Notices of all runs, each as its newest run has it, with what was parsed of them."""
+    parsed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.array(F.lit("x")).alias("locations"), F.lit("10:00").alias("start_time"), F.lit(None).cast("string").alias("end_time"))
+    rows = api.current_outages(spark, _recorded(spark, sf_dir), parsed, newest_run_only=False)
+    return rows.select("id", "date", "message", "start_time", F.col("locations")[0].alias("location"), "lat")
+
+
+@query("select doc_id as id, upper(source) as message, '10:00' as start_time from documents where doc_id = (select max(doc_id) from labels where doc_id in (select doc_id from documents))")
+def recorded_outage_by_id(spark, sf_dir):
+    """F8: one served outage of the newest run."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    parsed = labels.select("id", F.array(F.lit("x")).alias("locations"), F.lit("10:00").alias("start_time"), F.lit(None).cast("string").alias("end_time"))
+    wanted = labels.agg(F.max("id")).first()[0]
+    return api.outage_by_id(api.current_outages(spark, _recorded(spark, sf_dir), parsed), wanted).select("id", "message", "start_time")
+
+
 @query("select event_id as id, cast(json_extract_string(props, '$.k') as integer) as k, 'm' as model from events")
 def results_written(spark, sf_dir):
     """Raw results are stored as they came and parsed later."""

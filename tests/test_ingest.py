@@ -3,6 +3,7 @@ import os
 
 import pytest
 
+from noticelake.operators import extract as E
 from noticelake.plans import flows
 from noticelake.sources import pages, runs
 from noticelake.streaming import ingest
@@ -91,17 +92,25 @@ def write(path, text, age):
 
 
 def test_runs(spark, tmp_path):
-    assert runs.latest_path(runs.listing(spark, str(tmp_path))) is None and runs.latest_run(spark, str(tmp_path)).collect() == []
+    folder = str(tmp_path)
+    assert runs.latest_path(runs.run_list(spark, folder)) is None and runs.latest_run(spark, folder).collect() == []
+    assert runs.recorded(spark, f"{folder}/none").count() == 0
     write(tmp_path / "a.json", json.dumps([{"id": 1, "date": "d", "message": "old"}, {"id": 2, "date": "d", "message": "Б"}]), 30)
     write(tmp_path / "b.json", json.dumps([{"id": 1, "date": "d", "message": "new"}]), 20)
     write(tmp_path / "processed_c.json", "[]", 25)
-    assert [r.message for r in runs.latest_run(spark, str(tmp_path)).collect()] == ["new"]
-    assert {r.id: r.message for r in runs.latest_by_id(spark, str(tmp_path)).collect()} == {1: "new", 2: "Б"}
+    assert [r.message for r in runs.latest_run(spark, folder).collect()] == ["new"]
+    assert {r.id: r.message for r in runs.latest_by_id(spark, folder).collect()} == {1: "new", 2: "Б"}
     write(tmp_path / "d.json", "[]", 10)
-    assert runs.latest_run(spark, str(tmp_path)).collect() == [] and runs.latest_by_id(spark, str(tmp_path)).count() == 2
-    assert sorted(r.name for r in runs.pending(spark, str(tmp_path)).collect()) == ["a.json", "b.json", "d.json"]
+    assert runs.latest_run(spark, folder).collect() == [] and runs.latest_by_id(spark, folder).count() == 2
+    assert sorted(r.name for r in runs.pending(spark, folder).collect()) == ["a.json", "b.json", "d.json"]
+    write(tmp_path / "f.json", "", 8)  # no bytes at all
+    assert runs.latest_path(runs.run_list(spark, folder)).endswith("f.json") and runs.latest_run(spark, folder).collect() == []
+    assert [r.message for r in runs.latest_with_rows(spark, folder).collect()] == ["new"]
+    assert runs.status(spark, folder).first().total_runs == 5
+    usable, empty, malformed = E.usable_batches(runs.contents(spark, folder))
+    assert sorted(r.name for r in empty.collect()) == ["d.json", "f.json"] and usable.count() == 2 and malformed.count() == 0
     write(tmp_path / "e.json", "[{", 5)
-    assert runs.read_run(spark, f"{tmp_path}/e.json").first()._corrupt_record is not None
+    assert runs.read_run(spark, f"{folder}/e.json").first()._corrupt_record is not None
 
 
 def test_results_and_runs_are_written(spark, tmp_path):
@@ -109,26 +118,42 @@ def test_results_and_runs_are_written(spark, tmp_path):
     write(tmp_path / "result_x.json", "{}", 1)
     got = runs.read_results(spark, str(tmp_path)).collect()
     assert [(r.id, r.raw_json) for r in got] == [(7, '{"locations": []}')]
-    rows = spark.createDataFrame([(1, "d", "m")], runs.RUN_NOTICE)
+    rows, folder, now = spark.createDataFrame([(1, "d", "m")], runs.RUN_NOTICE), f"{tmp_path}/runs", 1_700_000_000_000
     for _ in range(2):
-        runs.write_run(rows, f"{tmp_path}/runs", "r1")
-    assert spark.read.json(f"{tmp_path}/runs").count() == 1
+        runs.write_run(rows, folder, "r1", now - 200_000)
+    assert [r.message for r in runs.latest_run(spark, folder).collect()] == ["m"]
     many = spark.range(12).selectExpr("id", "'d' as date", "concat('m', id) as message").repartition(3)
-    runs.write_run(many, f"{tmp_path}/runs", "r2")
-    for run, when in (("r1", 200), ("r2", 100)):
-        for f in (tmp_path / "runs" / f"run_id={run}").glob("*.json"):
-            os.utime(f, (1_700_000_000 - when,) * 2)
+    runs.write_run(many, folder, "r2", now - 100_000)
     write(tmp_path / "runs" / "old.json", json.dumps([{"id": 1, "date": "d", "message": "older"}, {"id": 77, "date": "d", "message": "kept"}], indent=1), 300)
-    assert sorted(r.message for r in runs.latest_run(spark, f"{tmp_path}/runs").collect()) == sorted(f"m{i}" for i in range(12))
-    latest = {r.id: r.message for r in runs.latest_by_id(spark, f"{tmp_path}/runs").collect()}
+    assert sorted(r.message for r in runs.latest_run(spark, folder).collect()) == sorted(f"m{i}" for i in range(12))
+    latest = {r.id: r.message for r in runs.latest_by_id(spark, folder).collect()}
     assert latest == {**{i: f"m{i}" for i in range(12)}, 77: "kept"}
-    status = runs.status(spark, f"{tmp_path}/runs").first()
+    status = runs.status(spark, folder).first()
     assert (status.total_runs, status.last_id) == (3, 77)
-    assert {r.n_files for r in runs.recorded(spark, f"{tmp_path}/runs").where("run like '%r2'").collect()} == {3}
+    assert {r.n_files for r in runs.recorded(spark, folder).where("run = 'r2'").collect()} == {3}
+    runs.write_run(many.limit(0), folder, "r3")
+    assert runs.latest_run(spark, folder).collect() == [] and runs.status(spark, folder).first().total_runs == 4
+    assert runs.latest_with_rows(spark, folder).count() == 12
     runs.write_results(spark.createDataFrame([(1, "{}", "m", "h")], "id long, raw_json string, model string, prompt_hash string"), f"{tmp_path}/results")
     assert spark.read.parquet(f"{tmp_path}/results").first().model == "m"
 
 
+def test_a_run_that_was_not_finished_is_none(spark, tmp_path):
+    """A writer dies while it writes: its files lie there, and every reader has the run before."""
+    folder = f"{tmp_path}/runs"
+    rows = spark.range(4).selectExpr("id", "'d' as date", "concat('m', id) as message")
+    runs.write_run(rows, folder, "r1")
+    broken = rows.repartition(2).selectExpr("id", "date", "case when id = 3 then raise_error('killed') else message end as message")
+    for run_id in ("r2", "r1"):  # a new run, and one that would have replaced r1
+        with pytest.raises(Exception, match="killed"):
+            runs.write_run(broken, folder, run_id)
+        assert runs.latest_run(spark, folder).count() == 4 and runs.recorded(spark, folder).count() == 1
+    log = runs._log(spark, folder)
+    log.written(rows, "r3")  # whole, and never committed
+    assert runs.recorded(spark, folder).count() == 1
+    assert log.vacuum(older_than_s=-60) >= 1 and runs.latest_run(spark, folder).count() == 4
+
+
 def test_stream_of_unseen_ids(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
