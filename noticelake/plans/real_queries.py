@@ -13,7 +13,7 @@ from noticelake.operators import serve as S
 from noticelake.operators import users as U
 from noticelake.plans import api, flows
 from noticelake.plans.queries import query, table
-from noticelake.sources import runs
+from noticelake.sources import runs, scan
 from noticelake.sources.pages import read_users
 from noticelake.sources.state import SeenIds, Watermark
 from noticelake.store import fresh_path
@@ -93,6 +93,25 @@ def page_transit_flow(spark, sf_dir):
     return flows.transit(pages, seen).records.select("original_message.data_id", F.explode("bus_lines").alias("line"))
 
 
+@query(
+    "with h as (select d.doc_id, d.lang, case when l.doc_id is null then 1 else 0 end as miss from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id), "
+    "m as (select doc_id, lang, miss, sum(miss) over (order by doc_id rows between 19 preceding and current row) as m20 from h), "
+    "st as (select min(doc_id) as stop_id from m where m20 = 20) "
+    "select doc_id, lang from m where miss = 0 and doc_id <= coalesce((select stop_id from st), doc_id)"
+)
+def scan_in_waves(spark, sf_dir):
+    """Ids are fetched upward in waves until twenty in a row are missing; a document's page is there if it has labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    there = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+
+    def wave(ids):
+        met = ids.join(there.withColumnRenamed("doc_id", "id"), "id", "left")
+        return met.select("id", F.col("id").cast("string").alias("url"), F.col("lang").alias("html"), F.when(F.col("lang").isNull(), "PageMissing: no page").alias("error"))
+
+    found = scan.scan_ids(spark, docs.agg(F.min("doc_id")).first()[0], wave, misses=20)
+    return found.pages.select(F.col("id").alias("doc_id"), F.col("html").alias("lang"))
+
+
 @query("select greatest(16000, max(doc_id)) + 1 as next_id from documents")
 def watermark_state(spark, sf_dir):
     """The mark is stored, never falls, and gives the next id."""
