@@ -17,7 +17,7 @@ from noticelake.sources import runs, scan
 from noticelake.sources.pages import read_users
 from noticelake.sources.state import SeenIds, Watermark
 from noticelake.store import fresh_path
-from noticelake.streaming import ingest
+from noticelake.streaming import ingest, keyed
 
 
 def _page(*parts):
@@ -319,3 +319,18 @@ def stream_above_mark(spark, sf_dir):
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
     stream = ingest.file_stream(spark, f"{sf_dir}/events*", schema, "parquet").select(F.col("event_id").alias("id"), "event_type")
     return _streamed(spark, lambda *paths: ingest.ingest_above(stream, *paths, default=500), "id", "event_type")
+
+
+@query("select cast(d.doc_id as varchar) as data_id, d.lang from documents d where not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def stream_unseen_keyed(spark, sf_dir):
+    """The same by keyed state; labelled ids count as seen from the start, and a second start finds nothing new."""
+    frame = table(spark, sf_dir, "documents")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema)
+    stream = lambda: ingest.file_stream(spark, f"{sf_dir}/documents*", schema, "parquet").select(F.col("doc_id").cast("string").alias("data_id"), "lang")
+    seen = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("data_id"))
+
+    def start(state, sink, checkpoint):
+        keyed.ingest_unseen_keyed(stream(), sink, checkpoint, seen=seen).awaitTermination()
+        return keyed.ingest_unseen_keyed(stream(), sink, checkpoint, seen=seen)
+
+    return _streamed(spark, start, "data_id", "lang")

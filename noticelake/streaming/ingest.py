@@ -27,7 +27,8 @@ def file_stream(spark: SparkSession, path: str, schema: str, kind: str = "json",
     return (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).load(path)
 
 
-def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, poll: str | None) -> StreamingQuery:
+def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, poll: str | None) -> StreamingQuery:
+    """Starts a stream that hands its batches to ``each``: all there is, or with ``poll`` again and again."""
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
 
@@ -35,7 +36,8 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 def ingest_unseen(stream: DataFrame, state_path: str, sink_path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda x: x, id_col: str = "data_id", poll: str | None = None) -> StreamingQuery:
     """Writes rows with ids that no earlier batch had to ``sink_path/batch_id=<n>``, then remembers the ids.
 
-    Ids are remembered for good, as long as the state is kept.  A batch is all
+    Ids are remembered for good, as long as the state is kept, as a table that every batch reads;
+    :func:`noticelake.streaming.keyed.ingest_unseen_keyed` reads those of the batch alone.  A batch is all
     or nothing: its state is written after its data.  What is new is decided once
     and written, so that data and state agree whatever the source does.
     """
@@ -48,7 +50,7 @@ def ingest_unseen(stream: DataFrame, state_path: str, sink_path: str, checkpoint
         transform(held).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
         seen.add(held.select(F.col(id_col).alias("data_id")).distinct(), batch_id)
 
-    return _start(stream, each, checkpoint, poll)
+    return start(stream, each, checkpoint, poll)
 
 
 def ingest_above(stream: DataFrame, state_path: str, sink_path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda x: x, id_col: str = "id", default: int = 0, poll: str | None = None) -> StreamingQuery:
@@ -70,7 +72,7 @@ def ingest_above(stream: DataFrame, state_path: str, sink_path: str, checkpoint:
         mark.folder.write(I.advanced(fresh, id_col, stored), batch_id)
         mark.folder.drop([v for v in mark.folder.versions() if v < batch_id - 1])
 
-    return _start(stream, each, checkpoint, poll)
+    return start(stream, each, checkpoint, poll)
 
 
 def digests(stream: DataFrame, ts_col: str = "ts", every: str = "1 day", late: str = "2 days", keys: tuple[str, ...] = ()) -> DataFrame:
