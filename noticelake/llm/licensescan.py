@@ -1,8 +1,9 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Each template is laid against a text where most of their bigrams agree, and
-compared with the stretch of the text that it covers there, so that licence files
-as well as notices inside other text, over several paragraphs or within a line,
+Each template is laid against a text wherever enough of their bigrams agree, and
+compared with the stretches of the text that begin with one such place and end with the same or
+another one, so that licence files as well as notices inside other text, over several
+paragraphs or within a line, with words put in or left out, and as often as a text holds them,
 are found.  Only templates of which a text holds as many bigrams as their size asks
 for the wanted similarity are compared.
 Texts without any of the words that a similar stretch must hold are left out
@@ -53,10 +54,20 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def least_size(threshold: float, n: int) -> int:
-    """The fewest bigrams of a stretch that can be similar to a template of n; a stretch is never larger than its template."""
+    """The fewest bigrams of a stretch that can be similar to a template of n."""
     return max(1, math.ceil(threshold / (2 - threshold) * n - 1e-9))
 
 
+def most_size(threshold: float, n: int) -> int:
+    """The most bigrams of a stretch that can be similar to a template of n: it holds all of the template and other words in between."""
+    return math.floor((2 / threshold - 1) * n + 1e-9)
+
+
+def least_votes(n: int) -> int:
+    """The fewest bigrams that agree on a place where a template of n may begin or end: a sixteenth of it, and two where it has two."""
+    return min(n, max(2, -(-n // 16)))
+
+
 def telling_words(text: str, threshold: float, common: Counter | None = None) -> set[str]:
     """Words of a template of which every stretch that is similar enough holds one.
 
@@ -80,14 +91,15 @@ def _words(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: tuple[tuple[str, str], ...] | None = None, threshold: float = 0.8) -> DataFrame:
-    """(id, start, length, template, license, dice) of every text and template with a Dice coefficient of at least ``threshold``.
-
-    A template is laid where most of the text's bigrams lie as far from its start
-    as their first find in the template does from the template's (of several such
-    places the first).  The stretch covered there, cut at the ends of the text,
-    begins at word ``start`` and has ``length`` bigrams; bigrams count as often as
-    they occur.  A text that holds a template several times gives one row for it.
-    Null, empty and one-word texts match nothing; rows that repeat an id are
+    """(id, start, length, template, license, dice) of every stretch of a text that is similar to a template, with a Dice coefficient of at least ``threshold``.
+
+    A template lies at an offset if :func:`least_votes` of the text's bigrams stand as far from there
+    as their first find in the template does from the template's start.  A stretch begins where a
+    template at one offset does and ends where one at the same or another offset does, cut at the
+    ends of the text; it begins at word ``start`` and has ``length`` bigrams, as few or many as can
+    be similar at all.  Bigrams count as often as they occur.  Of stretches of one template that overlap
+    those count that no overlapping one is better than: by Dice, then the earlier, then the
+    shorter.  Null, empty and one-word texts match nothing; rows that repeat an id are
     scanned each and report each; a null id is reported as null.  No rows give
     none.  Other columns are not read.
     """
@@ -104,7 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
         rows += [(numbers.setdefault(g, len(numbers)), k, first[g], n) for g, n in Counter(found).items()]
     known = spark.createDataFrame(list(numbers.items()), "bigram string, number int")
     places = spark.createDataFrame(rows, "number int, template int, place int, times int")
-    sizes = spark.createDataFrame([(k, name, len(g), least_size(threshold, len(g))) for k, ((name, _), g) in enumerate(zip(texts, grams, strict=True))], "template int, license string, size int, least int")
+    sizes = spark.createDataFrame([(k, name, len(g), least_size(threshold, len(g)), most_size(threshold, len(g)), least_votes(len(g))) for k, ((name, _), g) in enumerate(zip(texts, grams, strict=True))], "template int, license string, size int, least int, most int, agreed int")
     # all three are tables of the catalogue, whose size no corpus changes
     marks = F.array(*map(F.lit, telling))
 
@@ -123,12 +135,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     near = hits.join(likely, "row").join(F.broadcast(places), ["number", "template"])
     near = written(near.select("row", "id", "n", "at", "number", "template", "place", "times"), "licence-near")
     votes = near.groupBy("row", "id", "n", "template", (F.col("at") - F.col("place")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("row", "id", "n", "template").agg(F.max_by("offset", F.struct("votes", -F.col("offset"))).alias("offset"))
-    laid = best.join(F.broadcast(sizes), "template").select("row", "id", "template", "license", "size", "least", F.greatest(F.lit(0), "offset").alias("start"), F.least("n", F.col("offset") + F.col("size")).alias("end"))
-    laid = laid.where("end - start >= least")
-    inside = near.select("row", "template", "at", "number", "times").join(laid, ["row", "template"]).where("at >= start and at < end")
-    stretch = ["row", "id", "template", "license", "size", "start", "end"]
+    laid = votes.join(F.broadcast(sizes), "template").where("votes >= agreed").select("row", "id", "n", "template", "license", "size", "least", "most", "offset")
+    laid = written(laid, "licence-places")
+    # places of one template meet within blocks of its largest stretch, so that a text of many copies is no product of them
+    ends = laid.select("row", "template", F.col("offset").alias("last"), F.explode(F.expr("array(floor(offset / most) - 1, floor(offset / most), floor(offset / most) + 1)")).alias("block"))
+    spans = laid.withColumn("block", F.expr("floor(offset / most)")).join(ends, ["row", "template", "block"])
+    spans = spans.withColumns({"start": F.greatest(F.lit(0), "offset"), "end": F.least("n", F.col("last") + F.col("size"))})
+    stretch = ["row", "id", "template", "license", "size", "most", "start", "end"]
+    spans = spans.where("end - start between least and most").select(*stretch).distinct()
+    blocks = F.explode(F.expr("sequence(start div most, (end - 1) div most)")).alias("block")
+    held = near.join(F.broadcast(sizes.select("template", "most")), "template").select("row", "template", "at", "number", "times", F.expr("at div most").alias("block"))
+    inside = spans.select("*", blocks).join(held, ["row", "template", "block"]).where("at >= start and at < end")
     shared = inside.groupBy(*stretch, "number", "times").agg(F.count("*").alias("found")).groupBy(*stretch).agg(F.sum(F.least("found", "times")).alias("shared"))
     length = F.col("end") - F.col("start")
-    scored = shared.select("id", "start", length.alias("length"), "template", "license", (2 * F.col("shared") / (length + F.col("size"))).alias("dice"))
-    return scored.where(F.col("dice") >= threshold)
+    scored = shared.withColumn("dice", 2 * F.col("shared") / (length + F.col("size"))).where(F.col("dice") >= threshold)
+    scored = written(scored.select(*stretch, "dice"), "licence-stretches")
+    mine, other = scored.select("*", blocks), scored.select("row", "template", F.col("start").alias("s"), F.col("end").alias("e"), F.col("dice").alias("d"), blocks)
+    better = F.struct(-F.col("d"), F.col("s"), F.col("e")) < F.struct(-F.col("dice"), F.col("start"), F.col("end"))
+    worse = mine.join(other, ["row", "template", "block"]).where("s < end and start < e").where(better).select("row", "template", "start", "end").distinct()
+    kept = scored.join(worse, ["row", "template", "start", "end"], "left_anti")
+    return kept.select("id", "start", length.alias("length"), "template", "license", "dice")

@@ -138,18 +138,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = r"list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
 _TEXTS = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licensescan.templates()))
 ORACLE_SQL["op10_license_scan"] = f"""
-with t as (select template, license, w, len(w) - 1 size, greatest(1, ceil(0.8 / 1.2 * (len(w) - 1) - 1e-9)) least from (select template, license, {_SPLIT.format("x")} w from (values {_TEXTS}) v(template, license, x))),
+with t as (select template, license, w, len(w) - 1 size, greatest(1, ceil(0.8 / 1.2 * (len(w) - 1) - 1e-9)) least, floor(1.5 * (len(w) - 1) + 1e-9) most, least(len(w) - 1, greatest(2, ceil((len(w) - 1) / 16))) agreed from (select template, license, {_SPLIT.format("x")} w from (values {_TEXTS}) v(template, license, x))),
  d as (select row_number() over () uid, doc_id, w from (select doc_id, {_SPLIT.format("coalesce(text, '')")} w from documents)),
  tb as (select template, g, min(i) place, count(*) times from (select template, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g, unnest(generate_series(0, len(w) - 2)) i from t) group by all),
  db as (select uid, len(w) - 1 n, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) g, unnest(generate_series(0, len(w) - 2)) i from d where len(w) > 1),
  h as (select uid, n, i, g from db where g in (select g from tb)),
- v as (select uid, n, template, i - place o, count(*) votes from h join tb using (g) join t using (template) where n >= least group by all),
- b as (select uid, n, template, o from (select *, row_number() over (partition by uid, template order by votes desc, o) k from v) where k = 1),
- s as (select uid, template, license, size, greatest(0, o) a, least(n, o + size) z, least from b join t using (template)),
- m as (select uid, template, license, size, a, z, g, count(*) found from s join h using (uid) where i >= a and i < z and z - a >= least group by all),
- r as (select uid, template, license, size, a, z, sum(least(found, times)) shared from m join tb using (template, g) group by all)
-select doc_id, cast(a as int) as start, cast(z - a as int) as length, cast(template as int) template, license, 2 * shared / (z - a + size) dice
-from r join d using (uid) where 2 * shared / (z - a + size) >= 0.8
+ v as (select uid, n, template, i - place o, count(*) votes from h join tb using (g) group by all),
+ p as (select uid, n, template, license, size, least, most, o from v join t using (template) where votes >= agreed),
+ s as (select distinct uid, p.template, license, size, greatest(0, p.o) a, least(n, q.o + size) z, least, most from p join (select uid, template, o from p) q using (uid, template)),
+ m as (select uid, template, license, size, a, z, g, count(*) found from s join h using (uid) where z - a between least and most and i >= a and i < z group by all),
+ r as (select uid, template, license, a, z, 2 * sum(least(found, times)) / (z - a + size) dice from m join tb using (template, g) group by uid, template, license, size, a, z having 2 * sum(least(found, times)) / (z - a + size) >= 0.8)
+select doc_id, cast(a as int) as start, cast(z - a as int) as length, cast(template as int) template, license, dice
+from r join d using (uid) where not exists (select 1 from r b where b.uid = r.uid and b.template = r.template and b.a < r.z and r.a < b.z and (b.dice > r.dice or (b.dice = r.dice and (b.a < r.a or (b.a = r.a and b.z < r.z)))))
 """
 
 
