@@ -3,7 +3,7 @@
 A document's token ids are cut into pieces of the largest sequence length and
 the binary parts of what is left.  Every piece is a sequence of its own whose
 length is a power of two, so nothing is padded and no sequence holds two
-documents; sequences of one length are numbered together, ready for batches.
+documents; sequences of one length have one range of numbers, ready for batches.
 """
 
 from __future__ import annotations
@@ -15,12 +15,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import written
-
 
 def binary_lengths(n: int, most: int = 2048) -> list[int]:
     """``n`` as pieces of ``most`` (a power of two) and then falling powers of two."""
@@ -119,15 +116,15 @@ def _cache(path: str) -> PieceCache:
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", most: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
-    """One row for each piece: id, start, length, ids_crc32, doc_tokens, task, rank and, unless left out, ids.
+    """One row for each piece: id, start, length, ids_crc32, doc_tokens, part, rank and, unless left out, ids.
 
     ``tokenizer`` is the path of a tokenizers file that every executor has.  A
-    null or empty text is its end id alone.  rank counts a task's pieces of
-    that length from 0.
+    null or empty text is its end id alone.  part is the part of ``docs`` that the
+    document is in, rank counts a part's pieces of that length from 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end, task, seen = _cache(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), dict.fromkeys((1 << k for k in range(most.bit_length())), 0)
+        known, end, seen = _cache(tokenizer), np.array([end_id], "<u4").tobytes(), dict.fromkeys((1 << k for k in range(most.bit_length())), 0)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
@@ -148,32 +145,33 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                         if with_ids:
                             ids.append(piece)
                         start += n
-                columns = [part.column(0).take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals)), pa.array([task] * len(rows), pa.int32()), pa.array(ranks, pa.int64())]
+                columns = [part.column(0).take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (starts, lengths, crcs, totals)), part.column(2).take(pa.array(rows)), pa.array(ranks, pa.int64())]
                 if with_ids:
                     flat = np.frombuffer(b"".join(ids), "<i4")
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), pa.array(flat)))
-                yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank", "ids"][: len(columns)])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank", "ids"][: len(columns)])
+
+    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long" + ", ids array<int>" * with_ids
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"), F.spark_partition_id()).mapInArrow(run, schema)
+
 
-    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+#: Bits of a sequence's number for its rank and for its part; those above are for its length.
+RANK_BITS, PART_BITS = 34, 24
 
 
 def pack(docs: DataFrame, tokenizer: str, most: int = 2048, with_ids: bool = True, **columns) -> DataFrame:
     """The pieces of all documents with their sequence_id and offset (always 0).
 
-    Sequence ids are gapless from 0, the shortest sequences first, so that each
-    length is one range of ids.  Numbers come from counts by task and length;
-    the pieces themselves are not shuffled.  Rows that repeat an id are packed
-    each; an id may be null.  Other columns are not read.  No rows give none.
+    A sequence's number is made of its length, the part of ``docs`` that it is of and its
+    rank there: no two are the same, the shortest come first, and each length is one range of
+    numbers, with gaps between parts.  So a piece is numbered where it is cut, and nothing is
+    counted, joined or moved.  Rows that repeat an id are packed each; an id may be null.
+    Other columns are not read.  No rows give none.  What reads the result twice
+    encodes twice: write it first.
     """
     if most & (most - 1):
         raise ValueError("the sequence length must be a power of two")
-    found = written(pieces(docs, tokenizer, most=most, with_ids=with_ids, **columns), "pieces")
-    counts = found.groupBy("length", "task").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = counts.groupBy("length").agg(F.sum("n").alias("all"))  # as many rows as there are lengths
-    shorter = F.coalesce(F.sum("all").over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = counts.withColumn("before", before).join(whole.withColumn("shorter", shorter), "length")
-    first = first.select("length", "task", (F.col("shorter") + F.col("before")).alias("first"))
+    found = pieces(docs, tokenizer, most=most, with_ids=with_ids, **columns)
+    number = F.expr(f"shiftleft(cast(log2(length) as bigint), {RANK_BITS + PART_BITS}) + shiftleft(cast(part as bigint), {RANK_BITS}) + rank")
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-    return found.join(first, ["length", "task"]).select(*names, (F.col("first") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return found.select(*names, number.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

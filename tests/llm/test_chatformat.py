@@ -4,8 +4,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from noticelake.llm.chatformat import BOS, CONTROL, FIRST_RESERVED, _tokenizer, assemble, digests, escape, format_chats, read_back, unescape
+from noticelake.llm.queries import tokenizer
 
-PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATH = tokenizer("byte_bpe_50k.tiktoken")
 TRICKY = st.lists(st.sampled_from(["<", "[", "/", "\\", "s>", "INST]", "]", "a", "é", "<s>", "</s>", "[/INST]", " ", "\n"])).map("".join)
 
 

@@ -6,11 +6,12 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from noticelake.llm.common import written
 from noticelake.llm.packing import binary_lengths
+from noticelake.llm.queries import tokenizer
 from tests.llm.test_decontam import brute as contaminated_brute
 from tests.llm.test_linededup import brute as lines_brute
 from tests.llm.test_simhash import brute_fingerprint, components
 
-PATH = "/opt/tokenizers/word_bpe_49k.json"
+PATH = tokenizer("word_bpe_49k.json")
 
 
 def corpus():
