@@ -72,20 +72,22 @@ def _ranked(batch: DataFrame, order: str | None, reason: str, first: bool) -> Da
     return told.unionByName(batch.where(~named).select(*columns, F.lit(NO_ADDRESS).alias("reason")))
 
 
-def registered(users: DataFrame, new: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(users with the new ones added, the others of the new with ``reason``).
+def judged(users: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
+    """The registrations with ``reason``: null for those that are accepted, each row as often as it was given.
 
     A registration is refused if its address exists, case and outer white space aside, if it
     is not the first of its address in the batch by ``order`` (a column; of equal ones the
-    least row), or if it has none.  Every row is in one of the two results, as often as it was given.
+    least row), or if it has none.
     """
-    keys = users.select(folded_key("email").alias("__key")).distinct()
-    told = _ranked(new, order, REPEATED, first=True).withColumn("__key", folded_key("email")).join(keys.withColumn("__known", F.lit(True)), "__key", "left")
-    known = F.coalesce("__known", F.lit(False))
-    columns = [F.col(f"`{c}`") for c in new.columns]
-    fresh = told.where(F.col("reason").isNull() & ~known).select(*columns)
-    refused = told.select(*columns, F.when(known, EXISTS).otherwise(F.col("reason")).alias("reason")).where("reason is not null")
-    return users.unionByName(fresh), refused
+    keys = users.select(folded_key("email").alias("__key")).distinct().withColumn("__known", F.lit(True))
+    told = _ranked(new, order, REPEATED, first=True).withColumn("__key", folded_key("email")).join(keys, "__key", "left")
+    return told.select(*(F.col(f"`{c}`") for c in new.columns), F.when(F.coalesce("__known", F.lit(False)), EXISTS).otherwise(F.col("reason")).alias("reason"))
+
+
+def registered(users: DataFrame, new: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(users with the new ones added, the others of the new with ``reason``), as :func:`judged` decides."""
+    told = judged(users, new, order)
+    return users.unionByName(told.where("reason is null").drop("reason")), told.where("reason is not null")
 
 
 def with_addresses(users: DataFrame, addresses: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from noticelake.operators import users as U
 from noticelake.plans import api, flows
 from noticelake.plans.queries import query, table
 from noticelake.sources import runs, scan
+from noticelake.sources.idstream import id_stream
+from noticelake.sources.merged import MergedUsers
 from noticelake.sources.pages import read_users
 from noticelake.sources.state import SeenIds, Watermark
 from noticelake.store import fresh_path
@@ -334,3 +336,46 @@ def stream_unseen_keyed(spark, sf_dir):
         return keyed.ingest_unseen_keyed(stream(), sink, checkpoint, seen=seen)
 
     return _streamed(spark, start, "data_id", "lang")
+
+
+@query("select doc_id as id, lang, 'http://host/' || doc_id || '.html' as url from documents where doc_id > 50")
+def stream_page_source(spark, sf_dir):
+    """Pages above a mark through a streaming source whose offset is the last id; a second start finds nothing new."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    last = docs.agg(F.max("id")).first()[0]
+
+    def start(state, sink, checkpoint):
+        stream = id_stream(spark, lambda: last, lambda url: url, "http://host/", above=50)
+        met = stream.select("id", "url").join(docs, "id")  # ids that are no documents fall out
+        ingest.ingest_above(met, state, sink, checkpoint, default=50).awaitTermination()
+        return ingest.ingest_above(met, state, sink, checkpoint, default=50)
+
+    return _streamed(spark, start, "id", "lang", "url")
+
+
+@query(
+    "select c_custkey, case when c_custkey % 5 = 0 then upper(c_name) else c_name end as email, case when c_custkey % 5 = 0 then 2 else 1 end as version from customer where c_custkey % 7 <> 0 "
+    "union all select -c_custkey, c_name || 'x', 3 from customer where c_custkey % 5 = 1"
+)
+def user_merge_on_read(spark, sf_dir):
+    """Users are changed, deleted and registered by deltas beside a base that stays as it is."""
+    users = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("email"), F.lit(1).alias("version"))
+    stored = MergedUsers(spark, fresh_path(spark, "users"), "c_custkey long, email string, version int", share=10)
+    stored.create(users)
+    stored.upsert(users.where("c_custkey % 5 = 0").withColumns({"email": F.upper("email"), "version": F.lit(2)}))
+    stored.delete(users.where("c_custkey % 7 = 0"))
+    some = users.where("c_custkey % 5 = 1").withColumns({"c_custkey": -F.col("c_custkey"), "email": F.concat("email", F.lit("x")), "version": F.lit(3)})
+    stored.register(some.unionByName(users.where("c_custkey % 5 = 2 and c_custkey % 7 <> 0")))  # the latter exist
+    return stored.read()
+
+
+@query("select c_custkey, 'exists' as reason from customer where c_custkey % 3 = 0 union all select c_custkey, 'repeated' from customer where c_custkey % 3 = 1")
+def user_merge_refused(spark, sf_dir):
+    """What a merged table refuses, before and after its deltas have become a base."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("email"))
+    stored = MergedUsers(spark, fresh_path(spark, "users"), "c_custkey long, email string")
+    stored.create(rows.where("c_custkey % 6 = 0"))
+    stored.upsert(rows.where("c_custkey % 6 = 3"))
+    stored.settle(force=True)
+    again = rows.where("c_custkey % 3 = 1")
+    return stored.register(rows.where("c_custkey % 3 = 0").withColumn("email", F.upper("email")).unionByName(again).unionByName(again)).select("c_custkey", "reason")
