@@ -9,6 +9,7 @@ from noticelake.functions import text as T
 from noticelake.operators import addresses as A
 from noticelake.operators import extract as E
 from noticelake.operators import incremental as I
+from noticelake.operators import memo
 from noticelake.operators import serve as S
 from noticelake.operators import users as U
 from noticelake.plans import api, flows
@@ -379,3 +380,40 @@ def user_merge_refused(spark, sf_dir):
     stored.settle(force=True)
     again = rows.where("c_custkey % 3 = 1")
     return stored.register(rows.where("c_custkey % 3 = 0").withColumn("email", F.upper("email")).unionByName(again).unionByName(again)).select("c_custkey", "reason")
+
+
+@query("select doc_id, 'told ' || lang as said, case when doc_id % 2 = 0 then 'old' else 'new' end as model from documents")
+def page_answers_kept(spark, sf_dir):
+    """A second batch finds the answers of the first on record and asks for the rest alone; another model would have answered otherwise."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("lang", (F.col("doc_id") % 2).cast("string")).alias("text"))
+    kept = memo.Memo(spark, fresh_path(spark, "answers"), memo.ANSWER)
+    old = memo.extract_once(docs.where("doc_id % 2 = 0"), lambda system, text: system + text[:-1], "told ", "text", kept)
+    old.count()
+
+    def refuse(system, text):
+        if text.endswith("0"):
+            raise ValueError("asked again")
+        return system + text[:-1]
+
+    told = memo.extract_once(docs, refuse, "told ", "text", kept)
+    return told.where("error is null").select("doc_id", F.col("raw_json").alias("said"), F.when(F.col("doc_id") % 2 == 0, "old").otherwise("new").alias("model"))
+
+
+@query("select c_custkey, cast(n_nationkey as double) as lat, case when n_nationkey % 4 <> 0 then cast(n_nationkey as double) end as known from customer join nation on n_nationkey = c_nationkey")
+def page_places_kept(spark, sf_dir):
+    """Distinct addresses are looked up once, those that are not found too; the second time the service is down and not missed."""
+    nation = table(spark, sf_dir, "nation")
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select("c_custkey", F.col("n_nationkey").cast("double").alias("key"), F.concat(F.col("n_nationkey").cast("string"), F.lit(" "), F.col("n_name")).alias("address"))
+    kept = memo.Memo(spark, fresh_path(spark, "places"), memo.PLACE)
+
+    def lookup(address):
+        key = int(address.split()[0])
+        return (float(key), 0.0) if key % 4 else None
+
+    def down(address):
+        raise OSError("down")
+
+    memo.geocode_once(rows, lookup, kept).count()
+    told = memo.geocode_once(rows, down, kept).where("error is null")
+    return told.select("c_custkey", F.col("key").alias("lat"), F.col("lat").alias("known"))
