@@ -417,3 +417,25 @@ def page_places_kept(spark, sf_dir):
     memo.geocode_once(rows, lookup, kept).count()
     told = memo.geocode_once(rows, down, kept).where("error is null")
     return told.select("c_custkey", F.col("key").alias("lat"), F.col("lat").alias("known"))
+
+
+_TRIGRAMS = "list_distinct(list_transform(generate_series(1, greatest(length({0}) - 2, 1)), lambda i: substr({0}, i, 3)))"
+
+
+@query(
+    "with g as (select n_nationkey k, n_name || ' ' || r_name a from nation join region on n_regionkey = r_regionkey), "
+    "c as (select c_custkey, left(a, p) || substr(a, p + 2) w from (select c_custkey, c_custkey % 6 + 1 p, a from customer join g on k = c_nationkey)), "
+    f"x as (select w, {_TRIGRAMS.format('q')} t from (select distinct w, ' ' || lower(trim(w)) || ' ' q from c)), y as (select a, {_TRIGRAMS.format('q')} t from (select a, ' ' || lower(trim(a)) || ' ' q from g)), "
+    "s as (select w, a, len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) j from x, y), "
+    "b as (select w, a, row_number() over (partition by w order by j desc, a) n from s where j >= 0.7 - 1e-9) "
+    "select c_custkey, b.a as matched, cast(g.k as double) as lat from c left join b on b.w = c.w and b.n = 1 left join g on g.a = b.a"
+)
+def geocode_alike(spark, sf_dir):
+    """Misspelt addresses take the place of the one most like them; the SQL compares all pairs."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = places.select("n_nationkey", F.concat_ws(" ", "n_name", "r_name").alias("address"))
+    at = (F.col("c_custkey") % 6 + 1).cast("int")
+    misspelt = F.concat(F.substr("address", F.lit(1), at), F.substr("address", at + 2))
+    rows = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", misspelt.alias("address"))
+    gazetteer = places.select("address", F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"))
+    return A.geocoded_alike(rows, gazetteer).select("c_custkey", "matched", "lat")
