@@ -81,7 +81,11 @@ def _best_condition(x: np.ndarray, bad: np.ndarray, names: Sequence[str]) -> tup
 
 
 def learn_rules(x: np.ndarray, bad: np.ndarray, names: Sequence[str], most_rules: int = 12, most_conditions: int = 4, least_precision: float = 0.9, least_covered: int = 5, seed: int = 0) -> DecisionList:
-    """Sequential covering with grown and pruned conjunctions; no bad rows give the empty list."""
+    """Sequential covering with grown and pruned conjunctions; no bad rows give the empty list.
+
+    A list has ``most_rules`` rules of ``most_conditions`` conditions at most, which keeps it legible and
+    bounds the expression that is made of it; no row is left out for either.
+    """
     growing = np.random.default_rng(seed).random(len(x)) < 2 / 3
     left, rules = np.ones(len(x), bool), []
     while len(rules) < most_rules and (bad & left & growing).any():
