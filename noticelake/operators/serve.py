@@ -101,31 +101,6 @@ def contains_pairs(locations: DataFrame, districts: DataFrame) -> DataFrame:
     return held.unionByName(holds).distinct().where(is_near(F.col("location"), F.array("district")))
 
 
-#: Needles that are looked for together.
-BLOCK = 1_000
-
-
-def holds_any(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) -> DataFrame:
-    """Rows whose text contains any of the needles, a query set that all texts are asked for in blocks.
-
-    A block is an array that a subquery makes, so the plan is the same for few
-    needles and for many but for its number of blocks, and no text is shuffled.  A
-    null text holds nothing, an empty needle is in every text, no needles are in none.
-    """
-    words = needles.select(F.col(needle_col).alias("needle")).where("needle is not null").distinct()
-    n_blocks = -(-words.count() // BLOCK)
-    blocks = {f"__block{k}": words.where(F.pmod(F.xxhash64("needle"), F.lit(n_blocks)) == k).agg(F.collect_list("needle").alias("block")).scalar() for k in range(n_blocks)}
-    hit = F.lit(False)
-    for name in blocks:
-        hit = hit | _holds(text, F.col(name))
-    return rows.withColumns(blocks).where(hit).drop(*blocks)
-
-
-def _holds(text: Column, needles: Column) -> Column:
-    """Whether the text, computed once, holds one of an array of needles."""
-    return F.coalesce(F.transform(F.array(text), lambda t: F.exists(needles, lambda w: F.contains(t, w)))[0], F.lit(False))
-
-
 def run_status(runs: DataFrame, at_col: str, run: Column, id_col: str) -> DataFrame:
     """One row: how many runs, when the last one was, the largest id."""
     return runs.agg(F.count_distinct(run).alias("total_runs"), F.max(at_col).alias("last_run"), F.max(id_col).alias("last_id"))

@@ -13,6 +13,7 @@ from noticelake.operators import addresses as A
 from noticelake.operators import extract as E
 from noticelake.operators import incremental as I
 from noticelake.operators import serve as S
+from noticelake.operators import textsearch
 from noticelake.operators import users as U
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,7 +108,7 @@ def nearby_theta_semi(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     names = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
     heads = names.select(F.substring("name", 1, 3).alias("head"))
-    within = S.holds_any(docs, F.lower("text"), heads, "head").select("doc_id", "source")
+    within = textsearch.holds_any(docs, F.lower("text"), heads, "head").select("doc_id", "source")
     sources = docs.select("source").distinct()
     named = S.contains_pairs(sources.select(F.col("source").alias("location")), names.select(F.col("name").alias("district")))
     held = named.where(F.contains("district", F.lower("location"))).select(F.col("location").alias("source")).distinct()

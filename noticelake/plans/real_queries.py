@@ -11,6 +11,7 @@ from noticelake.operators import extract as E
 from noticelake.operators import incremental as I
 from noticelake.operators import memo
 from noticelake.operators import serve as S
+from noticelake.operators import textsearch
 from noticelake.operators import users as U
 from noticelake.plans import api, flows
 from noticelake.plans.queries import query, table
@@ -20,7 +21,7 @@ from noticelake.sources.merged import MergedUsers
 from noticelake.sources.pages import read_users
 from noticelake.sources.state import SeenIds, Watermark
 from noticelake.store import fresh_path
-from noticelake.streaming import ingest, keyed
+from noticelake.streaming import digests, ingest, keyed
 
 
 def _page(*parts):
@@ -439,3 +440,50 @@ def geocode_alike(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", misspelt.alias("address"))
     gazetteer = places.select("address", F.col("n_nationkey").cast("double").alias("lat"), F.lit(0.0).alias("lng"))
     return A.geocoded_alike(rows, gazetteer).select("c_custkey", "matched", "lat")
+
+
+_SEARCHED = ("LICENSE", "the ", "zq", "éc", "und die")
+
+
+@query(" union all ".join(f"select '{q}' as query, doc_id from documents where contains(lower(text), '{q.lower()}') or contains(lower(source), '{q.lower()}')" for q in _SEARCHED))
+def search_by_index(spark, sf_dir):
+    """texts and places that hold a query, found through an index of trigrams; two characters are the beginning of trigrams."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = textsearch.TrigramIndex(spark, fresh_path(spark, "trigrams"))
+    index.build(docs, "doc_id", F.col("text"), F.col("source"))
+    found = [index.search(docs, "doc_id", q, F.col("text"), F.col("source")).select(F.lit(q).alias("query"), "doc_id") for q in _SEARCHED]
+    told = found[0]
+    for more in found[1:]:
+        told = told.unionByName(more)
+    return told
+
+
+@query(
+    "with k as (select distinct unnest(string_split(lower(text), ' ')) as w from benchmark), g as (select w, length(w) % 7 as r, upper(w) as name from k where length(w) >= 7), "
+    "d as (select doc_id, lower(text) as t from documents), m as (select doc_id, min(struct_pack(r := r, name := name)) as b from d join g on contains(t, w) group by doc_id) "
+    "select doc_id, coalesce(b.name, 'none') as keyword from documents left join m using (doc_id)"
+)
+def keyword_table_first(spark, sf_dir):
+    """The first group of a table of keywords that a text holds, in the table's order; here the long words of the benchmark."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("keyword")).where(F.char_length("keyword") >= 7).distinct()
+    groups = words.select((F.char_length("keyword") % 7).alias("rank"), F.upper("keyword").alias("name"), "keyword")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return textsearch.first_group(docs, F.col("text"), groups, "none", "keyword").select("doc_id", "keyword")
+
+
+@query(
+    "with s as (select event_id, user_id, ts, case user_id % 4 when 1 then date_trunc('day', ts) + interval 1 day when 2 then date_trunc('week', ts) + interval 7 day else ts end as p from events), "
+    "q as (select event_id, user_id, p, (hour(p) >= 22 or hour(p) < 7) and user_id % 4 <> 3 as quiet from s), "
+    "d as (select event_id, user_id, p, ts, case when quiet then cast(cast(p as date) as timestamp) + interval 7 hour + case when hour(p) >= 22 then interval 1 day else interval 0 day end else p end as due from q join events using (event_id, user_id)) "
+    "select cast(user_id as varchar) as user, due, count(*) as n, string_agg(cast(event_id as varchar), ',' order by cast(event_id as varchar)) as ids from d "
+    "where due <= (select max(ts) - interval 1 hour from events) or due = ts group by user_id, due, due = ts"
+)
+def stream_digests_waiting(spark, sf_dir):
+    """A stream of notices, told at once, daily or weekly and not within quiet hours; what is not due yet waits."""
+    events = table(spark, sf_dir, "events")
+    kind = F.col("user_id") % 4
+    frequency = F.when(kind == 1, "daily").when(kind == 2, "weekly").otherwise("instant")
+    settings = events.select("user_id").distinct().select(F.col("user_id").cast("string").alias("email"), frequency.alias("frequency"), F.when(kind != 3, "22:00").alias("quiet_start"), F.when(kind != 3, "07:00").alias("quiet_end"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
+    stream = ingest.file_stream(spark, f"{sf_dir}/events*", schema, "parquet").select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("email"), F.col("ts").cast("timestamp").alias("ts"))
+    return _streamed(spark, lambda state, sink, checkpoint: digests.send_waiting(stream, settings, sink, checkpoint), F.col("user"), F.col("due").cast("timestamp_ntz").alias("due"), "n", F.array_join("ids", ",").alias("ids"))

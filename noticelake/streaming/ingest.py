@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -80,7 +80,7 @@ def digests(stream: DataFrame, ts_col: str = "ts", every: str = "1 day", late: s
     return stream.withWatermark(ts_col, late).groupBy(F.window(ts_col, every), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def is_quiet(minute: str, start: str, end: str):
+def is_quiet(minute: Column | str, start: Column | str, end: Column | str) -> Column:
     """Whether a minute of the day lies in quiet hours, which may wrap around midnight."""
-    m, a, b = F.col(minute), F.col(start), F.col(end)
+    m, a, b = (F.col(c) if isinstance(c, str) else c for c in (minute, start, end))
     return F.when(a <= b, (m >= a) & (m < b)).otherwise((m >= a) | (m < b))

@@ -72,17 +72,6 @@ def test_facet_list_is_sorted_behind_the_entry_for_all(spark):
     assert got == [(0, "all"), (1, ""), (2, "Hill Park"), (3, "Lake"), (4, "lake side")]
 
 
-@pytest.mark.parametrize("block", [1, 1000])
-def test_holds_any(spark, monkeypatch, block):
-    monkeypatch.setattr(S, "BLOCK", block)
-    rows = spark.createDataFrame([(i, x) for i, x in enumerate(["hello world", "hell", "he", "", None, "wor", "hello world"])], "i int, x string")
-    for needles in (["hello", "wor"], ["he"], [""], ["zz", None], []):
-        table = spark.createDataFrame([(n,) for n in needles], "n string")
-        want = [i for i, x in enumerate(["hello world", "hell", "he", "", None, "wor", "hello world"]) if x is not None and any(n is not None and n in x for n in needles)]
-        got = S.holds_any(rows, F.col("x"), table, "n")
-        assert sorted(r.i for r in got.collect()) == want and got.columns == rows.columns, needles
-
-
 def test_latest_and_status(spark):
     at = datetime.datetime
     rows = spark.createDataFrame([(1, at(2024, 1, 1, 5)), (2, at(2024, 1, 2, 1)), (3, at(2024, 1, 2, 2))], "id long, ts timestamp")

@@ -1,0 +1,93 @@
+"""Texts that hold others: against plain search, for large query sets, and what the index reads."""
+
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from noticelake.functions import text as T
+from noticelake.operators import serve as S
+from noticelake.operators import textsearch as X
+
+TEXTS = ["hello world", "hell", "he", "", None, "wor", "hello world", "ÄÖ😀 long " * 400 + "needle at the end", "😀", "a\nb"]
+
+
+@pytest.mark.parametrize("needles", [["hello", "wor"], ["he"], [""], ["zz", None], [], ["needle at the end", "😀 l", "a\nb", "hello world and more"], ["o", "lo wo", "ÄÖ😀 long ÄÖ😀 long "]])
+def test_holds_any(spark, needles):
+    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, x string")
+    table = spark.createDataFrame([(n,) for n in needles], "n string")
+    want = [i for i, x in enumerate(TEXTS) if x is not None and any(n is not None and n in x for n in needles)]
+    got = X.holds_any(rows, F.col("x"), table, "n")
+    assert sorted(r.i for r in got.collect()) == want and got.columns == rows.columns
+
+
+def test_pieces_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(X, "STRETCH", 5)
+    made = random.Random(3)
+    texts = ["".join(made.choices("ab", k=made.randrange(60))) for _ in range(60)]
+    needles = sorted({"".join(made.choices("ab", k=made.randrange(1, 25))) for _ in range(80)})
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    got = X.held(rows, F.col("x"), spark.createDataFrame([(n,) for n in needles], "n string"), "n")
+    keyed = rows.distinct().select("x", *(c.alias(k) for k, c in X._keys(F.col("x")).items())).join(got, X.KEYS)
+    assert {(r.x, r.needle) for r in keyed.collect()} == {(x, n) for x in texts for n in needles if n in x}
+
+
+def test_first_group_is_first_match(spark):
+    groups = {"one": ("ab", "zz"), "two": ("a", "q"), "three": ("",)}
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(["xAB", "A", "b", "", None, "q zz", "q"])], "i int, x string")
+    table = spark.createDataFrame([(k, name, word) for k, (name, words) in enumerate(groups.items()) for word in words], "rank int, name string, keyword string")
+    for some in (table, table.where("keyword <> ''"), table.limit(0)):
+        kept = {r.keyword for r in some.collect()}
+        want = {r.i: r.d for r in rows.select("i", T.first_match("x", {n: tuple(w for w in words if w in kept) for n, words in groups.items()}, "?").alias("d")).collect()}
+        got = X.first_group(rows, F.col("x"), some, "?")
+        assert {r.i: r.district for r in got.collect()} == want and got.columns == ["i", "x", "district"]
+
+
+def test_many_needles_cost_no_product(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    needles = spark.range(60_000).select(F.when(F.col("id") % 1000 == 0, F.concat(F.lit("licen"), F.lit("se"))).otherwise(F.concat(F.lit("no such word "), F.hex("id"))).alias("n"))
+    began = time.perf_counter()
+    got = X.holds_any(docs, F.col("text"), needles, "n")
+    assert got.count() == docs.where("contains(text, 'license')").count()
+    assert time.perf_counter() - began < 30
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def indexed(spark, tmp_path_factory):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.array("lang", "source").alias("places"))
+    index = X.TrigramIndex(spark, str(tmp_path_factory.mktemp("index")))
+    index.build(docs.withColumn("places", F.array_append("places", F.col("text"))), "doc_id", F.col("places"))
+    return docs, index
+
+
+@pytest.mark.parametrize("query", ["LICENSE", "th", "z", "ing the", "no such thing", "", "é", "de"])
+def test_index_finds_what_the_scan_finds(indexed, query):
+    docs, index = indexed
+    want = S.search(docs, query, text_col="text", locations_col="places")
+    got = index.search(docs, "doc_id", query, F.col("text"), F.col("places"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in want.collect()) and got.columns == docs.columns
+
+
+def test_index_compares_few_rows_and_reads_few_folders(indexed):
+    docs, index = indexed
+    for query in ("license", "apache"):
+        found, likely = index.search(docs, "doc_id", query, F.col("text")).count(), index.candidates(query)
+        assert found <= likely.count() <= 2 * found + 10, (query, found)
+        if not found:
+            continue  # a trigram that no text has: nothing is read
+        told = likely.sparkSession._jvm.PythonSQLUtils.explainString(likely._jdf.queryExecution(), "formatted")
+        filters = [line for line in told.splitlines() if line.startswith(("PartitionFilters", "PushedFilters"))]
+        assert any("bucket" in line for line in filters) and any("EqualTo(gram" in line for line in filters), filters
+
+
+def test_index_of_nothing_and_odd_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "AB"), (1, "abc"), (None, "abc"), (2, None), (3, ""), (4, "xΣ")], "id long, x string")
+    index = X.TrigramIndex(spark, f"{tmp_path}/a", buckets=2)
+    index.build(rows, "id", F.col("x"))
+    ids = lambda q: sorted((r.id, r.x) for r in index.search(rows, "id", q, F.col("x")).collect())
+    assert ids("ab") == [(1, "AB"), (1, "abc")] and ids("abc") == [(1, "abc")] and ids("Xς") == [(4, "xΣ")] and ids("q") == []
+    empty = X.TrigramIndex(spark, f"{tmp_path}/b", buckets=2)
+    empty.build(rows.limit(0), "id", F.col("x"))
+    assert empty.search(rows.limit(0), "id", "abc", F.col("x")).collect() == []
