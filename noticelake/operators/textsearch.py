@@ -7,6 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticelake.store import written
+
+#: Up to so many needles, 16 bytes each, go to every task; more meet the texts' pieces in a shuffle.
+MOST_SENT = 200_000
 #: Lengths of the pieces by which query texts are found; a query text uses the largest that it has room for.
 SIZES = (16, 8, 4, 2, 1)
 #: Characters of a text that are looked at together.
@@ -41,7 +45,7 @@ def _anchored(words: DataFrame, sizes: list[int]) -> DataFrame:
         of_size = F.when(length >= size, _pieces(F.col("needle"), size)).otherwise(of_size)
     pieces = words.select("needle", F.explode(of_size).alias("piece")).select("needle", F.xxhash64("piece").alias("gram"))
     often = pieces.groupBy("gram").agg(F.count("*").alias("n"))
-    return pieces.join(often, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("a")).select("needle", "a.gram")
+    return pieces.hint("merge").join(often, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("a")).select("needle", "a.gram")
 
 
 def held(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) -> DataFrame:
@@ -50,13 +54,14 @@ def held(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) ->
     A needle is found by one of its pieces of 16, 8, 4, 2 or 1 characters, the one that the fewest needles
     share.  A text's pieces of these sizes meet them by equality and what meets is compared, so the work is
     linear in the texts and in what they hold, however many needles there are; nothing is missed, and neither side
-    passes through the driver.  Pieces travel as hashes with their text's 128 bits; a text itself moves at most
-    once, if it may hold a needle.  Null texts hold nothing, null needles are in none, an empty needle is in every text.
+    passes through the driver.  Pieces are hashes with their text's 128 bits; they stay where they are while
+    there are at most ``MOST_SENT`` needles.  What meets and what is found are written tables, whose true size tells Spark
+    whether texts have to move for them.  Null texts hold nothing, null needles are in none, an empty needle is in every text.
     """
     words = needles.select(F.col(f"`{needle_col}`").cast("string").alias("needle")).where("needle is not null").distinct()
     length = F.char_length("needle")
     least = [F.max((length >= s) & (length < b)).alias(str(s)) for s, b in zip((*SIZES, 0), (1 << 30, *SIZES), strict=True)]
-    found = words.agg(*least).first()  # which sizes there are: one row
+    found = words.agg(*least, F.count("*").alias("n")).first()  # how many there are and of which sizes: one row
     sizes = [s for s in SIZES if found[str(s)]]
     texts = rows.select(text.alias("__text")).where("__text is not null")
     keyed = texts.select("__text", *(c.alias(k) for k, c in _keys(F.col("__text")).items()))
@@ -64,8 +69,11 @@ def held(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) ->
     met = keyed.select(*KEYS, F.explode(_stretches(F.col("__text"), max(sizes, default=1))).alias("stretch")).select(*KEYS, F.explode(grams).alias("piece"))
     if found["0"]:
         met = met.unionByName(keyed.select(*KEYS, F.lit("").alias("piece")))
-    likely = met.select(*KEYS, F.xxhash64("piece").alias("gram")).join(_anchored(words, sizes), "gram").select(*KEYS, "needle").distinct()
-    return keyed.join(likely, KEYS).where(F.contains("__text", "needle")).select(*KEYS, "needle").distinct()
+    met, anchors = met.select(*KEYS, F.xxhash64("piece").alias("gram")), _anchored(words, sizes)
+    # Spark takes exploded pieces for as small as their file and would send them, so each side is told what to do
+    joined = met.join(F.broadcast(anchors), "gram") if found["n"] <= MOST_SENT else met.hint("merge").join(anchors, "gram")
+    likely = written(joined.select(*KEYS, "needle").distinct(), "likely")
+    return written(keyed.join(likely, KEYS).where(F.contains("__text", "needle")).select(*KEYS, "needle").distinct(), "held")
 
 
 def _marked(rows: DataFrame, text: Column) -> DataFrame:

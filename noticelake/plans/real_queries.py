@@ -449,7 +449,7 @@ _SEARCHED = ("LICENSE", "the ", "zq", "éc", "und die")
 def search_by_index(spark, sf_dir):
     """texts and places that hold a query, found through an index of trigrams; two characters are the beginning of trigrams."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    index = textsearch.TrigramIndex(spark, fresh_path(spark, "trigrams"))
+    index = textsearch.TrigramIndex(spark, fresh_path(spark, "trigrams"), buckets=16)
     index.build(docs, "doc_id", F.col("text"), F.col("source"))
     found = [index.search(docs, "doc_id", q, F.col("text"), F.col("source")).select(F.lit(q).alias("query"), "doc_id") for q in _SEARCHED]
     told = found[0]
@@ -459,14 +459,14 @@ def search_by_index(spark, sf_dir):
 
 
 @query(
-    "with k as (select distinct unnest(string_split(lower(text), ' ')) as w from benchmark), g as (select w, length(w) % 7 as r, upper(w) as name from k where length(w) >= 7), "
+    "with k as (select distinct unnest(string_split(lower(text), ' ')) as w from benchmark), g as (select w, length(w) % 7 as r, 'about ' || w as name from k where length(w) >= 10), "
     "d as (select doc_id, lower(text) as t from documents), m as (select doc_id, min(struct_pack(r := r, name := name)) as b from d join g on contains(t, w) group by doc_id) "
     "select doc_id, coalesce(b.name, 'none') as keyword from documents left join m using (doc_id)"
 )
 def keyword_table_first(spark, sf_dir):
     """The first group of a table of keywords that a text holds, in the table's order; here the long words of the benchmark."""
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("keyword")).where(F.char_length("keyword") >= 7).distinct()
-    groups = words.select((F.char_length("keyword") % 7).alias("rank"), F.upper("keyword").alias("name"), "keyword")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("keyword")).where(F.char_length("keyword") >= 10).distinct()
+    groups = words.select((F.char_length("keyword") % 7).alias("rank"), F.concat(F.lit("about "), "keyword").alias("name"), "keyword")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return textsearch.first_group(docs, F.col("text"), groups, "none", "keyword").select("doc_id", "keyword")
 

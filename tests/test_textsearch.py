@@ -22,8 +22,10 @@ def test_holds_any(spark, needles):
     assert sorted(r.i for r in got.collect()) == want and got.columns == rows.columns
 
 
-def test_pieces_across_stretches(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_pieces_across_stretches(spark, monkeypatch, most):
     monkeypatch.setattr(X, "STRETCH", 5)
+    monkeypatch.setattr(X, "MOST_SENT", most)
     made = random.Random(3)
     texts = ["".join(made.choices("ab", k=made.randrange(60))) for _ in range(60)]
     needles = sorted({"".join(made.choices("ab", k=made.randrange(1, 25))) for _ in range(80)})
