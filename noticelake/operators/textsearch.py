@@ -11,6 +11,8 @@ from noticelake.store import written
 
 #: Up to so many needles, 16 bytes each, go to every task; more meet the texts' pieces in a shuffle.
 MOST_SENT = 200_000
+#: Up to so many needles are compared with every text as it is read, which is then quicker than its pieces.
+FEW = 100
 #: Lengths of the pieces by which query texts are found; a query text uses the largest that it has room for.
 SIZES = (16, 8, 4, 2, 1)
 #: Characters of a text that are looked at together.
@@ -82,7 +84,12 @@ def _marked(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def holds_any(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) -> DataFrame:
-    """Rows whose text holds any of the needles; see :func:`held`.  Rows that repeat stay as often as they are there."""
+    """Rows whose text holds any of the needles: up to ``FEW`` by plain comparison, more as :func:`held` finds them.  Rows that repeat stay as often as they are there."""
+    words = needles.select(F.col(f"`{needle_col}`").cast("string").alias("needle")).where("needle is not null").distinct()
+    if words.limit(FEW + 1).count() <= FEW:
+        few = rows.withColumn("__few", words.agg(F.collect_list("needle").alias("few")).scalar())
+        hit = F.transform(F.array(text), lambda t: F.exists("__few", lambda w: F.contains(t, w)))[0]
+        return few.where(F.coalesce(hit, F.lit(False))).drop("__few")
     return _marked(rows, text).join(held(rows, text, needles, needle_col).select(*KEYS).distinct(), KEYS, "left_semi").select(*(F.col(f"`{c}`") for c in rows.columns))
 
 

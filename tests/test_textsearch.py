@@ -13,8 +13,10 @@ from noticelake.operators import textsearch as X
 TEXTS = ["hello world", "hell", "he", "", None, "wor", "hello world", "ÄÖ😀 long " * 400 + "needle at the end", "😀", "a\nb"]
 
 
+@pytest.mark.parametrize("few", [-1, 100])
 @pytest.mark.parametrize("needles", [["hello", "wor"], ["he"], [""], ["zz", None], [], ["needle at the end", "😀 l", "a\nb", "hello world and more"], ["o", "lo wo", "ÄÖ😀 long ÄÖ😀 long "]])
-def test_holds_any(spark, needles):
+def test_holds_any(spark, monkeypatch, needles, few):
+    monkeypatch.setattr(X, "FEW", few)
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, x string")
     table = spark.createDataFrame([(n,) for n in needles], "n string")
     want = [i for i, x in enumerate(TEXTS) if x is not None and any(n is not None and n in x for n in needles)]
