@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import cache, reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.store import written
 
-#: Up to so many needles, 16 bytes each, go to every task; more meet the texts' pieces in a shuffle.
-MOST_SENT = 200_000
+#: Up to so many needles with so many bytes together go to every task as one automaton; more meet the texts' pieces in a shuffle.
+MOST_SENT, MOST_BYTES = 200_000, 1 << 23
 #: Up to so many needles are compared with every text as it is read, which is then quicker than its pieces.
 FEW = 100
 #: Lengths of the pieces by which query texts are found; a query text uses the largest that it has room for.
@@ -33,7 +35,7 @@ def _stretches(text: Column, longest: int) -> Column:
 
 def _keys(text: Column) -> dict[str, Column]:
     """128 bits that stand for a text."""
-    return {"__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(1))}
+    return {"__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)}  # the constant first: behind the text it would add nothing
 
 
 KEYS = ["__h1", "__h2"]
@@ -50,31 +52,74 @@ def _anchored(words: DataFrame, sizes: list[int]) -> DataFrame:
     return pieces.hint("merge").join(often, "gram").groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("a")).select("needle", "a.gram")
 
 
+def _met_pieces(keyed: DataFrame, words: DataFrame, sizes: list[int], empty: bool) -> DataFrame:
+    """(keys, needle) where a text has the needle's piece; both sides move by it."""
+    grams = F.flatten(F.array(*(_pieces(F.col("stretch"), s) for s in sizes), F.array().cast("array<string>")))
+    met = keyed.select(*KEYS, F.explode(_stretches(F.col("__text"), max(sizes, default=1))).alias("stretch")).select(*KEYS, F.explode(grams).alias("piece"))
+    if empty:
+        met = met.unionByName(keyed.select(*KEYS, F.lit("").alias("piece")))
+    # Spark takes exploded pieces for as small as their file and would send them, so it is told what to do
+    return met.select(*KEYS, F.xxhash64("piece").alias("gram")).hint("merge").join(_anchored(words, sizes), "gram").select(*KEYS, "needle")
+
+
+@cache
+def _automaton(words: frozenset[bytes]):
+    """One pass over a text finds all of the words.  A byte is a character here, so that parts are held as Spark's own comparison says."""
+    import ahocorasick
+
+    made = ahocorasick.Automaton()
+    for word in words:
+        made.add_word(word.decode("latin-1"), word)
+    made.make_automaton()
+    return made
+
+
+def _held_by_automaton(keyed: DataFrame, words: DataFrame) -> DataFrame:
+    """(keys, needle) of texts and needles that they hold, each text in one pass where it lies; the needles are few enough to be sent."""
+    every = frozenset(bytes(r.needle) for r in words.select(F.col("needle").cast("binary").alias("needle")).collect())
+    sent = keyed.sparkSession.sparkContext.broadcast(every)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = sent.value
+        always, find = [w for w in given if not w], _automaton(frozenset(w for w in given if w)) if any(given) else None
+        for batch in batches:
+            rows, needles = [], []
+            for k, text in enumerate(batch.column(2)):
+                text = text.as_buffer().to_pybytes().decode("latin-1")
+                found = always + list({w for _, w in find.iter(text)} if find else ())
+                rows += [k] * len(found)
+                needles += found
+                if len(needles) >= MOST_SENT:
+                    yield told(batch, rows, needles)
+                    rows, needles = [], []
+            yield told(batch, rows, needles)
+
+    def told(batch: pa.RecordBatch, rows: list[int], needles: list[bytes]) -> pa.RecordBatch:
+        keys = (batch.column(i).take(pa.array(rows, pa.int32())) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([*keys, pa.array(needles, pa.binary())], [*KEYS, "needle"])
+
+    found = keyed.select(*KEYS, F.col("__text").cast("binary").alias("text")).mapInArrow(run, "__h1 long, __h2 long, needle binary")
+    return found.select(*KEYS, F.col("needle").cast("string").alias("needle"))
+
+
 def held(rows: DataFrame, text: Column, needles: DataFrame, needle_col: str) -> DataFrame:
     """(``__h1``, ``__h2``, needle) of each distinct text and each needle that it holds.
 
-    A needle is found by one of its pieces of 16, 8, 4, 2 or 1 characters, the one that the fewest needles
-    share.  A text's pieces of these sizes meet them by equality and what meets is compared, so the work is
-    linear in the texts and in what they hold, however many needles there are; nothing is missed, and neither side
-    passes through the driver.  Pieces are hashes with their text's 128 bits; they stay where they are while
-    there are at most ``MOST_SENT`` needles.  What meets and what is found are written tables, whose true size tells Spark
-    whether texts have to move for them.  Null texts hold nothing, null needles are in none, an empty needle is in every text.
+    Up to ``MOST_SENT`` needles of ``MOST_BYTES`` together become an automaton that every task has: each text is read
+    once, where it lies, and only what it holds is sent on.  More needles are found by their pieces: of each the piece
+    of 16, 8, 4, 2 or 1 characters that the fewest needles share meets the texts' pieces of these sizes by equality, and
+    what meets is compared; then neither side passes through the driver.  Either way the work is linear in the texts and in
+    what they hold, and nothing is missed.  Null texts hold nothing, null needles are in none, an empty needle is in every
+    text.  The result is a written table, whose true size tells Spark whether texts have to move for it.
     """
     words = needles.select(F.col(f"`{needle_col}`").cast("string").alias("needle")).where("needle is not null").distinct()
     length = F.char_length("needle")
     least = [F.max((length >= s) & (length < b)).alias(str(s)) for s, b in zip((*SIZES, 0), (1 << 30, *SIZES), strict=True)]
-    found = words.agg(*least, F.count("*").alias("n")).first()  # how many there are and of which sizes: one row
-    sizes = [s for s in SIZES if found[str(s)]]
-    texts = rows.select(text.alias("__text")).where("__text is not null")
-    keyed = texts.select("__text", *(c.alias(k) for k, c in _keys(F.col("__text")).items()))
-    grams = F.flatten(F.array(*(_pieces(F.col("stretch"), s) for s in sizes), F.array().cast("array<string>")))
-    met = keyed.select(*KEYS, F.explode(_stretches(F.col("__text"), max(sizes, default=1))).alias("stretch")).select(*KEYS, F.explode(grams).alias("piece"))
-    if found["0"]:
-        met = met.unionByName(keyed.select(*KEYS, F.lit("").alias("piece")))
-    met, anchors = met.select(*KEYS, F.xxhash64("piece").alias("gram")), _anchored(words, sizes)
-    # Spark takes exploded pieces for as small as their file and would send them, so each side is told what to do
-    joined = met.join(F.broadcast(anchors), "gram") if found["n"] <= MOST_SENT else met.hint("merge").join(anchors, "gram")
-    likely = written(joined.select(*KEYS, "needle").distinct(), "likely")
+    found = words.agg(*least, F.count("*").alias("n"), F.sum(F.octet_length("needle")).alias("bytes")).first()  # how many there are and of which sizes: one row
+    keyed = rows.select(text.alias("__text")).where("__text is not null").select("__text", *(c.alias(k) for k, c in _keys(F.col("__text")).items()))
+    if found["n"] <= MOST_SENT and (found["bytes"] or 0) <= MOST_BYTES:
+        return written(_held_by_automaton(keyed, words).distinct(), "held")
+    likely = written(_met_pieces(keyed, words, [s for s in SIZES if found[str(s)]], bool(found["0"])).distinct(), "likely")
     return written(keyed.join(likely, KEYS).where(F.contains("__text", "needle")).select(*KEYS, "needle").distinct(), "held")
 
 
@@ -105,6 +150,16 @@ def first_group(rows: DataFrame, text: Column, groups: DataFrame, unknown: str,
     return told.select(*(F.col(f"`{c}`") for c in rows.columns if c != name), F.coalesce("__best.__name", F.lit(unknown)).alias(name))
 
 
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, gram): the distinct three characters one after another of each text (id, text)."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 200):
+            part = batch.slice(k, 200)
+            found = [list({text[i : i + 3] for i in range(len(text) - 2)}) for text in part.column(1).to_pylist()]
+            at = pa.array([j for j, grams in enumerate(found) for _ in grams], pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array([g for grams in found for g in grams], pa.string())], ["id", "gram"])
+
+
 class TrigramIndex:
     """Which ids have which three characters one after another in any of their texts, whatever the case.
 
@@ -129,11 +184,11 @@ class TrigramIndex:
         """
         every = F.flatten(F.array(*texts)) if all(self._is_array(rows, t) for t in texts) else F.array(*texts)
         said = rows.select(F.col(f"`{id_col}`").alias("id"), F.explode(every).alias("text")).where("id is not null and text is not null")
-        ended = F.concat(F.lower("text"), F.lit(END * 2))
-        stretches = said.select("id", F.explode(_stretches(ended, 3)).alias("stretch"))
-        grams = stretches.select("id", F.explode(_pieces(F.col("stretch"), 3)).alias("gram")).distinct()
-        placed = grams.withColumn("bucket", self._bucket(F.col("gram")))
-        placed.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "gram", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        grams = said.select("id", F.concat(F.lower("text"), F.lit(END * 2)).alias("text")).mapInArrow(_grams, f"id {said.schema['id'].dataType.simpleString()}, gram string")
+        placed = grams.withColumns({"bucket": self._bucket(F.col("gram")), "part": F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")})
+        # rows that are equal are in one part of a bucket, so that they fall out where they are sorted
+        once = placed.repartition("bucket", "part").dropDuplicates()
+        once.sortWithinPartitions("bucket", "gram", "id").drop("part").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         counts = self._table("postings").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
         counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts")
 

@@ -13,10 +13,11 @@ from noticelake.operators import textsearch as X
 TEXTS = ["hello world", "hell", "he", "", None, "wor", "hello world", "ÄÖ😀 long " * 400 + "needle at the end", "😀", "a\nb"]
 
 
-@pytest.mark.parametrize("few", [-1, 100])
+@pytest.mark.parametrize(("few", "most"), [(-1, X.MOST_SENT), (-1, -1), (100, X.MOST_SENT)])
 @pytest.mark.parametrize("needles", [["hello", "wor"], ["he"], [""], ["zz", None], [], ["needle at the end", "😀 l", "a\nb", "hello world and more"], ["o", "lo wo", "ÄÖ😀 long ÄÖ😀 long "]])
-def test_holds_any(spark, monkeypatch, needles, few):
+def test_holds_any(spark, monkeypatch, needles, few, most):
     monkeypatch.setattr(X, "FEW", few)
+    monkeypatch.setattr(X, "MOST_SENT", most)  # by plain comparison, by an automaton, by pieces
     rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, x string")
     table = spark.createDataFrame([(n,) for n in needles], "n string")
     want = [i for i, x in enumerate(TEXTS) if x is not None and any(n is not None and n in x for n in needles)]
@@ -24,9 +25,9 @@ def test_holds_any(spark, monkeypatch, needles, few):
     assert sorted(r.i for r in got.collect()) == want and got.columns == rows.columns
 
 
-@pytest.mark.parametrize("most", [0, 1000])
+@pytest.mark.parametrize("most", [-1, 1000])
 def test_pieces_across_stretches(spark, monkeypatch, most):
-    monkeypatch.setattr(X, "STRETCH", 5)
+    monkeypatch.setattr(X, "STRETCH", 5)  # of the pieces, which are met when there are too many needles to send
     monkeypatch.setattr(X, "MOST_SENT", most)
     made = random.Random(3)
     texts = ["".join(made.choices("ab", k=made.randrange(60))) for _ in range(60)]
