@@ -17,6 +17,7 @@ from noticelake.plans import api, flows
 from noticelake.plans.queries import query, table
 from noticelake.sources import runs, scan
 from noticelake.sources.idstream import id_stream
+from noticelake.sources.lookup import KeyedTable
 from noticelake.sources.merged import MergedUsers
 from noticelake.sources.pages import read_users
 from noticelake.sources.state import SeenIds, Watermark
@@ -186,6 +187,24 @@ def recorded_outage_by_id(spark, sf_dir):
     return api.outage_by_id(api.current_outages(spark, _recorded(spark, sf_dir), parsed), wanted).select("id", "message", "start_time")
 
 
+@query("select doc_id as id, lang as date, upper(source) as message, '10:00' as start_time from documents where doc_id in (select doc_id from labels)")
+def lookup_outages_by_id(spark, sf_dir):
+    """F8: the outages of many ids from a table that opens the folders of those ids alone."""
+    ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    parsed = ids.select("id", F.array(F.lit("x")).alias("locations"), F.lit("10:00").alias("start_time"), F.lit(None).cast("string").alias("end_time"))
+    served = api.outages_by_id(api.current_outages(spark, _recorded(spark, sf_dir), parsed, newest_run_only=False), fresh_path(spark, "served"))
+    return served.get_many(ids, "id").select("id", "date", "message", "start_time")
+
+
+@query("select c_custkey, c_name from customer where c_custkey in ((select min(c_custkey) from customer), (select max(c_custkey) from customer))")
+def lookup_users_by_name(spark, sf_dir):
+    """users by an address in other case and with spaces around, each look-up in one folder."""
+    users = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    held = KeyedTable.of(users, fresh_path(spark, "users"), "c_name", buckets=16, folded=True)
+    ends = users.agg(F.min(F.struct("c_custkey", "c_name"))["c_name"].alias("a"), F.max(F.struct("c_custkey", "c_name"))["c_name"].alias("b")).first()
+    return held.get(f" {ends.a.upper()}").unionByName(held.get(f"{ends.b.lower()} "))
+
+
 @query("select event_id as id, cast(json_extract_string(props, '$.k') as integer) as k, 'm' as model from events")
 def results_written(spark, sf_dir):
     """Raw results are stored as they came and parsed later."""
