@@ -48,3 +48,24 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), PATH).collect() == []
+
+
+def test_long_conversations_are_parts(spark):
+    """All rows without an id, and a conversation of many turns, in parts that are cut between turns; the digests are those of the whole."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"<s> {c} {t} " + "w " * (t % 5)) for c in (None, 7) for t in range(1000)] + [(8, 0, "user", "one"), (9, None, None, None)]
+    table = spark.createDataFrame(rows, "`conv.id` long, turn long, role string, text string").repartition(7)
+    whole = format_chats(table, PATH, conv_col="conv.id")
+    for most_turns, most_ids in ((64, 1 << 20), (4096, 500), (1, 1)):
+        cut = format_chats(table, PATH, conv_col="conv.id", most_turns=most_turns, most_ids=most_ids)
+        parts = sorted(cut.collect(), key=lambda r: (str(r.conv_id), r.part))
+        longest = max(len(r.ids) for r in parts if r.n_turns == 1) if most_turns == 1 else 40
+        assert all(r.n_turns <= most_turns and len(r.ids) <= most_ids + longest and r.part >= 0 for r in parts)
+        for r in whole.collect():
+            mine = [p for p in parts if p.conv_id == r.conv_id]
+            assert [p.part for p in mine] == list(range(len(mine)))
+            assert sum((p.ids for p in mine), []) == r.ids and sum((p.loss_mask for p in mine), []) == r.loss_mask
+            assert sum(p.n_turns for p in mine) == r.n_turns and (len(mine) > 5) == (r.conv_id not in (8, 9))
+        assert sorted(map(str, digests(cut, PATH).collect())) == sorted(map(str, digests(whole, PATH).collect()))
+    told = {r.conv_id: r for r in digests(whole, PATH).collect()}
+    said = "".join(f"{r}\n{x}\n" for c, _, r, x in rows if c is None)
+    assert told[None].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and told[None].n_turns == 1000
