@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,7 +62,7 @@ def _met_pieces(keyed: DataFrame, words: DataFrame, sizes: list[int], empty: boo
     return met.select(*KEYS, F.xxhash64("piece").alias("gram")).hint("merge").join(_anchored(words, sizes), "gram").select(*KEYS, "needle")
 
 
-@cache
+@lru_cache(maxsize=1)
 def _automaton(words: frozenset[bytes]):
     """One pass over a text finds all of the words.  A byte is a character here, so that parts are held as Spark's own comparison says."""
     import ahocorasick
