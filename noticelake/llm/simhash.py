@@ -1,15 +1,17 @@
-"""SimHash near-duplicate groups through deletion-variant signatures.
+"""SimHash near-duplicate groups by blocks of bits that stay equal.
 
-A 64-bit fingerprint is cut into two 32-bit segments.  Two fingerprints that
-differ in at most three bits differ in at most one bit in one of the segments,
-so that segment's values are equal or meet in a variant with one bit wildcarded.
-Distinct fingerprints are indexed under these variants, joined by equality and
-verified; links then become components.
+A 64-bit fingerprint is cut into six blocks.  Two fingerprints that differ in at
+most three bits differ in at most three blocks, so they agree in the rest for one
+of the twenty choices of three blocks that are left out.  Distinct fingerprints are
+indexed under these choices, joined by equality and verified; crowded buckets are
+cut into more and smaller blocks.  Links then become components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,9 @@ from noticelake.llm.common import connected_components, written
 
 #: Hashes counted at a time in a task.
 CHUNK = 1 << 17
+#: Blocks that a fingerprint is cut into; each further number serves what the one before left in crowded buckets.  With
+#: the last, three blocks left out are nine bits at most, so a bucket has at most 512 members.
+BLOCKS = (6, 12, 22)
 
 
 def _counted(hashes: list[int], ends: list[int]) -> np.ndarray:
@@ -67,56 +72,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _index(fps: DataFrame) -> DataFrame:
-    """(fp, q, bit, key): each fingerprint under its 2 segment values (q 32) and its 64 one-wildcard variants (q: the bit)."""
-    # each row makes 66: dealt by number of rows, which sizes in bytes would understate
-    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
-    places = dealt.select("fp", F.explode(F.array(*(F.lit(i) for i in range(66)))).alias("p"))
-    segment = places.select("fp", F.expr("p div 33").cast("int").alias("s"), F.expr("p % 33").alias("q"), F.expr("(case when p < 33 then fp else shiftrightunsigned(fp, 32) end) & 4294967295").alias("v"))
-    masked = segment.select("fp", "q", "s", F.expr("case when q < 32 then cast(shiftright(v, q) & 1 as int) else 0 end").alias("bit"), F.expr("case when q < 32 then v & ~shiftleft(1L, q) else v end").alias("v"))
-    return masked.select("fp", "q", "bit", F.expr("shiftleft(cast(s * 33 + q as bigint), 32) | v").alias("key"))
-
+def _masks(blocks: int, max_bits: int) -> list[int]:
+    """For each choice of ``max_bits`` of the blocks the signed 64-bit mask of all others."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    left_out = [sum(c) for c in combinations([(1 << b) - (1 << a) for a, b in pairwise(ends)], max_bits)]
+    return [~(x - (1 << 64) if x >> 63 else x) for x in left_out]
 
-def _links_by_wildcards(members: DataFrame, max_bits: int) -> DataFrame:
-    """Links inside crowded buckets without comparing pairs.
 
-    Values that agree but for ``max_bits`` fixed places all lie within that
-    distance, so a star to the least of them holds every link's connection.
-    Such a group has at most 2 ** max_bits members, and each member of a bucket
-    has a fixed number of them.
-    """
-    rest = members.select("fp", "key", "q", F.expr("key div 141733920768").cast("int").alias("s"))  # 33 << 32
-    free = rest.withColumn("k", F.expr(f"case when q < 32 then {max_bits - 1} else {max_bits} end")).withColumn("a", F.explode(F.expr("case when k >= 1 then sequence(0, 31) else array(0) end")))
-    free = free.withColumn("b", F.explode(F.expr("case when k >= 2 then sequence(0, 31) else array(a) end"))).where("k < 2 or a < b")
-    free = free.withColumn("c", F.explode(F.expr("case when k >= 3 then sequence(0, 31) else array(b) end"))).where("k < 3 or b < c")
-    holes = "case when k > 0 then shiftleft(1L, a) | shiftleft(1L, b) | shiftleft(1L, c) else 0L end"
-    own = "case when q < 32 then shiftleft(1L, q) else 0L end"
-    mask = f"case when s = 0 then shiftleft({holes}, 32) | {own} else ({holes}) | shiftleft({own}, 32) end"
-    groups = free.withColumn("mask", F.expr(mask)).withColumn("value", F.expr("fp & ~mask"))
-    stars = groups.groupBy("mask", "value").agg(F.min("fp").alias("b"), F.collect_set("fp").alias("all"))  # a mask and value fix the group: at most 8
-    return stars.select(F.explode("all").alias("a"), "b").where("a <> b").distinct()
+def _index(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, key): each fingerprint under every mask; choices that share a key by chance only make a bucket larger."""
+    # each row makes as many as there are masks: dealt by number of rows, which sizes in bytes would understate
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    places = dealt.select("fp", F.posexplode(F.array(*(F.lit(m) for m in masks))).alias("cut", "mask"))
+    return places.select("fp", F.xxhash64("cut", F.expr("fp & mask")).alias("key"))
 
 
 def links(fps: DataFrame, max_bits: int = 3, crowded: int = 496) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct ``fp`` that differ in at most ``max_bits`` (0 to 3).
+    """Links (a, b): all pairs of distinct ``fp`` that differ in at most ``max_bits`` (1 to 3).
 
     A bucket's members are compared where that makes at most ``crowded`` pairs
-    for each of them.  In larger buckets each member joins a fixed number of
-    wildcard groups instead (496, or 4,960 where a whole segment is equal), so
-    the cost never grows with the square of a bucket.
+    for each of them.  Members of larger buckets are indexed again by more
+    blocks (20, 220 and 1,540 choices for 3 bits) and in the end meet at most 512
+    at a time, so the cost never grows with the square of a bucket.  No table is sent
+    whole: Spark takes exploded rows for as small as their file.
     """
     if not 1 <= max_bits <= 3:
-        raise ValueError("two segments serve 1 to 3 bits")
-    index = _index(fps)
-    keys = index.groupBy("key", "q").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
-    keys = keys.where("case when q = 32 then n > 1 else ones > 0 and ones < n end").select("key", F.expr(f"case when q = 32 then n * n else ones * (n - ones) end > {crowded} * n").alias("hot"))
-    members = written(index.join(keys, "key"), "members")
-    cold = members.where("not hot")
-    left, right = cold.select("key", F.col("fp").alias("a")).where("bit = 0"), cold.select("key", "q", F.col("fp").alias("b")).where("q = 32 or bit = 1")
-    pairs = left.join(right, "key").where("(q < 32 or a < b)").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b").distinct()
-    if members.where("hot").isEmpty():
-        return pairs
-    return pairs.unionByName(_links_by_wildcards(members.where("hot"), max_bits))
+        raise ValueError("blocks are made for 1 to 3 bits")
+    found, rest = [], fps
+    for blocks in BLOCKS:
+        index = _index(rest, _masks(blocks, max_bits))
+        hot = F.lit(False) if blocks == BLOCKS[-1] else F.col("n") - 1 > 2 * crowded
+        keys = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", hot.alias("hot"))
+        members = written(index.hint("merge").join(keys, "key"), "members")
+        cold = members.where("not hot")
+        near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+        found.append(cold.select("key", F.col("fp").alias("a")).hint("merge").join(cold.select("key", F.col("fp").alias("b")), "key").where("a < b").where(near).select("a", "b"))
+        if members.where("hot").isEmpty():
+            break
+        rest = written(members.where("hot").select("fp").distinct(), "crowded")
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, crowded: int = 496) -> DataFrame:
@@ -132,7 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(fingerprints(docs, id_col, text_col), "fingerprints")
     fps = written(prints.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
     labels = connected_components(links(fps, max_bits, crowded)).select(F.col("node").alias("fp"), "component")
-    rooted = fps.join(labels, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    rooted = fps.hint("merge").join(labels, "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = rooted.hint("merge").join(names, "root").select("fp", "component_id")
+    return prints.hint("merge").join(named, "fp").select("id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

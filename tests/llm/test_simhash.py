@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 
+from noticelake.llm import common, simhash
 from noticelake.llm.simhash import fingerprint_texts, links, near_duplicates
 
 
@@ -82,3 +83,33 @@ def test_groups_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_nothing_is_sent_whole(spark, monkeypatch):
+    """Exploded rows look as small as the file that they come from, so Spark would send all of them through the driver."""
+    plans = []
+
+    def kept(df, name, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name, *args)
+
+    write = common.written
+    monkeypatch.setattr(simhash, "written", kept)
+    monkeypatch.setattr(common, "written", kept)
+    docs = spark.createDataFrame([(i, f"some words {i % 40} that are {i % 7} long enough") for i in range(200)], "doc_id long, text string")
+    plans.append(near_duplicates(docs)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastHashJoin" in p or "BroadcastExchange" in p]
+
+
+def test_a_fingerprint_is_indexed_twenty_times(spark):
+    fps = spark.createDataFrame([(7919 * i,) for i in range(100)], "fp long")
+    assert simhash._index(fps, simhash._masks(simhash.BLOCKS[0], 3)).count() == 2_000  # 66 times before
+
+
+def test_crowded_buckets_lose_nothing(spark):
+    """Two thousand values that share 52 bits, so every first bucket of theirs is crowded."""
+    rng = random.Random(5)
+    values = sorted({(rng.getrandbits(12) << 26) | 0x3 << 60 for _ in range(3_000)})
+    want = {(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 3}
+    assert {tuple(r) for r in links(spark.createDataFrame([(v,) for v in values], "fp long")).collect()} == want
