@@ -53,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = _keyed(docs.withColumn(ORDER, order))
     groups = written(simhash.near_duplicates(keyed, id_col=KEY), "groups").select(F.col("id").alias(KEY), "component_id")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ORDER, KEY)
-    least = keyed.select(KEY, "doc_id", ORDER).join(groups, KEY).groupBy("component_id").agg(F.min(rank).alias("least"))
+    least = keyed.select(KEY, "doc_id", ORDER).hint("merge").join(groups, KEY).groupBy("component_id").agg(F.min(rank).alias("least"))
     return keyed.join(least.select(f"least.{KEY}").hint("merge"), KEY, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
