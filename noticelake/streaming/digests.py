@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -47,32 +48,36 @@ def with_due(notices: DataFrame, settings: DataFrame, user_col: str = "email", t
     return notices.join(one, user_col, "left").withColumn("due", at).drop("__s")
 
 
+#: Keys that the notices of one time are dealt to, and those that are told at once.
+PARTS, PARTS_AT_ONCE = 64, 1_024
+#: Notices that a task adds to its state together.
+HELD = 1_000
+
+
 def _waiting() -> StatefulProcessor:
-    """Holds the ids of one digest until the watermark has passed its time."""
+    """Holds the notices of one time and part until the watermark has passed that time."""
 
     class Waiting(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.held = handle.getListState("held", "id string")
-
-        def _digest(self, key, ids: list) -> Row:
-            return Row(user=key[0], due=key[1], n=len(ids), ids=sorted(ids, key=lambda x: (x is None, x)))
+            self.held = handle.getListState("held", "user string, due timestamp, id string")
 
         def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-            ids = [row["__id"] for row in rows]
-            at = int(key[2])
-            if key[3] or at <= timerValues.getCurrentWatermarkInMs():  # at once, or its time has passed
-                yield self._digest(key, ids)
+            at, now = int(key[0]), bool(key[1])
+            if now or at <= timerValues.getCurrentWatermarkInMs():  # at once, or its time has passed
+                for row in rows:
+                    yield Row(user=row["user"], due=row["due"], now=now, id=row["id"])
                 return
             if not self.held.exists():
                 self.handle.registerTimer(at)
-            self.held.appendList([(x,) for x in ids])
+            told = ((row["user"], row["due"], row["id"]) for row in rows)
+            while part := list(islice(told, HELD)):
+                self.held.appendList(part)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-            ids = [row[0] for row in self.held.get()]
+            for user, due, id_ in self.held.get():
+                yield Row(user=user, due=due, now=False, id=id_)
             self.held.clear()
-            if ids:
-                yield self._digest(key, ids)
 
         def close(self) -> None:
             pass
@@ -80,24 +85,35 @@ def _waiting() -> StatefulProcessor:
     return Waiting()
 
 
-def waiting_digests(notices: DataFrame, settings: DataFrame, id_col: str = "id", user_col: str = "email", ts_col: str = "ts", late: str = "1 hour") -> DataFrame:
-    """(user, due, n, ids) of a stream of notices: those that need not wait at once, each digest once its time has passed by event time; start its query by :func:`send_waiting`.
+def told_notices(notices: DataFrame, settings: DataFrame, id_col: str = "id", user_col: str = "email", ts_col: str = "ts", late: str = "1 hour") -> DataFrame:
+    """(user, due, now, id) of a stream of notices: those that need not wait at once, others once their time has passed by event time; start its query by :func:`send_waiting`.
 
-    State is one list for each user and time, and a timer; a user with many notices is as many keys as
-    there are digests.  A notice whose digest was told already comes as a further one; rows later than ``late`` are
-    dropped, as by any window.  Rows without a user or a time are left out.
+    State is lists of the notices of one time, dealt to ``PARTS`` keys each whoever their users are, and a timer for each: a key costs as much as
+    many rows.  Rows later than ``late`` are dropped, as by any window.  Rows without a user or a time are left out.
     """
     timed = notices.withWatermark(ts_col, late).where(F.col(user_col).isNotNull() & F.col(ts_col).isNotNull())
-    told = with_due(timed, settings, user_col, ts_col).withColumn("__ms", F.unix_millis("due"))
-    keyed = told.select(F.col(user_col).cast("string").alias("__user"), "due", "__ms", (F.col("due") == F.col(ts_col)).alias("__now"), F.col(id_col).cast("string").alias("__id"), ts_col).groupBy("__user", "due", "__ms", "__now")
-    return keyed.transformWithState(_waiting(), "user string, due timestamp, n long, ids array<string>", "Append", "EventTime")
+    told = with_due(timed, settings, user_col, ts_col).withColumn("__now", F.col("due") == F.col(ts_col))
+    rows = told.select(F.col(user_col).cast("string").alias("user"), "due", F.col(id_col).cast("string").alias("id"), ts_col, "__now")
+    rows = rows.withColumn("__ms", F.when(F.col("__now"), F.lit(0)).otherwise(F.unix_millis("due")))
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64("user", "id", "due"), F.when(F.col("__now"), PARTS_AT_ONCE).otherwise(PARTS)))
+    return rows.groupBy("__ms", "__now", "__part").transformWithState(_waiting(), "user string, due timestamp, now boolean, id string", "Append", "EventTime")
+
+
+def as_digests(told: DataFrame) -> DataFrame:
+    """(user, due, n, ids) of told notices (user, due, now, id); ids ascending, null ones last."""
+    ids = F.sort_array(F.collect_list(F.struct(F.col("id").isNull().alias("none"), "id")))
+    grouped = told.groupBy("user", "due", "now").agg(F.count("*").alias("n"), ids.alias("ids"))
+    return grouped.select("user", "due", "n", F.transform("ids", lambda x: x["id"]).alias("ids"))
 
 
 def send_waiting(notices: DataFrame, settings: DataFrame, sink_path: str, checkpoint: str, poll: str | None = None, **columns: str) -> StreamingQuery:
-    """Writes digests as they are due to ``sink_path/batch_id=<n>``; a batch that runs again replaces what it wrote."""
+    """Writes digests (user, due, n, ids) as they are due to ``sink_path/batch_id=<n>``; a batch that runs again replaces what it wrote.
+
+    A notice whose digest was told in an earlier batch comes as a further one.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
+        as_digests(batch).write.mode("overwrite").parquet(f"{sink_path}/batch_id={batch_id}")
 
     with keyed_state(notices.sparkSession):
-        return start(waiting_digests(notices, settings, **columns), each, checkpoint, poll)
+        return start(told_notices(notices, settings, **columns), each, checkpoint, poll)

@@ -59,3 +59,23 @@ def test_a_stream_tells_what_is_due_and_keeps_the_rest(spark, tmp_path):
     third = [("10", "q", "2031-02-12T09:00:00"), ("11", "d", "2031-02-12T08:30:00")]
     later = [("q", "2031-02-12 07:00:00", 2, ["4", "9"]), ("q", "2031-02-12 09:00:00", 1, ["10"])]
     assert told("3", third) == sorted([*now, daily, *later])
+
+
+def test_many_users_of_one_time_are_few_keys(spark, tmp_path):
+    """A key for each user and time costs calls and a timer each, which grow with the users."""
+    (tmp_path / "in").mkdir()
+    rows = [{"id": None if u == 7 else str(i), "email": f"u{u}", "ts": f"2031-02-11T1{i}:00:00"} for u in range(300) for i in range(2)]
+    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, rows)), encoding="utf-8")
+    settings = spark.createDataFrame([(f"u{u}", "daily", None, None) for u in range(300)], SETTINGS)
+
+    def run():
+        query = D.send_waiting(ingest.file_stream(spark, f"{tmp_path}/in", "id string, email string, ts timestamp"), settings, f"{tmp_path}/out", f"{tmp_path}/check")
+        query.awaitTermination()
+        return query
+
+    timers = max(int(s["customMetrics"]["numRegisteredTimers"]) for p in run().recentProgress for s in json.loads(p.json)["stateOperators"])
+    assert 0 < timers <= D.PARTS
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"id": "x", "email": "other", "ts": "2031-02-12T02:00:00"}), encoding="utf-8")
+    run()
+    told = {r.user: (r.n, r.ids) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert told == {f"u{u}": (2, [None, None] if u == 7 else ["0", "1"]) for u in range(300)} | {"other": (1, ["x"])}
