@@ -19,6 +19,8 @@ FEW = 100
 SIZES = (16, 8, 4, 2, 1)
 #: Characters of a text that are looked at together.
 STRETCH = 1_000
+#: Characters whose trigrams of one bucket are sorted by a task.
+PART = 1 << 26
 #: Two of these behind an indexed text make each of its last characters the beginning of a trigram.
 END = "\u0003"
 
@@ -180,14 +182,15 @@ class TrigramIndex:
     def build(self, rows: DataFrame, id_col: str, *texts: Column) -> None:
         """Indexes texts, each a string column or an array of strings; null texts are left out, rows without an id too.
 
-        A rarer gram's bucket is one task's; the buckets are cut by id as well, for grams that most texts have.
+        The buckets are cut by id as well, into parts of about ``PART`` characters, so what a task sorts does not grow with the texts.
         """
         every = F.flatten(F.array(*texts)) if all(self._is_array(rows, t) for t in texts) else F.array(*texts)
         said = rows.select(F.col(f"`{id_col}`").alias("id"), F.explode(every).alias("text")).where("id is not null and text is not null")
         grams = said.select("id", F.concat(F.lower("text"), F.lit(END * 2)).alias("text")).mapInArrow(_grams, f"id {said.schema['id'].dataType.simpleString()}, gram string")
-        placed = grams.withColumns({"bucket": self._bucket(F.col("gram")), "part": F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")})
+        parts = max(8, -(-(said.agg(F.sum(F.char_length("text"))).first()[0] or 0) // PART))
+        placed = grams.withColumns({"bucket": self._bucket(F.col("gram")), "part": F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")})
         # rows that are equal are in one part of a bucket, so that they fall out where they are sorted
-        once = placed.repartition("bucket", "part").dropDuplicates()
+        once = placed.repartition(self.buckets * parts, "bucket", "part").dropDuplicates()
         once.sortWithinPartitions("bucket", "gram", "id").drop("part").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
         counts = self._table("postings").groupBy("bucket", "gram").agg(F.count("*").alias("n"))
         counts.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/counts")

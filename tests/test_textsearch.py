@@ -96,3 +96,13 @@ def test_index_of_nothing_and_odd_rows(spark, tmp_path):
     empty = X.TrigramIndex(spark, f"{tmp_path}/b", buckets=2)
     empty.build(rows.limit(0), "id", F.col("x"))
     assert empty.search(rows.limit(0), "id", "abc", F.col("x")).collect() == []
+
+
+def test_an_index_has_more_parts_the_more_text(spark, tmp_path, monkeypatch):
+    """Eight parts of a bucket, whatever the texts, are tasks that grow with them."""
+    monkeypatch.setattr(X, "PART", 1_000)
+    rows = spark.createDataFrame([(i, f"number {i} " * 20) for i in range(100)], "id long, text string")
+    index = X.TrigramIndex(spark, f"{tmp_path}/index", buckets=2)
+    index.build(rows, "id", F.col("text"))
+    assert len(list((tmp_path / "index" / "postings").glob("bucket=*/*.parquet"))) > 16  # at most 8 parts of 2 buckets before
+    assert {r.id for r in index.search(rows, "id", "NUMBER 7", F.col("text")).collect()} == {7, *range(70, 80)}
