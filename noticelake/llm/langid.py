@@ -9,16 +9,17 @@ for each letter, and is rejected where that is higher than texts of the language
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import hash_sample, written
+from noticelake.llm.common import written
 
 ORDER = 4
 WIDE = 16
@@ -26,6 +27,10 @@ WIDE = 16
 CHUNK, HELD = 1 << 20, 1 << 20
 #: Bins by which repeated windows of a chunk are found.
 BINS = 18
+#: Parts of the texts that may teach; texts of a part are calibrated on by models of all the others.
+FOLDS = 4
+#: The values of sharpness that calibration tries, what entropies are multiplied by to be whole numbers, and the bits that a pass of :func:`quantiles` settles.
+GRID, SCALE, DIGITS = np.exp2(np.arange(-6, 7)), 10**9, 12
 UNKNOWN = "und"
 
 
@@ -97,24 +102,24 @@ def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
 
 
 def window_counts(rows: DataFrame) -> DataFrame:
-    """(lang, aside, gram, n): how often each window occurs in the texts of each language; ``rows`` has lang, aside (boolean) and text."""
+    """(lang, gram, n, n_0, ...): how often each window occurs in the texts of each language, and in those outside each fold; ``rows`` has lang, fold (int) and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         size = 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            for (lang, aside), found in held.items():
+            for (lang, fold), found in held.items():
                 grams, times = _counted(*(np.concatenate([x[i] for x in found]) for i in (0, 1)))
                 for k in range(0, len(grams), HELD):
                     part = grams[k : k + HELD].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([aside] * len(part)), pa.array(part), pa.array(times[k : k + HELD])], ["lang", "aside", "gram", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([fold] * len(part), pa.int32()), pa.array(part), pa.array(times[k : k + HELD])], ["lang", "fold", "gram", "n"])
             held.clear()
 
         for batch in batches:
             kinds = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for start, part in _parts(batch.column(2).to_pylist()):
-                of: dict[tuple[str, bool], list[str]] = {}
+                of: dict[tuple[str, int], list[str]] = {}
                 for kind, text in zip(kinds[start:], part, strict=False):
                     of.setdefault(kind, []).append(text)
                 for kind, some in of.items():
@@ -130,8 +135,9 @@ def window_counts(rows: DataFrame) -> DataFrame:
                     size = 0
         yield from told()
 
-    counted = rows.select("lang", "aside", "text").mapInArrow(run, "lang string, aside boolean, gram long, n long")
-    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~F.col("aside"), F.col("n"))), F.lit(0)).alias("n_rest"))
+    counted = rows.select("lang", "fold", "text").mapInArrow(run, "lang string, fold int, gram long, n long")
+    outside = [F.sum(F.when(F.col("fold") != f, F.col("n")).otherwise(0)).alias(f"n_{f}") for f in range(FOLDS)]
+    return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"), *outside)
 
 
 @dataclass
@@ -246,30 +252,26 @@ class Identifier:
         accepted = spoken & (beyond <= self.furthest[best] if self.furthest is not None else True)
         return [self.languages[b] if s else UNKNOWN for b, s in zip(best, spoken, strict=True)], np.where(spoken, 1 / odds.sum(axis=1), 0.0), accepted, least
 
-    def calibrate(self, bits: np.ndarray, sizes: np.ndarray, truth: np.ndarray, rejected: float) -> None:
-        """The sharpness that makes scores of labelled texts likeliest, and how far the given share of each language's texts lies at most."""
-        told = sizes > 0
-        bits, sizes, truth = bits[told], sizes[told], truth[told]
-        if not len(bits):
+    def calibrate(self, told: DataFrame, rejected: float) -> None:
+        """The sharpness that makes scores of all ``told`` texts likeliest, and how far the given share of each language's texts lies at most; ``told`` is of :func:`_told`."""
+        whole = told.agg(F.count("*").alias("n"), *(F.sum(F.col("losses")[k]).alias(f"g{k}") for k in range(len(GRID)))).first()
+        if not whole.n:
             return
-        gap = (bits - bits[np.arange(len(bits)), truth][:, None]) * np.sqrt(sizes)[:, None]
-        grid = np.exp2(np.arange(-6, 7))
-        self.sharpness = float(grid[np.argmin([np.log(np.exp(np.clip(-g * gap, -700, 700)).sum(axis=1)).mean() for g in grid])])
-        own = bits[np.arange(len(bits)), truth]
-        self.usual, self.furthest = np.zeros(len(self.models)), np.full(len(self.models), np.inf)
-        for k in range(len(self.models)):
-            if (mine := truth == k).any():
-                self.usual[k] = np.median(own[mine])
-                beyond = (own[mine] - self.usual[k]) * np.sqrt(sizes[mine])
-                self.furthest[k] = np.quantile(beyond, 1 - rejected) + np.sqrt(20) * max(np.std(own[mine]), 0.1)
+        self.sharpness = float(GRID[np.argmin(whole[1:])])
+        spread = {r.lang: r.spread / SCALE for r in told.groupBy("lang").agg(F.round(F.stddev_pop("own"), 3).alias("spread")).collect()}  # a row a language
+        usual = quantiles(told.select("lang", F.col("own").alias("value")), 0.5)
+        beyond = F.round((F.col("own") - _of(usual, "double")) * F.sqrt("size")).cast("long")
+        most = quantiles(told.select("lang", beyond.alias("value")), 1 - rejected)
+        self.usual = np.array([usual.get(x, 0.0) / SCALE for x in self.languages])
+        self.furthest = np.array([most[x] / SCALE + np.sqrt(20) * max(spread[x], 0.1) if x in most else np.inf for x in self.languages])
 
 
 #: A model as a row; its arrays are the bytes of their numbers.
 MODEL = "lang string, grams array<binary>, logs array<binary>, contexts array<binary>, weights array<binary>, floor double"
 
 
-def fitted(rows: DataFrame, bits: int = 20, most_calibrated: int = 4_000, rejected: float = 0.005, most_mb: int = 1_024) -> Identifier:
-    """The identifier of ``rows`` (id, lang, text), every one of which is counted.
+def fitted(rows: DataFrame, bits: int = 20, rejected: float = 0.005, most_mb: int = 1_024) -> Identifier:
+    """The identifier of ``rows`` (id, lang, text), every one of which is counted and calibrated on.
 
     Counts cover all windows of all texts.  A language's model keeps, of windows that
     meet in one of 2 ** ``bits`` places, the commonest with the counts of all, so it has at most
@@ -277,60 +279,111 @@ def fitted(rows: DataFrame, bits: int = 20, most_calibrated: int = 4_000, reject
     language, and only then sent; languages whose models could need more than ``most_mb``
     are refused before.
 
-    For calibration a tenth of the texts, by a hash of their id, is counted apart, and
-    ``most_calibrated`` of them at most are scored by models of all the others: ``rejected`` is
-    the share of a language's own texts that would be refused.  The models that are returned have the counts of all.
+    For calibration the texts are dealt to FOLDS parts by a hash, and each one is scored by
+    models of all the other parts, a part at a time; a text whose language no other part has
+    tells nothing.  ``rejected`` is the share of a language's own texts that would be refused.
+    The models that are returned have the counts of all.
     """
-    rows = rows.withColumn("aside", F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(10)) == 0)
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(5), "id", "text"), F.lit(FOLDS)).cast("int"))
     counts = written(window_counts(rows), "windows")
     slot = F.shiftrightunsigned(F.xxhash64("gram"), 64 - bits)
-    most = lambda n: F.max_by("gram", F.struct(n, "gram"))
-    places = counts.groupBy("lang", slot.alias("slot")).agg(most("n").alias("gram"), F.sum("n").alias("n"), most("n_rest").alias("gram_rest"), F.sum("n_rest").alias("n_rest"))
-    places = written(places, "places")
+    merged = [x for n in ("n", *(f"n_{f}" for f in range(FOLDS))) for x in (F.max_by("gram", F.struct(n, "gram")).alias(f"gram_{n}"), F.sum(n).alias(n))]
+    places = written(counts.groupBy("lang", slot.alias("slot")).agg(*merged), "places")
     sizes = [r.n for r in places.groupBy("lang").agg(F.count("*").alias("n")).collect()]  # a row a language
     if 128 * sum(sizes) > most_mb << 20:
         raise ValueError(f"models of {len(sizes)} languages may need more than {most_mb} MB; take fewer bits")
-    letters = places.select(F.expr("gram & 65535").alias("letter")).distinct().count()
-    found = _built(places.select("lang", "gram", "n"), letters)
-    rest = _built(places.where("n_rest > 0").select("lang", F.col("gram_rest").alias("gram"), F.col("n_rest").alias("n")), letters)
-    if rest.models:
-        sample = hash_sample(rows.where("aside").where(F.col("lang").isin(rest.languages)).select("id", "lang", "text"), "id", most_calibrated)
-        told = _scored(sample.select("lang", "text"), "lang", rest).collect()  # two numbers and a short list for each of a bounded sample
-        truth = np.array([rest.languages.index(r.lang) for r in told], np.int64)
-        rest.calibrate(np.array([r.bits for r in told]).reshape(-1, len(rest.models)), np.array([r.size for r in told], np.int64), truth, rejected)
-        found.sharpness = rest.sharpness
-        if rest.usual is not None:
-            known = {lang: k for k, lang in enumerate(rest.languages)}
-            of = lambda values, other: np.array([values[known[x]] if x in known else other for x in found.languages])
-            found.usual, found.furthest = of(rest.usual, 0.0), of(rest.furthest, np.inf)
+    letters = places.select(F.expr("gram_n & 65535").alias("letter")).distinct().count()
+    told = [x for f in range(FOLDS) if (x := _told(rows.where(F.col("fold") == f), _built(places, f"n_{f}", letters))) is not None]
+    found = _built(places, "n", letters)
+    if told:
+        found.calibrate(reduce(DataFrame.unionByName, told), rejected)
     return found
 
 
-def _built(places: DataFrame, letters: int) -> Identifier:
-    """Models of (lang, gram, n), a task for each language, brought together as arrays."""
+def _built(places: DataFrame, n: str, letters: int) -> Identifier:
+    """Models of the counts that the column ``n`` of the places has, a task for each language, brought together as arrays."""
 
     def build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         model = kneser_ney(group.column("gram").to_numpy().view(np.uint64), group.column("n").to_numpy(), letters + 1)
         arrays = {name: [x.tobytes() for x in getattr(model, name)] for name in ("grams", "logs", "contexts", "weights")}
         return pa.Table.from_pylist([{"lang": key[0].as_py()} | arrays | {"floor": model.floor}])
 
-    built = places.groupBy("lang").applyInArrow(build, MODEL).orderBy("lang").toArrow()
+    counted = places.where(F.col(n) > 0).select("lang", F.col(f"gram_{n}").alias("gram"), F.col(n).alias("n"))
+    built = counted.groupBy("lang").applyInArrow(build, MODEL).orderBy("lang").toArrow()
     read = lambda r, name, kind: [np.frombuffer(x, kind) for x in r[name]]
     models = [Model(read(r, "grams", np.uint64), read(r, "logs", float), read(r, "contexts", np.uint64), read(r, "weights", float), r["floor"]) for r in built.to_pylist()]
     return Identifier(built.column("lang").to_pylist(), models)
 
 
-def _scored(rows: DataFrame, keep: str, model: Identifier) -> DataFrame:
-    """(keep, size, bits) of (keep, text)."""
+def _told(rows: DataFrame, model: Identifier) -> DataFrame | None:
+    """(lang, size, own, losses) of the texts that have letters and a language of the model, written; none without models.
+
+    ``own`` are the bits a letter in the text's own language, times SCALE, and ``losses``
+    the negative log of its share of the odds for each sharpness of GRID.
+    """
+    if not model.models:
+        return None
     sent = rows.sparkSession.sparkContext.broadcast(model)  # bounded by fitted()
+    place = {lang: k for k, lang in enumerate(model.languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            truths = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
             for start, part in _parts(batch.column(1).to_pylist()):
                 bits, sizes = sent.value.entropies(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(sizes), pa.array(bits.tolist(), pa.list_(pa.float64()))], [keep, "size", "bits"])
+                own = bits[np.arange(len(part)), truths[start : start + len(part)]]
+                gap = (bits - own[:, None]) * np.sqrt(sizes)[:, None]
+                losses = np.stack([np.log(np.exp(np.clip(-g * gap, -700, 700)).sum(axis=1)) for g in GRID], axis=1)
+                whole = np.rint(own * SCALE).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(sizes), pa.array(whole), pa.array(losses.tolist(), pa.list_(pa.float64()))], ["lang", "size", "own", "losses"])
+
+    known = rows.where(F.col("lang").isin(model.languages)).select("lang", "text")
+    told = written(known.mapInArrow(run, "lang string, size long, own long, losses array<double>").where("size > 0"), "told")
+    sent.destroy()
+    return told
+
 
-    return rows.mapInArrow(run, f"`{keep}` {rows.schema[keep].dataType.simpleString()}, size long, bits array<double>")
+def _of(values: dict[str, float] | dict[str, list[int]], kind: str) -> Column:
+    """The constant of type ``kind`` that each row's ``lang`` has."""
+    return F.create_map(*(x for lang, value in values.items() for x in (F.lit(lang), F.lit(value).cast(kind))))[F.col("lang")]
+
+
+def quantiles(rows: DataFrame, share: float) -> dict[str, float]:
+    """The exact quantile of ``value`` (long) of each ``lang``, in proportion between the two values that it lies between.
+
+    Both are found by their leading bits, DIGITS more in each pass: counts alone are moved,
+    at most 2 ** (DIGITS + 1) for a language and pass, and no task holds a language's values.
+    """
+    ends = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")).collect()
+    if not ends:
+        return {}
+    least, places = {r.lang: r.least for r in ends}, {r.lang: share * (r.n - 1) for r in ends}
+    rows = rows.select("lang", (F.col("value") - _of(least, "long")).alias("value"))
+    # (language, rank) -> (leading bits that are known, rank among the values that have them)
+    at = {(lang, side(place)): (0, side(place)) for lang, place in places.items() for side in (math.floor, math.ceil)}
+    wide = max(r.most - r.least for r in ends).bit_length()
+    for shift in reversed(range(0, wide, DIGITS)):
+        some = rows
+        if shift + DIGITS < wide:
+            known: dict[str, list[int]] = {}
+            for (lang, _), (bits, _) in at.items():
+                known.setdefault(lang, []).append(bits)
+            some = rows.where(F.array_contains(_of(known, "array<long>"), F.shiftright("value", shift + DIGITS)))
+        counts: dict[tuple[str, int], list[tuple[int, int]]] = {}
+        for lang, bits, n in some.groupBy("lang", F.shiftright("value", shift)).count().collect():
+            counts.setdefault((lang, bits >> DIGITS), []).append((bits, n))
+        for (lang, rank), (known_bits, left) in at.items():
+            for bits, n in sorted(counts[lang, known_bits]):
+                if left < n:
+                    at[lang, rank] = bits, left
+                    break
+                left -= n
+
+    def quantile(lang: str, place: float) -> float:
+        low, high = (least[lang] + at[lang, side(place)][0] for side in (math.floor, math.ceil))
+        return low + (place - math.floor(place)) * (high - low)
+
+    return {lang: quantile(lang, place) for lang, place in places.items()}
 
 
 def identified(docs: DataFrame, model: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -121,6 +121,45 @@ def test_the_same_by_any_parts(spark, taught):
     assert one == many
 
 
+def test_every_text_calibrates(spark):
+    """Each text, whatever its id, is scored by models of the other parts, and all of them make the thresholds."""
+    rng = random.Random(4)
+    docs = [(k if k % 3 else None, "aa" if k % 2 else "bb", made(rng.randrange(1, 40), ("ka", "lo", "mi", "st") if k % 2 else ("st", "gro", "ka"), rng)) for k in range(400)]
+    docs += [(7, "aa", ""), (8, "bb", "12")]
+    rows = spark.createDataFrame(docs, "id long, lang string, text string")
+    model = langid.fitted(rows)
+    dealt = rows.selectExpr("*", "pmod(xxhash64(5, id, text), 4) as part").collect()
+    alphabet = len({c for r in dealt for c in letters_of(r.text)} | {"\0"}) + 1
+    gaps, own, sizes = [], defaultdict(list), defaultdict(list)
+    for part in range(4):
+        counts = [np.unique(langid.windows([r.text for r in dealt if r.lang == lang and r.part != part])[0], return_counts=True) for lang in model.languages]
+        others = langid.Identifier(model.languages, [langid.kneser_ney(*c, alphabet) for c in counts])
+        mine = [r for r in dealt if r.part == part]
+        for r, bits, size in zip(mine, *others.entropies([r.text for r in mine]), strict=True):
+            if size:
+                k = model.languages.index(r.lang)
+                own[k].append(bits[k])
+                sizes[k].append(size)
+                gaps.append((bits - bits[k]) * math.sqrt(size))
+    assert [len(own[k]) for k in (0, 1)] == [200, 200]
+    grid = np.exp2(np.arange(-6, 7))
+    losses = [np.log(np.exp(np.clip(-g * np.array(gaps), -700, 700)).sum(axis=1)).mean() for g in grid]
+    assert model.sharpness == grid[np.argmin(losses)]
+    for k in (0, 1):
+        assert model.usual[k] == pytest.approx(np.median(own[k]), abs=1e-8)
+        beyond = np.quantile((own[k] - np.median(own[k])) * np.sqrt(sizes[k]), 0.995) + math.sqrt(20) * max(np.std(own[k]), 0.1)
+        assert model.furthest[k] == pytest.approx(beyond, abs=1e-6)
+
+
+def test_quantiles(spark):
+    rng = random.Random(3)
+    of = {"aa": [rng.randrange(-(10**12), 10**12) for _ in range(501)], "bb": [5], "cc": [-3] * 300 + [rng.randrange(-9, 10**9) for _ in range(100)], "dd": [-(10**15), 10**15]}
+    rows = spark.createDataFrame([(lang, v) for lang, values in of.items() for v in values], "lang string, value long").repartition(5)
+    for share in (0, 0.25, 0.5, 0.995, 1):
+        assert langid.quantiles(rows, share) == pytest.approx({lang: np.quantile(np.array(v), share) for lang, v in of.items()}, rel=1e-12)
+    assert langid.quantiles(rows.where("value = 5"), 0.5) == {"bb": 5} and langid.quantiles(rows.limit(0), 0.5) == {}
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, None, "a b"), (2, None, None)], "doc_id long, lang string, text string")
     found, model = langid.identify(docs)
